@@ -1 +1,250 @@
+"""Search strategies, fusion and graph retrieval for the whole query table."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palimpsest.operators import filters, fusion, matching, search, vectors
+from palimpsest.plans.basics import TAGS, tok
+from palimpsest.plans.registry import register
+from palimpsest.sources.standins import EDGE_REFERENCE_TIME as ERT, Standins
+
+T = 0.25  # the stand-in vectors are nearly orthogonal, so the default threshold would find nothing
+CFG = search.SearchConfig(threshold=T, reference_time=ERT, apply_decay=False)
+
+
+def graph(s: Standins) -> search.Graph:
+    return search.Graph(s.episodes(), s.entities(), s.edges(), s.mentions())
+
+
+# ---- oracle fragments ---------------------------------------------------------------------------
+
+ACTIVE = f"(expired_at IS NULL OR expired_at > TIMESTAMP '{ERT}')"
+OWNED = ("SELECT e.*, CASE WHEN a.user_id = b.user_id THEN a.user_id END AS user_id FROM fx_edges e "
+         "JOIN fx_entities a ON a.uuid = e.source_uuid JOIN fx_entities b ON b.uuid = e.target_uuid")
+
+
+def top(source: str, limit: int, order: str = "score DESC, created_at DESC NULLS LAST, uuid", keys: str = "query_id") -> str:
+    return (f"SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY {keys} ORDER BY {order}))::INTEGER AS rank "
+            f"FROM ({source})) WHERE rank <= {limit}")
+
+
+def sim_sql(corpus: str, vec: str, limit: int = 10, threshold: float = T) -> str:
+    hits = (f"SELECT q.query_id, c.uuid, c.created_at, round(list_cosine_similarity(c.{vec}::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score "
+            f"FROM ({corpus}) c JOIN fx_queries q ON q.embedding IS NOT NULL AND (q.user_id IS NULL OR q.user_id = c.user_id) WHERE c.{vec} IS NOT NULL")
+    return top(f"SELECT * FROM ({hits}) WHERE score >= {threshold}", limit)
+
+
+def bm25_ctes(p: str, docs: str, cand: str = "true", limit: int = 10) -> str:
+    """CTEs ending in ``p`` = (query_id, uuid, created_at, score, rank); docs = uuid, user_id, created_at, txt, ..."""
+    return f"""
+    {p}_tok AS (SELECT *, len(toks) AS dl FROM (SELECT *, {tok('txt')} AS toks FROM ({docs}))),
+    {p}_q AS (SELECT query_id, user_id AS q_user, tok, count(*) AS qtf FROM (SELECT query_id, user_id, unnest({tok('text')}) AS tok FROM fx_queries) GROUP BY ALL),
+    {p}_df AS (SELECT tok, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS tok FROM {p}_tok) GROUP BY 1),
+    {p}_n AS (SELECT count(*)::DOUBLE AS n, sum(dl) / count(*) AS avgdl FROM {p}_tok),
+    {p}_raw AS (SELECT tok, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM {p}_df, {p}_n),
+    {p}_idf AS (SELECT tok, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM {p}_raw) ELSE idf END AS idf FROM {p}_raw),
+    {p}_tf AS (SELECT uuid, user_id, created_at, dl, tok, count(*) AS tf FROM (SELECT uuid, user_id, created_at, dl, unnest(toks) AS tok FROM {p}_tok WHERE {cand})
+               WHERE tok IN (SELECT tok FROM {p}_q) GROUP BY ALL),
+    {p}_hit AS (SELECT query_id, uuid, created_at, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+                FROM {p}_tf JOIN {p}_idf USING (tok) JOIN {p}_q USING (tok), {p}_n WHERE q_user IS NULL OR q_user = user_id GROUP BY ALL),
+    {p} AS ({top(f'SELECT * FROM {p}_hit WHERE score >= 0.01', limit)})"""
+
+
+SEM_EP = sim_sql("SELECT * FROM fx_episodes", "content_embedding")
+SEM_EN = sim_sql("SELECT * FROM fx_entities", "name_embedding")
+SEM_ED = sim_sql(f"SELECT * FROM ({OWNED}) WHERE {ACTIVE}", "fact_embedding")
+SEMANTIC = f"""
+    s_ep AS ({SEM_EP}), s_en AS ({SEM_EN}), s_ed AS ({SEM_ED}),
+    s_via AS (SELECT DISTINCT s.query_id, m.entity_uuid AS uuid FROM s_ep s JOIN fx_mentions m ON m.episode_uuid = s.uuid),
+    s_all AS (SELECT query_id, uuid, max(score) AS score FROM (SELECT query_id, uuid, score FROM s_en UNION ALL SELECT query_id, uuid, {round(0.9 * T, 6)} FROM s_via) GROUP BY 1, 2),
+    semantic AS (SELECT query_id, 'episode' AS kind, uuid, score, rank FROM s_ep UNION ALL
+        SELECT query_id, 'entity', uuid, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, uuid))::INTEGER
+        FROM (SELECT s.*, e.created_at FROM s_all s JOIN fx_entities e USING (uuid)) UNION ALL
+        SELECT query_id, 'edge', uuid, score, rank FROM s_ed)"""
+_EPS_DOC = "SELECT *, content AS txt FROM fx_episodes"
+_ENT_DOC = "SELECT *, name || ' ' || summary AS txt FROM fx_entities"
+_EDG_DOC = f"SELECT *, fact AS txt FROM ({OWNED})"
+KEYWORD = (bm25_ctes("k_ep", _EPS_DOC) + "," + bm25_ctes("k_en", _ENT_DOC) + "," + bm25_ctes("k_ed", _EDG_DOC, ACTIVE) + """,
+    keyword AS (SELECT query_id, 'episode' AS kind, uuid, score, rank FROM k_ep UNION ALL
+        SELECT query_id, 'entity', uuid, score, rank FROM k_en UNION ALL SELECT query_id, 'edge', uuid, score, rank FROM k_ed)""")
+TRAVERSAL = f"""
+    t_adj AS (SELECT source_uuid AS node, target_uuid AS other, uuid AS edge FROM fx_edges WHERE {ACTIVE} UNION ALL
+              SELECT target_uuid, source_uuid, uuid FROM fx_edges WHERE source_uuid <> target_uuid AND {ACTIVE}),
+    t_0 AS (SELECT query_id, uuid, score FROM ({sim_sql("SELECT * FROM fx_entities", "name_embedding", 5)})),
+    t_s0 AS (SELECT query_id, edge, other FROM t_0 JOIN t_adj ON node = uuid),
+    t_1 AS (SELECT DISTINCT query_id, other AS uuid FROM t_s0 WHERE NOT EXISTS (SELECT 1 FROM t_0 v WHERE v.query_id = t_s0.query_id AND v.uuid = other)),
+    t_s1 AS (SELECT query_id, edge, other FROM t_1 JOIN t_adj ON node = uuid),
+    t_2 AS (SELECT DISTINCT query_id, other AS uuid FROM t_s1 WHERE NOT EXISTS (SELECT 1 FROM t_0 v WHERE v.query_id = t_s1.query_id AND v.uuid = other)
+            AND NOT EXISTS (SELECT 1 FROM t_1 v WHERE v.query_id = t_s1.query_id AND v.uuid = other)),
+    t_all AS (SELECT query_id, 'entity' AS kind, uuid, 0 AS depth, score FROM t_0 UNION ALL SELECT query_id, 'entity', uuid, 1, 0.5 FROM t_1 UNION ALL
+              SELECT query_id, 'entity', uuid, 2, 0.333333 FROM t_2 UNION ALL
+              SELECT query_id, 'edge', edge, min(d), round(1.0 / (min(d) + 1), 6) FROM (SELECT query_id, edge, 0 AS d FROM t_s0 UNION ALL SELECT query_id, edge, 1 FROM t_s1) GROUP BY 1, 2, 3),
+    traversal AS (SELECT query_id, kind, uuid, score, rank FROM ({top('SELECT * FROM t_all', 10, 'depth, score DESC, uuid', 'query_id, kind')}))"""
+FUSED = """
+    fused AS (SELECT query_id, kind, uuid, round(sum(1.0 / (60 + rank)), 6) AS score FROM (
+        SELECT query_id, kind, uuid, rank FROM semantic UNION ALL SELECT query_id, kind, uuid, rank FROM keyword
+        UNION ALL SELECT query_id, kind, uuid, rank FROM traversal) GROUP BY ALL),
+    hybrid AS (""" + top("SELECT * FROM fused WHERE score >= 0.001", 10, "score DESC, uuid", "query_id, kind") + ")"
+RERANK = f"""
+    times AS (SELECT 'episode' AS kind, uuid, created_at, created_at AS decay_from, NULL::TIMESTAMP AS invalid_at FROM fx_episodes UNION ALL
+              SELECT 'entity', uuid, created_at, created_at, NULL FROM fx_entities UNION ALL
+              SELECT 'edge', uuid, created_at, coalesce(valid_at, created_at), invalid_at FROM fx_edges),
+    reranked AS ({top(f'''
+        SELECT query_id, kind, uuid, CASE WHEN kind = 'episode' THEN score ELSE round(score * pow(0.9999, greatest(0, date_diff('second', decay_from, TIMESTAMP '{ERT}') // 86400))
+          * CASE WHEN created_at >= TIMESTAMP '{ERT}' - INTERVAL 45 DAY THEN 1.2 WHEN invalid_at >= TIMESTAMP '{ERT}' - INTERVAL 45 DAY THEN 0.96 ELSE 1 END, 6) END AS score
+        FROM hybrid JOIN times USING (kind, uuid)''', 1 << 30, "score DESC, uuid", "query_id, kind")})"""
+OUT = "SELECT query_id, kind, uuid, score, rank FROM "
+
+
+# ---- semantic -----------------------------------------------------------------------------------
+
+@register("similarity_join", f"""
+    SELECT q.query_id, c.uuid, round(list_cosine_similarity(c.name_embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+    FROM fx_entities c JOIN fx_queries q ON q.embedding IS NOT NULL AND (q.user_id IS NULL OR q.user_id = c.user_id)
+    WHERE c.name_embedding IS NOT NULL AND score >= {T}""".replace("AND score >=", "AND round(list_cosine_similarity(c.name_embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) >="))
+def _(s):
+    return vectors.similarity_topk(s.entities(), s.queries(), vector="name_embedding", threshold=T, limit=None).select("query_id", "uuid", "score")
+
+
+@register("semantic_entities", "SELECT query_id, 'entity' AS kind, uuid, score, rank FROM x", extra=f"x AS ({SEM_EN})")
+def _(s):
+    return search.semantic_entities(graph(s), s.queries(), CFG)
+
+
+@register("semantic_episodes", "SELECT query_id, 'episode' AS kind, uuid, score, rank FROM x", extra="x AS (" + sim_sql(
+    f"SELECT * FROM fx_episodes WHERE kind = 'memory' AND created_at > TIMESTAMP '2024-01-02' AND list_has_any({TAGS}, ['en', 'fr'])", "content_embedding") + ")")
+def _(s):
+    cfg = search.without(CFG, tags=("EN", "fr"), kinds=("memory",))
+    return search.semantic_episodes(graph(s), s.queries(), cfg, after="2024-01-02")
+
+
+@register("semantic_edges", "SELECT query_id, 'edge' AS kind, uuid, score, rank FROM x", extra=f"x AS ({SEM_ED})")
+def _(s):
+    return search.semantic_edges(graph(s), s.queries(), CFG)
+
+
+@register("semantic_search", OUT + "semantic", extra=SEMANTIC)
+def _(s):
+    return search.semantic_search(graph(s), s.queries(), CFG)
+
+
+@register("find_most_similar", """
+    SELECT query_id, uuid, score, rank FROM x""", extra="x AS (" + top("""
+    SELECT q.query_id, c.uuid, c.created_at, round(list_cosine_similarity(c.name_embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+    FROM fx_entities c JOIN part ON uuid = 'p' || p_partkey JOIN fx_queries q ON q.query_id % 5 = substr(p_brand, 7)::INT % 5
+    WHERE c.name_embedding IS NOT NULL AND q.embedding IS NOT NULL AND round(list_cosine_similarity(c.name_embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) >= 0.1""", 3) + ")")
+def _(s):
+    group = F.pmod(F.substring("p_brand", 7, 9).cast("int"), F.lit(5)).cast("string")
+    parts = s.table("part").select(F.concat(F.lit("p"), "p_partkey").alias("uuid"), group.alias("user_id"))
+    candidates = s.entities().select("uuid", "name_embedding", "created_at").join(parts, "uuid")
+    q = s.queries().withColumn("user_id", F.pmod("query_id", F.lit(5)).cast("string"))
+    return vectors.similarity_topk(candidates, q, vector="name_embedding", threshold=0.1, limit=3).select("query_id", "uuid", "score", "rank")
+
+
+@register("entity_by_name", "SELECT query_id, 'entity' AS kind, uuid, score, rank FROM x WHERE rank <= 1", extra=f"x AS ({SEM_EN})")
+def _(s):
+    return search.entity_by_name(graph(s), s.queries(), CFG)
+
+
+# ---- keyword ------------------------------------------------------------------------------------
+
+@register("bm25_episodes", "SELECT query_id, 'episode' AS kind, uuid, score, rank FROM k", extra=bm25_ctes(
+    "k", _EPS_DOC, f"kind = 'memory' AND list_has_any({TAGS}, ['en', 'de'])"))
+def _(s):
+    return search.bm25_episodes(graph(s), s.queries(), search.without(CFG, tags=("en", "DE"), kinds=("MEMORY",)))
+
+
+@register("bm25_entities", "SELECT query_id, 'entity' AS kind, uuid, score, rank FROM k", extra=bm25_ctes("k", _ENT_DOC).replace(
+    "fx_queries", "fx_entity_queries").replace("k_tok AS", "fx_entity_queries AS (SELECT p_partkey AS query_id, NULL AS user_id, p_type || ' ' || replace(p_name, ' ', '_') AS text FROM part),\n k_tok AS", 1))
+def _(s):
+    q = s.table("part").select(F.col("p_partkey").alias("query_id"), F.lit(None).cast("string").alias("user_id"),
+                               F.concat("p_type", F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("text"))
+    return search.bm25_entities(graph(s), q, CFG)
+
+
+@register("bm25_edges", "SELECT query_id, 'edge' AS kind, uuid, score, rank FROM k", extra=bm25_ctes("k", _EDG_DOC, ACTIVE).replace(
+    "fx_queries", "fx_fact_queries").replace("k_tok AS", "fx_fact_queries AS (SELECT s_suppkey AS query_id, (['u_en','u_de','u_fr','u_es'])[s_suppkey % 4 + 1] AS user_id, s_name || ' red' AS text FROM supplier),\n k_tok AS", 1))
+def _(s):
+    q = s.table("supplier").select(F.col("s_suppkey").alias("query_id"), s._user(F.col("s_suppkey")).alias("user_id"),
+                                   F.concat("s_name", F.lit(" red")).alias("text"))
+    return search.bm25_edges(graph(s), q, CFG)
+
+
+@register("bm25_search", OUT + "keyword", extra=KEYWORD)
+def _(s):
+    return search.search(graph(s), s.queries(), search.without(CFG, enable_embeddings=False), "hybrid")
+
+
+@register("tag_only_search", "SELECT query_id, 'episode' AS kind, uuid, score, rank FROM x", extra="x AS (" + top(
+    f"""SELECT q.query_id, e.uuid, e.created_at, 0.0::DOUBLE AS score FROM fx_queries q JOIN fx_episodes e ON q.user_id IS NULL OR q.user_id = e.user_id
+        WHERE list_has_all({TAGS}, ['src3'])""", 10) + ")")
+def _(s):
+    q = s.queries().withColumn("text", F.lit(""))
+    return search.search(graph(s), q, search.without(CFG, tags=("src3",), tag_match_mode="all"), "semantic")
+
+
+# ---- graph, fusion ------------------------------------------------------------------------------
+
+@register("traversal_search", OUT + "traversal", extra=TRAVERSAL)
+def _(s):
+    return search.graph_search(graph(s), s.queries(), CFG)
+
+
+@register("rrf_fuse", OUT + "hybrid", extra=SEMANTIC + "," + KEYWORD + ", traversal AS (SELECT * FROM semantic WHERE false)," + FUSED)
+def _(s):
+    g, q = graph(s), s.queries()
+    return fusion.rrf_fuse([search.semantic_search(g, q, CFG), search.bm25_search(g, q, CFG)])
+
+
+@register("hybrid_search", OUT + "hybrid", extra=SEMANTIC + "," + KEYWORD + "," + TRAVERSAL + "," + FUSED)
+def _(s):
+    return search.search(graph(s), s.queries(), CFG, "hybrid")
+
+
+@register("rerank_decay_boost", OUT + "reranked", extra=SEMANTIC + "," + KEYWORD + "," + TRAVERSAL + "," + FUSED + "," + RERANK)
+def _(s):
+    cfg = search.without(CFG, apply_decay=True, apply_boost=True, decay_factor=0.9999, recent_days=45)
+    return search.search(graph(s), s.queries(), cfg, "hybrid")
+
+
+@register("filter_min_score", "SELECT query_id, kind, uuid, score, rank FROM hybrid WHERE score >= 0.016",
+          extra=SEMANTIC + ", keyword AS (SELECT * FROM semantic WHERE false)," + TRAVERSAL + "," + FUSED)
+def _(s):
+    g, q = graph(s), s.queries()
+    return filters.min_score(fusion.rrf_fuse([search.semantic_search(g, q, CFG), search.graph_search(g, q, CFG)]), 0.016)
+
+
+@register("entity_context", f"""
+    SELECT c.entity_uuid, n.name AS entity_name, n.entity_type, c.edge_uuid, e.fact, count(*) OVER (PARTITION BY c.entity_uuid) AS relationship_count
+    FROM (SELECT source_uuid AS entity_uuid, uuid AS edge_uuid FROM fx_edges WHERE {ACTIVE} UNION SELECT target_uuid, uuid FROM fx_edges WHERE {ACTIVE}) c
+    JOIN fx_edges e ON e.uuid = c.edge_uuid JOIN fx_entities n ON n.uuid = c.entity_uuid WHERE n.entity_type = 'SUPPLIER'""")
+def _(s):
+    seeds = filters.by_entity_type(s.entities(), "SUPPLIER").select("uuid")
+    return search.entity_context(graph(s), seeds, CFG).select(
+        "entity_uuid", "entity_name", "entity_type", "edge_uuid", "fact", "relationship_count")
+
+
+@register("facts_current", f"SELECT uuid, fact FROM fx_edges WHERE {ACTIVE}")
+def _(s):
+    return search.facts_current(s.edges(), ERT).select("uuid", "fact")
+
+
+@register("facts_as_of", """
+    SELECT uuid, fact FROM fx_edges WHERE valid_at <= TIMESTAMP '1998-06-01' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '1998-06-01')
+    AND created_at <= TIMESTAMP '1999-01-01' AND (expired_at IS NULL OR expired_at > TIMESTAMP '1999-01-01')""")
+def _(s):
+    return filters.facts_as_of(s.edges(), valid_time="1998-06-01", system_time="1999-01-01").select("uuid", "fact")
+
+
+# The benchmark questions are the stored workflows; every episode is matched as a whole.
+@register("workflow_match", f"""
+    SELECT uuid AS query_id, arg_min(item_id, (-sim, item_id)) AS workflow_id, max(sim) AS similarity FROM (
+      SELECT uuid, item_id, round(len(list_filter(q, lambda w: list_contains(m, w))) / greatest(len(q), len(m)), 6) AS sim
+      FROM (SELECT uuid, list_filter({tok('content')}, lambda x: length(x) >= 3) AS q FROM fx_episodes),
+           (SELECT item_id, list_filter({tok('text')}, lambda x: length(x) >= 3) AS m FROM benchmark))
+    WHERE sim >= 0.15 GROUP BY 1""")
+def _(s):
+    said = s.episodes().select(F.col("uuid").alias("id"), F.col("content").alias("text"))
+    known = s.table("benchmark").select(F.col("item_id").alias("id"), "text")
+    return matching.workflow_match(said, known, threshold=0.15)
