@@ -49,16 +49,29 @@ def content_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def overlap_hits(query: Column, pattern: Column) -> Column:
+    """How many of the query's words (repeats count) occur in the pattern.
+
+    The intersection hashes each list once; only shared words are then counted in the query.
+    """
+    shared = F.transform(F.array_intersect(query, pattern), lambda w: F.size(F.filter(query, lambda x: x == w)))
+    return F.aggregate(shared, F.lit(0), lambda acc, n: acc + n)
+
+
 def token_overlap(query: Column, pattern: Column, min_chars: int = 0) -> Column:
     """Query tokens found in ``pattern`` (repeats count) over the longer of the two lists."""
     def words(c: Column) -> Column:
         toks = tokenize(c)
         return F.filter(toks, lambda w: F.length(w) > min_chars) if min_chars else toks
 
-    q, p = words(query), words(pattern)
-    longest = F.greatest(F.size(q), F.size(p))
-    hits = F.size(F.filter(q, lambda w: F.array_contains(p, w)))
-    return F.when(longest > 0, hits / longest).otherwise(F.lit(0.0))
+    def ratio(pair: Column) -> Column:
+        q, p = pair["q"], pair["p"]
+        longest = F.greatest(F.size(q), F.size(p))
+        return F.when(longest > 0, overlap_hits(q, p) / longest).otherwise(F.lit(0.0))
+
+    # A lambda over one element binds the token lists, so that they are computed once per row.
+    one = F.array(F.struct(words(query).alias("q"), words(pattern).alias("p")))
+    return F.element_at(F.transform(one, ratio), 1)
 
 
 def contains_ci(haystack: Column, needle: str) -> Column:

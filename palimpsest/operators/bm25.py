@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palimpsest.functions.scoring import as_score
 from palimpsest.functions.text import tokenize
 from palimpsest.operators.aggregates import top_per_group
+from palimpsest.operators.skew import BROADCAST_ROWS, split_hot_join
 
 # The customary Okapi constants; a negative idf becomes EPSILON times the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -50,8 +51,9 @@ class Bm25Index:
 
 
 def build(docs: DataFrame) -> Bm25Index:
-    terms = docs.select(F.explode(F.array_distinct("tokens")).alias("tok")).groupBy("tok").agg(
-        F.count("*").alias("df"))
+    # The outer explode infers no "array is not empty" filter, which would tokenise twice.
+    terms = docs.select(F.explode_outer(F.array_distinct("tokens")).alias("tok")).groupBy("tok").agg(
+        F.count("*").alias("df")).filter(F.col("tok").isNotNull())
     totals = docs.agg(F.count("*").alias("n"), F.sum(F.size("tokens").cast("long")).alias("total_len"))
     return Bm25Index(docs, terms, totals)
 
@@ -73,16 +75,20 @@ def score(index: Bm25Index, queries: DataFrame, candidates: DataFrame | None = N
     q = queries.select("query_id", F.coalesce("user_id", F.lit("")).alias("q_user"),
                        F.explode(tokenize(F.col("text"))).alias("tok"))
     q = q.groupBy("query_id", "q_user", "tok").agg(F.count("*").alias("qtf"))
+    # A bounded query vocabulary goes to the documents, so that only its postings are shuffled.
+    # A larger one meets them by token, with tokens of very many documents handled apart.
     vocab = q.select("tok").distinct()
-    weights = term_weights(index).join(vocab, "tok", "left_semi")
+    small = q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    weights = term_weights(index).join(F.broadcast(vocab) if small else vocab, "tok", "left_semi")
     avgdl = index.totals.select((F.col("total_len") / F.col("n")).alias("a")).scalar()
     docs = index.docs if candidates is None else candidates
-    hits = docs.select(*DOC_COLUMNS, F.size("tokens").alias("dl"), F.explode("tokens").alias("tok")).join(weights, "tok")
+    posted = docs.select(*DOC_COLUMNS, F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("tok"))
+    hits = posted.join(F.broadcast(weights), "tok") if small else split_hot_join(posted, weights, ["tok"])
     # One placement by document serves both the term count and the sum per (query, document).
     tf = hits.repartition("uuid").groupBy(*DOC_COLUMNS, "dl", "tok", "idf").agg(F.count("*").alias("tf"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
     tf = tf.select(*DOC_COLUMNS, "tok", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
-    paired = tf.join(q, "tok").filter((F.col("q_user") == "") | (F.col("q_user") == F.col("user_id")))
+    paired = tf.join(F.broadcast(q) if small else q, "tok").filter((F.col("q_user") == "") | (F.col("q_user") == F.col("user_id")))
     return paired.groupBy("query_id", "uuid", "created_at").agg(as_score(F.sum(F.col("qtf") * F.col("w"))).alias("score"))
 
 

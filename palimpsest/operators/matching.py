@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from palimpsest.functions.scoring import as_score
 from palimpsest.functions.text import content_key, tokenize
-from palimpsest.operators.skew import broadcast_if_small, split_hot_join
+from palimpsest.operators.skew import BROADCAST_ROWS, split_hot_join
 
 
 def workflow_match(queries: DataFrame, workflows: DataFrame, *, threshold: float = 0.6,
@@ -25,24 +25,24 @@ def workflow_match(queries: DataFrame, workflows: DataFrame, *, threshold: float
           .select("workflow_id", words("text").alias("pattern")))
     keyed = queries.select(F.col("id").alias("query_id"), content_key(F.col("text")).alias("k"), "text")
     q = keyed.groupBy("k").agg(F.first("text").alias("text")).select("k", words("text").alias("said"))
-    q = q.filter(F.size("said") > 0)
 
-    wf_words = wf.select("workflow_id", F.size("pattern").alias("n_pattern"), F.explode(F.array_distinct("pattern")).alias("w"))
+    wf_words = wf.select("workflow_id", F.size("pattern").alias("n_pattern"), F.explode_outer(F.array_distinct("pattern")).alias("w"))
+    hint = F.broadcast if wf_words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
     rarity = wf_words.groupBy("w").agg(F.count("*").alias("df"))
-    q_words = (q.select("k", F.size("said").alias("n_said"), F.explode("said").alias("w"))
+    q_words = (q.select("k", F.size("said").alias("n_said"), F.explode_outer("said").alias("w"))
                .groupBy("k", "n_said", "w").agg(F.count("*").alias("n"))
-               .join(broadcast_if_small(rarity), "w", "left"))
+               .join(hint(rarity), "w", "left"))
     before = F.sum("n").over(W.partitionBy("k").orderBy(F.coalesce("df", F.lit(0)), "w")
                              .rowsBetween(W.unboundedPreceding, -1))
     # A rounded score may pass from just below, so the bounds use a slightly lower threshold.
     floor = threshold - 1e-6
     prefix = q_words.withColumn("before", F.coalesce(before, F.lit(0))).filter(
         F.col("df").isNotNull() & (F.col("before") <= F.col("n_said") - F.ceil(F.col("n_said") * floor)))
-    pairs = (prefix.select("k", "n_said", "w").join(broadcast_if_small(wf_words), "w")
+    pairs = (prefix.select("k", "n_said", "w").join(hint(wf_words), "w")
              .filter(F.col("n_pattern") * floor <= F.col("n_said")).select("k", "workflow_id").distinct())
-    both = pairs.join(q, "k").join(broadcast_if_small(wf), "workflow_id")
-    hits = F.size(F.filter("said", lambda w: F.array_contains("pattern", w)))
-    scored = both.withColumn("similarity", as_score(hits / F.greatest(F.size("said"), F.size("pattern"))))
+    shared = pairs.join(hint(wf_words), "workflow_id").join(q_words, ["k", "w"])
+    scored = shared.groupBy("k", "workflow_id").agg(as_score(
+        F.sum("n") / F.max(F.greatest("n_said", "n_pattern"))).alias("similarity"))
     best = scored.filter(F.col("similarity") >= threshold).groupBy("k").agg(
         F.min_by(F.struct("workflow_id", "similarity"), F.struct((-F.col("similarity")).alias("s"), F.col("workflow_id"))).alias("b"))
     return split_hot_join(keyed.select("query_id", "k"), best, ["k"]).select(

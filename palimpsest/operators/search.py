@@ -66,7 +66,13 @@ def live_edges(g: Graph, cfg: SearchConfig) -> DataFrame:
 
 
 def edges_with_owner(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """``user_id`` of an edge: that of its endpoints when both agree, else null (no user's)."""
+    """``user_id`` of an edge: that of its endpoints when both agree, else null (no user's).
+
+    Edges stored with their owner pass unchanged, so that a query needs no join to scope facts.
+    """
+    if "user_id" in edges.columns:
+        return edges
+
     def owner(side: str) -> DataFrame:
         return entities.select(F.col("uuid").alias(f"{side}_uuid"), F.col("user_id").alias(f"{side}_user"))
 

@@ -7,14 +7,33 @@ from pyspark.sql import functions as F
 from palimpsest.operators import filters, fusion, matching, search, vectors
 from palimpsest.plans.basics import TAGS, tok
 from palimpsest.plans.registry import register
+from palimpsest.session import stage
 from palimpsest.sources.standins import EDGE_REFERENCE_TIME as ERT, Standins
 
 T = 0.25  # the stand-in vectors are nearly orthogonal, so the default threshold would find nothing
 CFG = search.SearchConfig(threshold=T, reference_time=ERT, apply_decay=False)
 
 
-def graph(s: Standins) -> search.Graph:
-    return search.Graph(s.episodes(), s.entities(), s.edges(), s.mentions())
+class StandinGraph:
+    """The four tables, each derived when first used."""
+
+    def __init__(self, s: Standins):
+        self._s = s
+
+    episodes = property(lambda self: self._s.episodes())
+    entities = property(lambda self: self._s.entities())
+    edges = property(lambda self: self._s.edges())
+    mentions = property(lambda self: self._s.mentions())
+
+
+def graph(s: Standins) -> StandinGraph:
+    return StandinGraph(s)
+
+
+def stored_graph(s: Standins) -> search.Graph:
+    """As the tables would lie in storage: entities, and edges with their owner, written once."""
+    entities = stage(s.entities())
+    return search.Graph(s.episodes(), entities, stage(search.edges_with_owner(s.edges(), entities)), s.mentions())
 
 
 # ---- oracle fragments ---------------------------------------------------------------------------
@@ -126,7 +145,7 @@ def _(s):
 
 @register("semantic_search", OUT + "semantic", extra=SEMANTIC)
 def _(s):
-    return search.semantic_search(graph(s), s.queries(), CFG)
+    return search.semantic_search(stored_graph(s), s.queries(), CFG)
 
 
 @register("find_most_similar", """
@@ -173,7 +192,7 @@ def _(s):
 
 @register("bm25_search", OUT + "keyword", extra=KEYWORD)
 def _(s):
-    return search.search(graph(s), s.queries(), search.without(CFG, enable_embeddings=False), "hybrid")
+    return search.search(stored_graph(s), s.queries(), search.without(CFG, enable_embeddings=False), "hybrid")
 
 
 @register("tag_only_search", "SELECT query_id, 'episode' AS kind, uuid, score, rank FROM x", extra="x AS (" + top(
@@ -193,25 +212,25 @@ def _(s):
 
 @register("rrf_fuse", OUT + "hybrid", extra=SEMANTIC + "," + KEYWORD + ", traversal AS (SELECT * FROM semantic WHERE false)," + FUSED)
 def _(s):
-    g, q = graph(s), s.queries()
+    g, q = stored_graph(s), s.queries()
     return fusion.rrf_fuse([search.semantic_search(g, q, CFG), search.bm25_search(g, q, CFG)])
 
 
 @register("hybrid_search", OUT + "hybrid", extra=SEMANTIC + "," + KEYWORD + "," + TRAVERSAL + "," + FUSED)
 def _(s):
-    return search.search(graph(s), s.queries(), CFG, "hybrid")
+    return search.search(stored_graph(s), s.queries(), CFG, "hybrid")
 
 
 @register("rerank_decay_boost", OUT + "reranked", extra=SEMANTIC + "," + KEYWORD + "," + TRAVERSAL + "," + FUSED + "," + RERANK)
 def _(s):
     cfg = search.without(CFG, apply_decay=True, apply_boost=True, decay_factor=0.9999, recent_days=45)
-    return search.search(graph(s), s.queries(), cfg, "hybrid")
+    return search.search(stored_graph(s), s.queries(), cfg, "hybrid")
 
 
 @register("filter_min_score", "SELECT query_id, kind, uuid, score, rank FROM hybrid WHERE score >= 0.016",
           extra=SEMANTIC + ", keyword AS (SELECT * FROM semantic WHERE false)," + TRAVERSAL + "," + FUSED)
 def _(s):
-    g, q = graph(s), s.queries()
+    g, q = stored_graph(s), s.queries()
     return filters.min_score(fusion.rrf_fuse([search.semantic_search(g, q, CFG), search.graph_search(g, q, CFG)]), 0.016)
 
 

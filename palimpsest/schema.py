@@ -1,44 +1,42 @@
-"""Table schemas of the memory graph and of the nested run metadata."""
+"""Table schemas (as DDL, so that importing needs no session) and nested run metadata."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-EPISODE = T.StructType.fromDDL(
+EPISODE = (
     "uuid string, name string, content string, content_embedding array<float>, source string, "
     "source_description string, kind string, created_at timestamp, valid_at timestamp, "
     "user_id string, agent_id string, metadata string, entity_edges array<string>"
 )
-ENTITY = T.StructType.fromDDL(
+ENTITY = (
     "uuid string, name string, entity_type string, summary string, name_embedding array<float>, "
     "mentions bigint, created_at timestamp, user_id string, labels array<string>, "
     "attributes map<string,string>"
 )
-EDGE = T.StructType.fromDDL(
+EDGE = (
     "uuid string, source_uuid string, target_uuid string, name string, fact string, "
     "fact_embedding array<float>, created_at timestamp, valid_at timestamp, invalid_at timestamp, "
     "expired_at timestamp, episodes array<string>, mentions bigint, attributes map<string,string>"
 )
-MENTION = T.StructType.fromDDL(
+MENTION = (
     "uuid string, episode_uuid string, entity_uuid string, created_at timestamp"
 )
-TRIGGER = T.StructType.fromDDL(
+TRIGGER = (
     "uuid string, source_uuid string, target_uuid string, created_at timestamp"
 )
-TOOL = T.StructType.fromDDL(
+TOOL = (
     "uuid string, tool_name string, description string, name_embedding array<float>, "
     "mentions bigint, created_at timestamp"
 )
-INSTRUCTION = T.StructType.fromDDL(
+INSTRUCTION = (
     "uuid string, agent_type string, base_instruction string, enhanced_instruction string, "
     "query_augmentation_template string, memory_enabled boolean, tool_tracking_enabled boolean, "
     "created_at timestamp, updated_at timestamp"
 )
-CONFIG = T.StructType.fromDDL(
+CONFIG = (
     "key string, value string, category string, data_type string, is_sensitive boolean, "
     "updated_at timestamp, description string"
 )
-COMMUNITY = T.StructType.fromDDL(
+COMMUNITY = (
     "uuid string, name string, summary string, created_at timestamp, members array<string>, "
     "member_count bigint"
 )
@@ -62,10 +60,10 @@ METADATA_DDL = (
     f"integration string, tags array<string>, memories array<{MEMORY_DDL}>, "
     f"sessions map<string,array<{RUN_DDL}>>"
 )
-METADATA = T.StructType.fromDDL(METADATA_DDL)
-TAGS_ONLY = T.StructType.fromDDL("tags array<string>")
+METADATA = METADATA_DDL
+TAGS_ONLY = "tags array<string>"
 # `integration` as a second field makes a malformed document a null struct, not a null map.
-SESSION_KEYS = T.StructType.fromDDL("sessions map<string,string>")
+SESSION_KEYS = "sessions map<string,string>"
 
 # Enumerations, and the defaults of the search request.
 EPISODE_SOURCES = ("message", "json", "text")

@@ -6,6 +6,8 @@ of a query grows with the data.  ``ORACLE_VIEWS`` states the same tables as SQL
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palimpsest.session import pin_utc
@@ -15,16 +17,29 @@ EDGE_REFERENCE_TIME = "2001-12-01 00:00:00"
 LANGS = ("en", "de", "fr", "es")
 
 
+def _once(method):
+    """Build a table once per instance: planning a derived table costs driver time."""
+    @wraps(method)
+    def get(self, *args):
+        key = (method.__name__, *args)
+        if key not in self._built:
+            self._built[key] = method(self, *args)
+        return self._built[key]
+    return get
+
+
 class Standins:
     """Lazily derived graph tables over one directory of parquet files."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         pin_utc(spark)
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._built = spark, sf_dir, {}
 
+    @_once
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @_once
     def size(self, name: str) -> int:
         """Row count of a source table, read from the parquet footers."""
         return self.table(name).count()
@@ -44,6 +59,7 @@ class Standins:
                                                   (F.pmod(key, F.lit(4)) + 1).cast("int")))
 
     # ---- episodes ---------------------------------------------------------------------------
+    @_once
     def doc_episodes(self) -> DataFrame:
         docs, emb = self.table("documents"), self.table("embeddings")
         created = self._at(F.col("doc_id") * 600)
@@ -57,6 +73,7 @@ class Standins:
             F.concat(F.lit('{"tags":["'), "lang", F.lit('","'), F.initcap("source"), F.lit('"]}')).alias("metadata"),
         )
 
+    @_once
     def chat_episodes(self) -> DataFrame:
         created = self._at(F.col("conv_id") * 3600 + F.col("turn") * 60)
         return self.table("conversations").select(
@@ -71,10 +88,12 @@ class Standins:
             F.concat(F.lit('{"sessions":{"s'), "conv_id", F.lit('":[]}}')).alias("metadata"),
         )
 
+    @_once
     def episodes(self) -> DataFrame:
         return self.doc_episodes().unionByName(self.chat_episodes())
 
     # ---- entities and edges -----------------------------------------------------------------
+    @_once
     def entities(self) -> DataFrame:
         line, emb = self.table("lineitem"), self.table("embeddings")
 
@@ -107,6 +126,7 @@ class Standins:
             .unionByName(shape(self.table("nation"), "n", "n_nationkey", "n_name", "NATION", none))
         )
 
+    @_once
     def edges(self) -> DataFrame:
         returned = F.col("l_returnflag") == "R"
         supplies = self.table("lineitem").groupBy("l_suppkey", "l_partkey", "l_returnflag").agg(
@@ -149,6 +169,7 @@ class Standins:
                 .unionByName(located(self.table("supplier"), "s", "s_suppkey", "s_name", "s_nationkey"))
                 .unionByName(located(self.table("customer"), "c", "c_custkey", "c_name", "c_nationkey")))
 
+    @_once
     def mentions(self) -> DataFrame:
         def shape(df: DataFrame, target: Column) -> DataFrame:
             return df.select(F.concat(F.lit("m"), "uuid").alias("uuid"), F.col("uuid").alias("episode_uuid"),
@@ -160,6 +181,7 @@ class Standins:
         return shape(self.doc_episodes(), F.concat(F.lit("p"), F.pmod(doc_key, F.lit(n_part)))).unionByName(
             shape(self.chat_episodes(), F.concat(F.lit("s"), F.pmod(conv_key, F.lit(n_supp)))))
 
+    @_once
     def triggered(self) -> DataFrame:
         """A chat turn triggers the next turn of its conversation."""
         turns = self.table("conversations").select("conv_id", "turn")
@@ -170,6 +192,7 @@ class Standins:
             F.concat(F.lit("c"), "conv_id", F.lit("_"), "next_turn").alias("target_uuid"))
 
     # ---- tool calls and run metadata --------------------------------------------------------
+    @_once
     def tool_calls(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("long")
         ts = F.col("ts").cast("timestamp")
@@ -186,6 +209,7 @@ class Standins:
             F.when(k % 7 == 0, "None").when(k % 7 == 1, "").otherwise(F.concat(F.lit("k="), k)).alias("output"),
             F.when(k % 3 == 0, "planner").alias("parent_tool_name"))
 
+    @_once
     def query_episodes(self) -> DataFrame:
         """Episodes with nested runs.  One episode is one user in one block of 1000 events, so
         the nested value of a row holds at most 1000 calls whatever the size of the table."""
@@ -226,12 +250,14 @@ class Standins:
                                "sessions")).alias("metadata"))
 
     # ---- queries, settings, instructions ----------------------------------------------------
+    @_once
     def queries(self) -> DataFrame:
         b, e = self.table("benchmark"), self.table("embeddings")
         return b.join(e, b.item_id == e.vec_id, "left").select(
             F.col("item_id").alias("query_id"), F.col("text"), F.col("embedding"),
             F.when(F.col("item_id") % 2 == 1, self._user(F.floor(F.col("item_id") / 2))).alias("user_id"))
 
+    @_once
     def config(self) -> DataFrame:
         kind = F.pmod("p_partkey", F.lit(6))
         key = F.concat(F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")), F.lit("."), F.col("p_partkey"), F.lit("."),
@@ -244,6 +270,7 @@ class Standins:
         dtype = F.element_at(F.array(*map(F.lit, ("string", "string", "int", "float", "bool", "list"))), (kind + 1).cast("int"))
         return self.table("part").select(key.alias("key"), value.alias("value"), dtype.alias("data_type"))
 
+    @_once
     def instructions(self) -> DataFrame:
         when = self._at(F.pmod(F.col("c_custkey") * 37, F.lit(40000)) * 60)
         return self.table("customer").select(
@@ -252,6 +279,7 @@ class Standins:
             F.concat(F.lit("for "), "c_name").alias("enhanced_instruction"),
             (F.col("c_acctbal") > 0).alias("memory_enabled"), when.alias("created_at"), when.alias("updated_at"))
 
+    @_once
     def tools(self) -> DataFrame:
         return self.table("part").groupBy(F.col("p_name").alias("tool_name")).agg(
             F.concat(F.lit("makes "), F.min("p_type")).alias("description"),
