@@ -81,30 +81,31 @@ def orphan_entities(mentions: DataFrame, deleted: DataFrame) -> DataFrame:
         (F.col("hit") > 0) & (F.col("hit") == F.col("n"))).select("entity_uuid")
 
 
-def window_pairs(df: DataFrame, *, keys: list[str], ts: str = "created_at", ident: str = "uuid",
-                 hours: float = 24) -> DataFrame:
-    """Rows with an earlier row of the same key less than ``hours`` before: the latest such row.
+def neighbor(df: DataFrame, *, keys: list[str], ts: str, ident: str, direction: str = "previous") -> DataFrame:
+    """Each row with ``other``: the (t, id) of the previous or next row of its key in time order.
 
-    The range join is answered level by level, so that no level holds a whole key: the previous
-    row of the same second, else the last row of the previous second with rows in the same
-    window-wide bucket, else the last row of the bucket before.  A pair that is not reported is
-    never formed.
+    The work goes level by level so that no level holds a whole key: the neighbour within the same
+    second, else the nearest second of the same day, else the nearest day with rows.
     """
-    width = int(hours * 3600)
+    move, nearest = (F.lag, F.max) if direction == "previous" else (F.lead, F.min)
     micros = F.unix_micros(ts)
     rows = df.select(*keys, F.col(ident).alias("id"), micros.alias("t"),
-                     F.floor(micros / 1_000_000).alias("sec"),
-                     F.floor(micros / (1_000_000 * width)).alias("bucket"))
-    rows = rows.withColumn("same", F.lag(F.struct("t", "id")).over(
-        W.partitionBy(*keys, "sec").orderBy("t", "id")))
-    secs = rows.groupBy(*keys, "bucket", "sec").agg(F.max(F.struct("t", "id")).alias("last"))
-    prev_sec = secs.withColumn("near", F.lag("last").over(W.partitionBy(*keys, "bucket").orderBy("sec"))).drop("last")
-    prev_bucket = secs.groupBy(*keys, "bucket").agg(F.max("last").alias("far")).withColumn("bucket", F.col("bucket") + 1)
-    got = (rows.join(prev_sec, [*keys, "bucket", "sec"]).join(prev_bucket, [*keys, "bucket"], "left")
-           .withColumn("prev", F.coalesce("same", "near", "far")))
-    return got.filter(F.col("t") - F.col("prev.t") < width * 1_000_000).select(
-        *keys, F.col("id").alias(ident), F.col("prev.id").alias("previous_uuid"),
-        ((F.col("t") - F.col("prev.t")) / 1_000_000).alias("gap_seconds"))
+                     F.floor(micros / 1_000_000).alias("sec"), F.floor(micros / 86_400_000_000).alias("day"))
+    rows = rows.withColumn("same", move(F.struct("t", "id")).over(W.partitionBy(*keys, "sec").orderBy("t", "id")))
+    secs = rows.groupBy(*keys, "day", "sec").agg(nearest(F.struct("t", "id")).alias("edge"))
+    near = secs.select(*keys, "day", "sec", move("edge").over(W.partitionBy(*keys, "day").orderBy("sec")).alias("near"))
+    days = secs.groupBy(*keys, "day").agg(nearest("edge").alias("edge"))
+    far = days.select(*keys, "day", move("edge").over(W.partitionBy(*keys).orderBy("day")).alias("far"))
+    return (rows.join(near, [*keys, "day", "sec"]).join(far, [*keys, "day"])
+            .select(*keys, "id", "t", F.coalesce("same", "near", "far").alias("other")))
+
+
+def window_pairs(df: DataFrame, *, keys: list[str], ts: str = "created_at", ident: str = "uuid",
+                 hours: float = 24) -> DataFrame:
+    """Rows with an earlier row of the same key less than ``hours`` before: the latest such row."""
+    gap = F.col("t") - F.col("other.t")
+    return neighbor(df, keys=keys, ts=ts, ident=ident).filter(gap < int(hours * 3_600_000_000)).select(
+        *keys, F.col("id").alias(ident), F.col("other.id").alias("previous_uuid"), (gap / 1_000_000).alias("gap_seconds"))
 
 
 def metadata_struct(episodes: DataFrame, column: str = "metadata") -> DataFrame:

@@ -58,7 +58,7 @@ RUN_DDL = (
 MEMORY_DDL = "struct<content:string,user_id:string,session_id:string,source:string>"
 METADATA_DDL = (
     f"integration string, tags array<string>, memories array<{MEMORY_DDL}>, "
-    f"sessions map<string,array<{RUN_DDL}>>"
+    f"sessions map<string,array<{RUN_DDL}>>, tools_used array<{TOOL_CALL_DDL}>"
 )
 METADATA = METADATA_DDL
 TAGS_ONLY = "tags array<string>"
