@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.functions.scoring import SCORE_DIGITS
+from palimpsest.functions.scoring import SCORE_DIGITS, as_score, dot
 from palimpsest.operators.aggregates import top_per_group
 from palimpsest.operators.skew import broadcast_if_small
 from palimpsest.session import cut
@@ -185,25 +185,22 @@ def grid(left: DataFrame, right: DataFrame, block: list[str], kernel: Callable,
 
 # ---- greedy thinning ----------------------------------------------------------------------------
 
-def _greedy(pdf: pd.DataFrame, threshold: float, window: int | None, best: bool) -> tuple[list, list]:
+def _greedy(vecs: np.ndarray, t: np.ndarray, ids: np.ndarray, threshold: float, window: int | None,
+            best: bool) -> tuple[list, list]:
     """Keeper and score per row of one block, rows sorted by (t, id)."""
-    vecs, t = _matrix(pdf["vec"]), pdf["t"].to_numpy()
-    ids = pdf["id"].to_numpy()
     kept: list[int] = []
     keeper, score = [], []
-    for i in range(len(pdf)):
-        near = kept
-        if window is not None:
-            while kept and t[i] - t[kept[0]] >= window:
-                kept.pop(0)
-        if near:
-            s = _cosines(vecs[near], vecs[i:i + 1])[:, 0]
+    for i in range(len(ids)):
+        while window is not None and kept and t[i] - t[kept[0]] >= window:
+            kept.pop(0)
+        if kept:
+            s = np.round(vecs[kept] @ vecs[i], SCORE_DIGITS)
             ok = np.nonzero(s >= threshold)[0]
             if len(ok):
                 pick = ok[0]
                 if best:  # highest score, then the newest, then the smallest id
-                    pick = min(ok, key=lambda j: (-s[j], -t[near[j]], ids[near[j]]))
-                keeper.append(ids[near[pick]])
+                    pick = min(ok, key=lambda j: (-s[j], -t[kept[j]], ids[kept[j]]))
+                keeper.append(ids[kept[pick]])
                 score.append(float(s[pick]))
                 continue
         kept.append(i)
@@ -230,19 +227,72 @@ def greedy_keep(df: DataFrame, *, block: list[str], ident: str, ts: str, vector:
     rows = rows.filter(F.col("vec").isNotNull())
     sizes = rows.groupBy(*block).agg(F.count("*").alias("n"))
     hot = sizes.filter(F.col("n") > chunk_rows).select(*block)
+    total = sizes.agg(F.sum("n"), F.max("n")).first()
     schema = f"id {dict(rows.dtypes)['id']}, keeper {dict(rows.dtypes)['id']}, score double"
 
     def one_task(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"])
-        keeper, score = _greedy(pdf, threshold, window, best)
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "keeper": keeper, "score": score})
-
-    if hot.isEmpty():
-        return bare.unionByName(rows.groupBy(*block).applyInPandas(one_task, schema))
+        """Many small blocks at once: one matrix, one sort, then a walk block by block."""
+        pdf = pdf.sort_values([*block, "t", "id"], ignore_index=True)
+        vecs, t, ids = _matrix(pdf["vec"]), pdf["t"].to_numpy(), pdf["id"].to_numpy()
+        new = np.zeros(len(pdf), dtype=bool)
+        for c in block:
+            v = pdf[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.nonzero(new)[0].tolist(), len(pdf)]
+        keeper, score = [], []
+        for lo, hi in zip(cuts, cuts[1:]):
+            k, s = _greedy(vecs[lo:hi], t[lo:hi], ids[lo:hi], threshold, window, best)
+            keeper += k
+            score += s
+        return pd.DataFrame({"id": ids, "keeper": keeper, "score": score})
+
+    def in_tasks(df: DataFrame) -> DataFrame:
+        # Whole blocks share a task until about a chunk of rows is reached.
+        many = max(1, -(-int(total[0] or 0) // chunk_rows))
+        shared = df.withColumn("_task", F.pmod(F.xxhash64(*block), F.lit(many)))
+        return shared.groupBy("_task").applyInPandas(lambda pdf: one_task(pdf.drop(columns="_task")), schema)
+
+    if not total[1] or total[1] <= chunk_rows:
+        return bare.unionByName(in_tasks(rows))
     flag = broadcast_if_small(hot)
-    small = rows.join(flag, block, "left_anti").groupBy(*block).applyInPandas(one_task, schema)
     big = _greedy_rounds(rows.join(flag, block, "left_semi"), block, threshold, window, best, chunk_rows)
-    return bare.unionByName(small).unionByName(big)
+    return bare.unionByName(in_tasks(rows.join(flag, block, "left_anti"))).unionByName(big)
+
+
+def nearest_in_block(left: DataFrame, right: DataFrame, block: list[str], *, threshold: float,
+                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``id, other, score``: the nearest ``right`` row of the same block, if within ``threshold``.
+
+    Both sides: block columns, ``id``, ``vec``.  Small blocks are joined and scored in the JVM;
+    blocks too large for that meet in chunks.
+    """
+    best = F.struct((-F.col("score")).alias("s"), F.col("other"))
+    lu, ru = left.withColumn("vec", unit_vector(F.col("vec"))), right.withColumn("vec", unit_vector(F.col("vec")))
+    hot = (right.groupBy(*block).agg(F.count("*").alias("n")).filter(F.col("n") > chunk_rows).select(*block)
+           .join(left.select(*block).distinct(), block, "left_semi"))
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = a.select(*block, "id", F.col("vec").alias("v")).join(b.select(*block, F.col("id").alias("other"), F.col("vec").alias("w")), block)
+        return pairs.select("id", "other", as_score(dot(F.col("v"), F.col("w"))).alias("score")).filter(F.col("score") >= threshold)
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "other": [], "score": []})
+        b = b.sort_values("id")  # the first maximum is then the smallest id
+        s = _cosines(_matrix(a["vec"]), _matrix(b["vec"]))
+        at = s.argmax(axis=1)
+        top = s[np.arange(len(a)), at]
+        out = pd.DataFrame({"id": a["id"].to_numpy(), "other": b["id"].to_numpy()[at], "score": top})
+        return out[out["score"] >= threshold]
+
+    if hot.isEmpty():
+        hits = joined(lu, ru)
+    else:
+        flag = broadcast_if_small(hot)
+        schema = f"id {dict(left.dtypes)['id']}, other {dict(right.dtypes)['id']}, score double"
+        hits = joined(lu.join(flag, block, "left_anti"), ru).unionByName(grid(
+            left.join(flag, block, "left_semi"), right.join(flag, block, "left_semi"), block, meet, schema, chunk_rows))
+    return hits.groupBy("id").agg(F.min_by(F.struct("other", "score"), best).alias("b")).select("id", "b.other", "b.score")
 
 
 def _greedy_rounds(rows: DataFrame, block: list[str], threshold: float, window: int | None, best: bool,
@@ -323,5 +373,9 @@ def _greedy_rounds(rows: DataFrame, block: list[str], threshold: float, window:
 
 
 def unit_vector(v: Column) -> Column:
+    """The vector scaled to length one (zeros stay).  A lambda over one element binds the length,
+    which would otherwise be computed again for every component."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    one = F.array(F.struct(v.cast("array<double>").alias("v"), norm.alias("n")))
+    return F.element_at(F.transform(one, lambda b: F.transform(
+        b["v"], lambda x: F.when(b["n"] > 0, x / b["n"]).otherwise(F.lit(0.0)))), 1)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest import schema
 from palimpsest.functions import privacy, scoring, text, values
 from palimpsest.operators import aggregates, filters, joins, sets, windows
 from palimpsest.plans.registry import register
@@ -598,5 +597,3 @@ def _(s):
     return sets.dedup_names(named, document="doc", name="p_name", position="l_linenumber").select(
         "doc", "normalized", F.col("l_linenumber").alias("first_line"))
 
-
-assert schema.GRAPH_TABLES
