@@ -161,6 +161,7 @@ def grid(left: DataFrame, right: DataFrame, block: list[str], kernel: Callable,
     about ``chunk_rows`` rows of a side however large the block.
     """
     keys = block or ["_all"]
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # the sides may share lineage
     if not block:
         left, right = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0))
 
@@ -180,7 +181,14 @@ def grid(left: DataFrame, right: DataFrame, block: list[str], kernel: Callable,
 
     lhs = spread(left, "nl", "lc", "nr", "rc").groupBy(*keys, "lc", "rc")
     rhs = spread(right, "nr", "rc", "nl", "lc").groupBy(*keys, "lc", "rc")
-    return lhs.cogroup(rhs).applyInPandas(kernel, schema)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = kernel(a, b)
+        # Plain object columns: Arrow-backed strings may arrive in no or several pieces.
+        plain = [c for c in out.columns if out.empty or pd.api.types.is_string_dtype(out[c].dtype)]
+        return out.astype({c: object for c in plain})
+
+    return lhs.cogroup(rhs).applyInPandas(run, schema)
 
 
 # ---- greedy thinning ----------------------------------------------------------------------------
