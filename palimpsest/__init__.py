@@ -5,4 +5,11 @@ returns DataFrames, answers whole tables of queries in one job, and never asks f
 the caller passes ``reference_time``.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

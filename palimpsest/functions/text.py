@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The characters on which Python's ``str.split()`` splits, as a character class.
-WHITESPACE = (
-    r"[\t\n\x0B\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
+# The characters on which Python's ``str.split()`` splits.  Unicode white space plus
+# the four separators; written as a class property, which matches faster than a list of ranges.
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def tokenize(text: Column) -> Column:

@@ -13,6 +13,7 @@ from palimpsest.functions.scoring import as_score
 from palimpsest.functions.text import tokenize
 from palimpsest.operators.aggregates import top_per_group
 from palimpsest.operators.skew import BROADCAST_ROWS, split_hot_join
+from palimpsest.session import stage
 
 # The customary Okapi constants; a negative idf becomes EPSILON times the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -51,11 +52,17 @@ class Bm25Index:
 
 
 def build(docs: DataFrame) -> Bm25Index:
-    # The outer explode infers no "array is not empty" filter, which would tokenise twice.
-    terms = docs.select(F.explode_outer(F.array_distinct("tokens")).alias("tok")).groupBy("tok").agg(
-        F.count("*").alias("df")).filter(F.col("tok").isNotNull())
-    totals = docs.agg(F.count("*").alias("n"), F.sum(F.size("tokens").cast("long")).alias("total_len"))
-    return Bm25Index(docs, terms, totals)
+    """One pass over the documents gives every statistic, written once and read from then on.
+
+    Each document adds its distinct tokens and one empty token; the empty token's row therefore
+    counts documents and sums their lengths.
+    """
+    posted = docs.select(F.size("tokens").cast("long").alias("dl"),
+                         F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("tok"))
+    stats = stage(posted.groupBy("tok").agg(F.count("*").alias("df"), F.sum("dl").alias("total_len")))
+    totals = stats.filter("tok = ''").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"),
+                                          F.coalesce(F.sum("total_len"), F.lit(0)).alias("total_len"))
+    return Bm25Index(docs, stats.filter("tok <> ''").select("tok", "df"), totals)
 
 
 def term_weights(index: Bm25Index) -> DataFrame:

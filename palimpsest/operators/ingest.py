@@ -119,7 +119,8 @@ def resolve_relations(found: DataFrame, entities: DataFrame, edges: DataFrame, *
     def end(side: str) -> DataFrame:
         return ids.select("user_id", F.col("name").alias(side), F.col("uuid").alias(f"{side}_uuid"))
 
-    known = split_hot_join(split_hot_join(found, end("source"), ["user_id", "source"]), end("target"), ["user_id", "target"])
+    # One id per name: adaptive execution splits the partition of a name that holds many facts.
+    known = found.join(end("source"), ["user_id", "source"]).join(end("target"), ["user_id", "target"])
     new_id = content_key(F.col("source_uuid"), F.col("relation"), F.col("target_uuid"), F.col("fact"))
     known = known.groupBy("source_uuid", "target_uuid", "relation", "fact").agg(
         F.count("*").alias("mentions"), F.first("embedding").alias("embedding")).withColumn("new_uuid", new_id)

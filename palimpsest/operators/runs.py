@@ -35,17 +35,20 @@ def explode_runs(episodes: DataFrame) -> DataFrame:
 
 def explode_tools(episodes: DataFrame) -> DataFrame:
     """One row per tool call; older metadata keeps its calls at the top, outside any session."""
-    call = "call"
-    fields = [F.col(f"{call}.{f}").alias(f) for f in (
-        "tool_name", "success", "duration_ms", "input_params", "output_summary", "error", "parent_tool_name")]
-    at = iso_timestamp(F.col(f"{call}.timestamp")).alias("called_at")
+    none = F.lit(None).cast("string")
+    bare = F.struct(*[none.alias(f) for f in ("run_id", "user_id", "timestamp", "query", "augmented_query", "agent_response")],
+                    F.col("meta.tools_used").alias("tools_used"), none.alias("llm_saved_memory")).cast(schema.RUN_DDL)
+    sessions = F.when(F.col("meta.sessions").isNotNull(), F.map_entries("meta.sessions")).otherwise(
+        F.array(F.struct(none.alias("key"), F.array(bare).alias("value"))))
+    rows = metadata_struct(episodes).select(F.col("uuid").alias("episode_uuid"), "user_id", "created_at",
+                                            F.posexplode(sessions).alias("session_pos", "session"))
+    rows = rows.select("episode_uuid", "user_id", "created_at", "session_pos", F.col("session.key").alias("session_id"),
+                       F.posexplode("session.value").alias("run_pos", "run"))
     base = ["episode_uuid", "user_id", "created_at", "session_pos", "session_id", "run_pos", "run_id"]
-    nested = explode_runs(episodes).select(*base, F.posexplode("tools_used").alias("call_pos", call))
-    legacy = metadata_struct(episodes).filter("meta.sessions IS NULL").select(
-        F.col("uuid").alias("episode_uuid"), "user_id", "created_at", F.lit(0).alias("session_pos"),
-        F.lit(None).cast("string").alias("session_id"), F.lit(0).alias("run_pos"),
-        F.lit(None).cast("string").alias("run_id"), F.posexplode("meta.tools_used").alias("call_pos", call))
-    return nested.unionByName(legacy).select(*base, "call_pos", *fields, at)
+    rows = rows.select(*base[:-1], F.col("run.run_id").alias("run_id"), F.posexplode("run.tools_used").alias("call_pos", "call"))
+    fields = [F.col(f"call.{f}").alias(f) for f in (
+        "tool_name", "success", "duration_ms", "input_params", "output_summary", "error", "parent_tool_name")]
+    return rows.select(*base, "call_pos", *fields, iso_timestamp(F.col("call.timestamp")).alias("called_at"))
 
 
 def tool_stats(calls: DataFrame, *, min_executions: int = 1) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import augment, metadata, runs
 from palimpsest.plans.registry import register
 from palimpsest.plans.retrieval import top
+from palimpsest.session import stage
 
 RUN_SELECT = "SELECT episode_uuid, session_id, run_id, ts AS run_at, augmented_query, agent_response, llm_saved_memory, n_calls FROM fx_runs"
 
@@ -37,7 +38,7 @@ def _(s):
         SELECT c.tool_name, c.error, row_number() OVER (PARTITION BY c.tool_name ORDER BY q.created_at, c.episode_uuid, c.session_id, c.run_id, c.ts, c.event_id) AS rn
         FROM fx_tool_calls c JOIN fx_query_episodes q ON q.uuid = c.episode_uuid WHERE NOT c.success) WHERE rn <= 5 GROUP BY 1) USING (tool_name) GROUP BY 1""")
 def _(s):
-    stats = runs.tool_stats(runs.explode_tools(s.query_episodes()))
+    stats = runs.tool_stats(runs.explode_tools(stage(s.query_episodes())))
     return stats.withColumns({
         "success_rate": F.round("success_rate", 6), "avg_duration_ms": F.round("avg_duration_ms", 6),
         "recent_errors": F.array_join(F.transform("recent_errors", lambda e: e["error"]), ",")})
@@ -47,7 +48,7 @@ def _(s):
     SELECT user_id, tool_name, count(*) AS usage_count, round(count(*) FILTER (success) / count(*), 6) AS success_rate, max(ts) AS last_used
     FROM fx_tool_calls GROUP BY 1, 2""", 3, "usage_count DESC, tool_name", "user_id") + ")")
 def _(s):
-    return runs.tool_preferences(runs.explode_tools(s.query_episodes()), limit=3).withColumn("success_rate", F.round("success_rate", 6))
+    return runs.tool_preferences(runs.explode_tools(stage(s.query_episodes())), limit=3).withColumn("success_rate", F.round("success_rate", 6))
 
 
 @register("run_tool_summary", """
@@ -69,7 +70,7 @@ def _(s):
         SELECT h.query_id, h.rank, r.session_id, r.episode_uuid, max(r.ts) AS session_at FROM h JOIN fx_runs r ON r.episode_uuid = h.uuid GROUP BY ALL)) WHERE rn = 1""",
           extra="h AS (SELECT user_key AS query_id, uuid, (row_number() OVER (PARTITION BY user_key ORDER BY created_at, uuid))::INTEGER AS rank FROM fx_query_episodes)")
 def _(s):
-    eps = s.query_episodes()
+    eps = stage(s.query_episodes())
     owner = F.regexp_extract("uuid", r"^q(\d+)_", 1).cast("long")
     from pyspark.sql import Window as W
     hits = eps.select(owner.alias("query_id"), "uuid", "created_at").withColumn(
@@ -100,7 +101,7 @@ SIMILAR = """
 
 @register("similar_queries", "SELECT query_id, uuid, score, rank FROM sq", extra=SIMILAR)
 def _(s):
-    return augment.similar_queries(s.query_episodes(), s.queries()).select("query_id", "uuid", "score", "rank")
+    return augment.similar_queries(stage(s.query_episodes()), s.queries()).select("query_id", "uuid", "score", "rank")
 
 
 @register("augment_context", """
@@ -113,7 +114,7 @@ def _(s):
             SELECT sq.query_id, sq.rank, r.session_id, max(r.ts) AS session_at FROM sq JOIN fx_runs r ON r.episode_uuid = sq.uuid GROUP BY ALL)) WHERE rn = 1) l ON l.query_id = b.query_id""",
           extra=SIMILAR)
 def _(s):
-    out = augment.augment_context(s.query_episodes(), s.queries(),
+    out = augment.augment_context(stage(s.query_episodes()), s.queries(),
                                   template="[{agent_response}] {last_session} | {tool_summary} | {query_text}")
     # The session block is checked by its first line; its layout is covered by the unit tests.
     short = F.regexp_replace("context", r"(?s)\] Session ID: ([^\n]+)\n\nRuns in this session.*?ms\) \| ", "] $1 | ")
@@ -163,7 +164,7 @@ def incoming_runs(s):
     """.replace("q.uuid}).u AS ep FROM fx_runs r JOIN fx_query_episodes q ON q.uuid = r.episode_uuid GROUP BY 1, 2",
                 "q.uuid}).u AS ep FROM (SELECT DISTINCT session_id, user_key, episode_uuid FROM fx_runs) r JOIN (SELECT uuid, created_at FROM fx_query_episodes) q ON q.uuid = r.episode_uuid GROUP BY 1, 2"))
 def _(s):
-    to_append, to_create = runs.prepare_query_runs(s.query_episodes(), incoming_runs(s))
+    to_append, to_create = runs.prepare_query_runs(stage(s.query_episodes()), incoming_runs(s))
     a = to_append.select("session_id", F.lit("append").alias("action"), "episode_uuid")
     return a.unionByName(to_create.select("session_id", F.lit("create").alias("action"), F.lit(None).cast("string").alias("episode_uuid")))
 
@@ -185,7 +186,7 @@ def _(s):
 @register("add_session_key", """
     SELECT uuid, (SELECT count(DISTINCT session_id) FROM fx_runs r WHERE r.episode_uuid = q.uuid) + 1 AS n_sessions, 'Run,' || user_id AS tags FROM fx_query_episodes q""")
 def _(s):
-    eps = s.query_episodes()
+    eps = stage(s.query_episodes())
     first = runs.explode_runs(eps).groupBy("episode_uuid").agg(F.min("session_id").alias("session_id"))
     links = first.unionByName(first.withColumn("session_id", F.concat(F.lit("extra_"), "episode_uuid")))
     out = metadata.add_session_key(eps, links)
@@ -198,7 +199,7 @@ def _(s):
     SELECT DISTINCT episode_uuid, session_id, 'again_' || session_id, 0 FROM fx_runs UNION ALL
     SELECT DISTINCT episode_uuid, 'fresh', 'fresh_run', 0 FROM fx_runs""")
 def _(s):
-    eps = s.query_episodes()
+    eps = stage(s.query_episodes())
     have = runs.explode_runs(eps)
     last = have.groupBy("episode_uuid", "session_id").agg(F.max("run_id").alias("run_id"))
     again = have.select("episode_uuid", "session_id", F.concat(F.lit("again_"), "session_id").alias("run_id")).distinct()
@@ -228,7 +229,7 @@ def _(s):
     SELECT episode_uuid, session_id, run_id, CASE WHEN run_id = max(run_id) OVER (PARTITION BY episode_uuid, session_id)
            THEN 'all done' ELSE agent_response END AS agent_response FROM fx_runs""")
 def _(s):
-    eps = s.query_episodes()
+    eps = stage(s.query_episodes())
     parts = runs.explode_runs(eps).select("episode_uuid", "session_id").distinct().withColumn(
         "p", F.explode(F.array(F.struct(F.lit(2).alias("part_no"), F.lit("done").alias("part")), F.struct(F.lit(1).alias("part_no"), F.lit("all").alias("part")))))
     out = metadata.set_agent_response(eps, parts.select("episode_uuid", "session_id", "p.*"))
@@ -238,7 +239,7 @@ def _(s):
 @register("append_memory", """
     SELECT episode_uuid AS uuid, string_agg('seen ' || run_id, ',' ORDER BY ts, 'seen ' || run_id) AS memories FROM fx_runs GROUP BY 1""")
 def _(s):
-    eps = s.query_episodes()
+    eps = stage(s.query_episodes())
     mem = runs.explode_runs(eps).select("episode_uuid", F.col("run_at").alias("created_at"), F.concat(F.lit("seen "), "run_id").alias("content"),
                                         "user_id", "session_id", F.lit("agent").alias("source"))
     out = metadata.append_memory(eps, mem)

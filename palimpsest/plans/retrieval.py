@@ -207,7 +207,7 @@ def _(s):
 
 @register("traversal_search", OUT + "traversal", extra=TRAVERSAL)
 def _(s):
-    return search.graph_search(graph(s), s.queries(), CFG)
+    return search.graph_search(stored_graph(s), s.queries(), CFG)
 
 
 @register("rrf_fuse", OUT + "hybrid", extra=SEMANTIC + "," + KEYWORD + ", traversal AS (SELECT * FROM semantic WHERE false)," + FUSED)
@@ -240,7 +240,7 @@ def _(s):
     JOIN fx_edges e ON e.uuid = c.edge_uuid JOIN fx_entities n ON n.uuid = c.entity_uuid WHERE n.entity_type = 'SUPPLIER'""")
 def _(s):
     seeds = filters.by_entity_type(s.entities(), "SUPPLIER").select("uuid")
-    return search.entity_context(graph(s), seeds, CFG).select(
+    return search.entity_context(stored_graph(s), seeds, CFG).select(
         "entity_uuid", "entity_name", "entity_type", "edge_uuid", "fact", "relationship_count")
 
 

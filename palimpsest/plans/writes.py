@@ -276,7 +276,7 @@ def _(s):
     SELECT uuid, CASE WHEN nxt IS NOT NULL THEN nxt ELSE invalid_at END AS invalid_at, CASE WHEN nxt IS NOT NULL THEN nxt ELSE expired_at END AS expired_at FROM (
       SELECT *, CASE WHEN expired_at IS NULL AND name = 'SUPPLIES' THEN lead(valid_at) OVER (PARTITION BY source_uuid, name, expired_at IS NULL ORDER BY valid_at, uuid) END AS nxt FROM fx_edges)""")
 def _(s):
-    return ingest.invalidate_contradictions(s.edges(), ["SUPPLIES"]).select("uuid", "invalid_at", "expired_at")
+    return ingest.invalidate_contradictions(stage(s.edges()), ["SUPPLIES"]).select("uuid", "invalid_at", "expired_at")
 
 
 @register("update_summaries", f"""
@@ -363,7 +363,7 @@ MINE = "SELECT uuid FROM fx_entities WHERE user_id = 'u_de'"
     SELECT 'mentions', count(*) FROM fx_mentions WHERE entity_uuid NOT IN ({MINE}) AND episode_uuid NOT IN (SELECT uuid FROM fx_episodes WHERE user_id = 'u_de')""")
 def _(s):
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("tbl"), "n") for k, df in
-             maintain.delete_user(s.episodes(), s.entities(), s.edges(), s.mentions(), "u_de").items()]
+             maintain.delete_user(s.episodes(), stage(s.entities()), s.edges(), s.mentions(), "u_de").items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
@@ -389,7 +389,7 @@ GONE = "SELECT uuid FROM fx_episodes WHERE user_id = 'u_en'"
     orph AS (SELECT entity_uuid AS uuid FROM fx_mentions GROUP BY 1 HAVING bool_and(episode_uuid IN ({GONE})))""")
 def _(s):
     gone = s.episodes().filter("user_id = 'u_en'").select("uuid")
-    return maintain.delete_episodes(s.episodes(), s.entities(), s.edges(), s.mentions(), gone)[1]
+    return maintain.delete_episodes(s.episodes(), stage(s.entities()), stage(s.edges()), s.mentions(), gone)[1]
 
 
 # ---- communities --------------------------------------------------------------------------------
