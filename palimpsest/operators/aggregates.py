@@ -76,7 +76,10 @@ def graph_payload(entities: DataFrame, edges: DataFrame, *, node_limit: int = 10
     return nodes.unionByName(links)
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list, limit: int, rank: str = "rank") -> DataFrame:
-    """Top rows per group.  Spark limits each group inside every task before it shuffles."""
-    return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(
-        F.col(rank) <= limit)
+def top_per_group(df: DataFrame, keys: list[str], order: list, limit: int | None, rank: str = "rank") -> DataFrame:
+    """Top rows per group (all of them, ranked, without a limit).
+
+    Spark limits each group inside every task before it shuffles.
+    """
+    ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked if limit is None else ranked.filter(F.col(rank) <= limit)

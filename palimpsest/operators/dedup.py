@@ -12,7 +12,7 @@ from palimpsest.functions.text import content_key
 from palimpsest.operators import bm25, filters
 from palimpsest.operators.skew import HOT_ROWS, broadcast_if_small
 from palimpsest.operators.vectors import CHUNK_ROWS, greedy_keep
-from palimpsest.session import cut
+from palimpsest.session import stage
 
 
 def kept_anchors(times: DataFrame, keys: list[str], width: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -39,7 +39,8 @@ def kept_anchors(times: DataFrame, keys: list[str], width: int, hot_rows: int =
 
 def _sweep(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
     """One pass over hot keys in time order, one bucket a step; state is one time per hot key."""
-    rows = cut(rows.withColumn("b", F.floor(F.col("t") / width)).repartitionByRange("b", "t"))
+    rows = rows.withColumn("b", F.floor(F.col("t") / width)).repartitionByRange("b", "t")
+    rows = stage(rows, partition_by="b")  # each step reads only the files of its bucket
     buckets = [r["b"] for r in rows.select("b").distinct().orderBy("b").collect()]  # one per window width
     spark, schema = rows.sparkSession, rows.select(*keys, "t").schema
     last: dict[tuple, int] = {}

@@ -116,7 +116,7 @@ def semantic_search(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFram
     ents = ents.groupBy("query_id", "uuid").agg(F.max("score").alias("score"))
     times = g.entities.select("uuid", "created_at")
     ents = top_per_group(ents.join(times, "uuid"), ["query_id"],
-                         [F.desc("score"), F.desc_nulls_last("created_at"), "uuid"], 1 << 30)
+                         [F.desc("score"), F.desc_nulls_last("created_at"), "uuid"], None)
     return eps.unionByName(_kind(ents, "entity")).unionByName(edges)
 
 

@@ -1,10 +1,12 @@
-"""Keyed upserts.  A batch is first reduced to one update per key, then merged by an outer join."""
+"""Keyed upserts.  A batch is first reduced to one update per key, then merged with the stored rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.operators.sets import merge_episode_lists
+from palimpsest.operators.skew import BROADCAST_ROWS
+from palimpsest.session import stage
 
 
 def latest(updates: DataFrame, keys: list[str], *, at: str = "created_at", tie: str = "uuid", **extra: Column) -> DataFrame:
@@ -17,15 +19,28 @@ def latest(updates: DataFrame, keys: list[str], *, at: str = "created_at", tie:
 
 
 def merge(target: DataFrame, updates: DataFrame, keys: list[str], on_match: dict[str, str | Column]) -> DataFrame:
-    """Outer join of one update per key.
+    """Stored rows merged with one update per key.
 
     ``on_match`` gives for a column what a matched row gets: ``"new"`` (the update's value),
     ``"new_if_set"``, or an expression over ``t.col`` and ``u.col``; columns not named keep the old
     value.  Unmatched updates are inserted as they are.
     """
-    t, u = target.withColumn("_t", F.lit(True)).alias("t"), updates.withColumn("_u", F.lit(True)).alias("u")
     cond = [F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]
-    both = t.join(u, cond, "full_outer")
+    updates = stage(updates)
+    t, u = target.withColumn("_t", F.lit(True)).alias("t"), updates.withColumn("_u", F.lit(True)).alias("u")
+    if updates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # A bounded batch goes to the stored rows, which are then read but never shuffled.
+        known = target.select(*keys).alias("t").join(F.broadcast(u), cond, "left_semi").distinct()
+        fresh = updates.alias("u").join(F.broadcast(known.alias("t")), cond, "left_anti")
+        types = dict(target.dtypes)
+        inserts = fresh.select(*[(F.col(c) if c in updates.columns else F.lit(None)).cast(types[c]).alias(c)
+                                 for c in target.columns])
+        return _changed(t.join(F.broadcast(u), cond, "left"), target, updates, on_match).unionByName(inserts)
+    return _changed(t.join(u, cond, "full_outer"), target, updates, on_match)
+
+
+def _changed(both: DataFrame, target: DataFrame, updates: DataFrame, on_match: dict[str, str | Column]) -> DataFrame:
+    """The joined rows with ``on_match`` applied."""
     matched = F.col("_t").isNotNull() & F.col("_u").isNotNull()
     types = dict(target.dtypes)
     cols = []

@@ -365,7 +365,8 @@ def _(s):
     return s.table("documents").select("doc_id", text.content_key(F.lit("m"), F.lit("64"), F.col("text")).alias("key"))
 
 
-@register("sample_rows")
+@register("sample_rows", """
+    SELECT event_id, session_id, tool_name FROM fx_tool_calls WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 1000000 < 250000""")
 def _(s):
     return s.tool_calls().filter(values.keep_sample(F.col("event_id"), 0.25)).select("event_id", "session_id", "tool_name")
 

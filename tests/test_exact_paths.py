@@ -266,3 +266,15 @@ def test_workflow_match_equals_all_pairs(spark, threshold):
         if best:
             want[qid] = best
     assert got == want
+
+
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_upsert_routes(spark, bound, monkeypatch):
+    from palimpsest.operators import upserts
+    monkeypatch.setattr(upserts, "BROADCAST_ROWS", bound)
+    schema = "uuid string, name string, summary string, mentions long, created_at timestamp, name_embedding array<double>"
+    old = spark.createDataFrame([("a", "A", "s", 2, T0, [1.0]), ("b", "B", "s", 1, T0, None)], schema)
+    new = spark.createDataFrame([("a", "A1", "t1", 1, T0, None), ("a", "A2", "t2", 1, T0 + dt.timedelta(days=1), None),
+                                 ("c", "C", "u", 1, T0, [2.0])], schema)
+    got = {r.uuid: (r.name, r.summary, r.mentions, r.name_embedding) for r in upserts.upsert_entities(old, new).collect()}
+    assert got == {"a": ("A", "t2", 4, [1.0]), "b": ("B", "s", 1, None), "c": ("C", "u", 1, [2.0])}
