@@ -13,9 +13,9 @@ def workflow_match(queries: DataFrame, workflows: DataFrame, *, threshold: float
                    min_chars: int = 3) -> DataFrame:
     """``query_id, workflow_id, similarity``: the best workflow with overlap >= ``threshold``.
 
-    Equal texts are matched once.  A pair can only reach the threshold if it shares one of the
-    query's rarest ``(1 - threshold)`` share of words, so only those words generate candidates,
-    which are then scored exactly.  Ties go to the first workflow.
+    Equal texts are matched once.  With many workflows only the query's rarest words generate
+    candidates, which are then scored exactly: a pair can only reach the threshold if it shares one
+    of the rarest ``(1 - threshold)`` share of words.  Ties go to the first workflow.
     """
     def words(c: str):
         return F.filter(tokenize(F.col(c)), lambda w: F.length(w) >= min_chars)
@@ -27,23 +27,32 @@ def workflow_match(queries: DataFrame, workflows: DataFrame, *, threshold: float
     q = keyed.groupBy("k").agg(F.first("text").alias("text")).select("k", words("text").alias("said"))
 
     wf_words = wf.select("workflow_id", F.size("pattern").alias("n_pattern"), F.explode_outer(F.array_distinct("pattern")).alias("w"))
-    hint = F.broadcast if wf_words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
-    rarity = wf_words.groupBy("w").agg(F.count("*").alias("df"))
     q_words = (q.select("k", F.size("said").alias("n_said"), F.explode_outer("said").alias("w"))
-               .groupBy("k", "n_said", "w").agg(F.count("*").alias("n"))
-               .join(hint(rarity), "w", "left"))
-    before = F.sum("n").over(W.partitionBy("k").orderBy(F.coalesce("df", F.lit(0)), "w")
-                             .rowsBetween(W.unboundedPreceding, -1))
-    # A rounded score may pass from just below, so the bounds use a slightly lower threshold.
-    floor = threshold - 1e-6
-    prefix = q_words.withColumn("before", F.coalesce(before, F.lit(0))).filter(
-        F.col("df").isNotNull() & (F.col("before") <= F.col("n_said") - F.ceil(F.col("n_said") * floor)))
-    pairs = (prefix.select("k", "n_said", "w").join(hint(wf_words), "w")
-             .filter(F.col("n_pattern") * floor <= F.col("n_said")).select("k", "workflow_id").distinct())
-    shared = pairs.join(hint(wf_words), "workflow_id").join(q_words, ["k", "w"])
+               .groupBy("k", "n_said", "w").agg(F.count("*").alias("n")))
+    if wf_words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # A bounded set of workflows goes to the queries' words; hits add up before the shuffle.
+        shared = q_words.join(F.broadcast(wf_words), "w")
+    else:
+        pairs = _candidates(q_words, wf_words, threshold)
+        shared = pairs.join(wf_words, "workflow_id").join(q_words, ["k", "w"])
     scored = shared.groupBy("k", "workflow_id").agg(as_score(
         F.sum("n") / F.max(F.greatest("n_said", "n_pattern"))).alias("similarity"))
     best = scored.filter(F.col("similarity") >= threshold).groupBy("k").agg(
         F.min_by(F.struct("workflow_id", "similarity"), F.struct((-F.col("similarity")).alias("s"), F.col("workflow_id"))).alias("b"))
     return split_hot_join(keyed.select("query_id", "k"), best, ["k"]).select(
         "query_id", "b.workflow_id", "b.similarity")
+
+
+def _candidates(q_words: DataFrame, wf_words: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``k, workflow_id`` that can reach the threshold: they share a rare word of the query,
+    and the workflow is not too long."""
+    rarity = wf_words.groupBy("w").agg(F.count("*").alias("df"))
+    ranked = q_words.join(rarity, "w", "left")
+    before = F.sum("n").over(W.partitionBy("k").orderBy(F.coalesce("df", F.lit(0)), "w")
+                             .rowsBetween(W.unboundedPreceding, -1))
+    # A rounded score may pass from just below, so the bounds use a slightly lower threshold.
+    floor = threshold - 1e-6
+    prefix = ranked.withColumn("before", F.coalesce(before, F.lit(0))).filter(
+        F.col("df").isNotNull() & (F.col("before") <= F.col("n_said") - F.ceil(F.col("n_said") * floor)))
+    return (prefix.select("k", "n_said", "w").join(wf_words, "w")
+            .filter(F.col("n_pattern") * floor <= F.col("n_said")).select("k", "workflow_id").distinct())

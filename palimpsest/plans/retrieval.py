@@ -30,6 +30,11 @@ def graph(s: Standins) -> StandinGraph:
     return StandinGraph(s)
 
 
+def facts_only(s: Standins) -> search.Graph:
+    """For walking: edges without vectors, written once because every level reads them."""
+    return search.Graph(s.episodes(), s.entities(), stage(s.edges().drop("fact_embedding", "episodes")), s.mentions())
+
+
 def stored_graph(s: Standins) -> search.Graph:
     """As the tables would lie in storage: entities, and edges with their owner, written once."""
     entities = stage(s.entities())
@@ -207,7 +212,7 @@ def _(s):
 
 @register("traversal_search", OUT + "traversal", extra=TRAVERSAL)
 def _(s):
-    return search.graph_search(stored_graph(s), s.queries(), CFG)
+    return search.graph_search(facts_only(s), s.queries(), CFG)
 
 
 @register("rrf_fuse", OUT + "hybrid", extra=SEMANTIC + "," + KEYWORD + ", traversal AS (SELECT * FROM semantic WHERE false)," + FUSED)
@@ -240,7 +245,7 @@ def _(s):
     JOIN fx_edges e ON e.uuid = c.edge_uuid JOIN fx_entities n ON n.uuid = c.entity_uuid WHERE n.entity_type = 'SUPPLIER'""")
 def _(s):
     seeds = filters.by_entity_type(s.entities(), "SUPPLIER").select("uuid")
-    return search.entity_context(stored_graph(s), seeds, CFG).select(
+    return search.entity_context(facts_only(s), seeds, CFG).select(
         "entity_uuid", "entity_name", "entity_type", "edge_uuid", "fact", "relationship_count")
 
 

@@ -242,8 +242,10 @@ def test_index_round_trip(spark, tmp_path):
     assert [r.uuid for r in bm25.search(bm25.Bm25Index.load(spark, str(tmp_path)), q).collect()] == ["b"]
 
 
+@pytest.mark.parametrize("bound", [0, 100_000])
 @pytest.mark.parametrize("threshold", [0.2, 0.6])
-def test_workflow_match_equals_all_pairs(spark, threshold):
+def test_workflow_match_equals_all_pairs(spark, threshold, bound, monkeypatch):
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", bound)
     rng = random.Random(21)
     words = [f"word{i}" for i in range(14)] + ["the", "of"]
     text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))
