@@ -87,7 +87,7 @@ def score(index: Bm25Index, queries: DataFrame, candidates: DataFrame | None = N
     vocab = q.select("tok").distinct()
     small = q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     weights = term_weights(index).join(F.broadcast(vocab) if small else vocab, "tok", "left_semi")
-    avgdl = index.totals.select((F.col("total_len") / F.col("n")).alias("a")).scalar()
+    avgdl = index.totals.select(F.try_divide("total_len", "n").alias("a")).scalar()  # null if empty
     docs = index.docs if candidates is None else candidates
     posted = docs.select(*DOC_COLUMNS, F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("tok"))
     hits = posted.join(F.broadcast(weights), "tok") if small else split_hot_join(posted, weights, ["tok"])
