@@ -21,6 +21,8 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from palimpsest.llm import (  # noqa: F401
+        monoid_bpe,
+        prefix_counts,
         sharding,
         warc,
     )
