@@ -21,6 +21,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from palimpsest.llm import (  # noqa: F401
+        fm_decontaminate,
         monoid_bpe,
         prefix_counts,
         sharding,
