@@ -22,6 +22,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     from palimpsest.llm import (  # noqa: F401
         chunk_prints,
+        dart_minhash,
         fm_decontaminate,
         license_rules,
         monoid_bpe,
