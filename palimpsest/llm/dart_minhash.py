@@ -198,6 +198,45 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _open_members(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (bucket, node, n, class) of the buckets in which documents of several classes are left."""
+    member = shared.join(classes, "node", "left").select("bucket", "node", "n", F.coalesce("class", "node").alias("class"))
+    open_ = member.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("bucket")
+    return stage(member.join(open_, "bucket"))
+
+
+def _chance_pairs(member: DataFrame, items: DataFrame) -> DataFrame:
+    """In each open bucket, all documents of other classes with one that chance picks, another one in every bucket."""
+    pick = F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "n", "class")).alias("pick")
+    both = member.join(member.groupBy("bucket").agg(pick), "bucket")
+    both = both.filter((F.col("class") != F.col("pick.class")) & _alike(F.col("n"), F.col("pick.n")))
+    return both.select(F.least("node", "pick.node").alias("a"), F.greatest("node", "pick.node").alias("b")).distinct()
+
+
+def _last_pairs(member: DataFrame, items: DataFrame) -> DataFrame:
+    """All pairs of different classes in open buckets that can be alike at all, each once.
+
+    Shingles that no other class has are in no such pair's common part. A document with too many of them
+    is alike to none and goes; of others, each pair must leave room for the likeness. Near copies of one text that are not
+    alike to each other differ by just such shingles, and so are not compared.
+    """
+    node = member.select("node", "class").distinct()
+    each = stage(node.join(items, "node").select("node", "class", F.explode("items").alias("item")))
+    own = each.groupBy("item").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low = high").select("item")
+    own = each.join(own, "item").groupBy("node").agg(F.count("*").alias("own"))
+    left = member.join(own, "node", "left").withColumn("room", F.col("n") - F.coalesce("own", F.lit(0)))
+    left = left.filter(F.col("room") >= SIMILAR * F.col("n"))
+    buckets = left.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # one for each band at most
+    left = stage(left.join(buckets, "node").select("bucket", "node", "n", "class", "room", "buckets"))
+    a, b = (left.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in left.columns[1:]]) for x in "ab")
+    most = F.least("room_a", "room_b")
+    possible = (F.col("class_a") < F.col("class_b")) & (most >= SIMILAR * (F.col("n_a") + F.col("n_b") - most))
+    first = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("buckets.bucket")
+    a, b = a.alias("buckets"), b.alias("others")
+    return a.join(b, (F.col("buckets.bucket") == F.col("others.bucket")) & possible & first).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id of its group of near-duplicates), copies (documents of the same words).
 
@@ -208,9 +247,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that share an id share a class. Other columns of ``docs`` are not looked at.
 
     Documents of the same words are one from the start, so that a group of copies of any size costs a grouped
-    minimum. In each bucket of a band, all are first checked against its smallest document; when the links found
-    have been joined to classes, documents of different classes that still share a bucket are checked with each other.
-    So a group of near copies takes one check for each of its documents, not one for each pair.
+    minimum. In each bucket of a band, all are first checked against its smallest document, then, where several classes
+    are left, against one picked by chance, then all of different classes that can still be alike with each other.
+    So a group of near copies takes a few checks for each of its documents, not one for each pair.
     """
     sketch = stage(sketches(docs))
     node = F.coalesce(F.min("doc_id"), F.shiftleft(F.lit(1).cast("long"), 62).bitwiseOR(F.shiftrightunsigned(F.first("k1"), 2)))
@@ -234,15 +273,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     items = stage(named.unionByName(unnamed).join(wanted.select(*same, "node"), same).select("node", "items"))
     links = stage(checked(pairs, items))
     classes = components(links)
-    member = shared.join(classes, "node", "left").select("bucket", "node", "n", F.coalesce("class", "node").alias("class"))
-    open_ = member.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("bucket")
-    member = stage(member.join(open_, "bucket"))
-    a, b = (member.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "class")]) for x in "ab")
-    late = (a.join(b, "bucket").filter((F.col("class_a") < F.col("class_b")) & _alike(F.col("n_a"), F.col("n_b")))
-            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    more = stage(checked(late, items))
-    if not more.isEmpty():
-        classes = components(links.union(more))
+    for pairs_of in (_chance_pairs, _last_pairs):
+        more = stage(checked(pairs_of(_open_members(shared, classes), items), items))
+        if not more.isEmpty():
+            links = links.union(more)
+            classes = components(links)
     of_text = texts.join(classes, "node", "left").select(*same, F.coalesce("class", "node").alias("class_id"), "copies")
     return sketch.select("doc_id", *same).join(of_text, same).select("doc_id", "class_id", "copies")
 
