@@ -28,5 +28,6 @@ def load_all() -> None:
         monoid_bpe,
         prefix_counts,
         sharding,
+        toxicity,
         warc,
     )
