@@ -24,6 +24,7 @@ def load_all() -> None:
         chunk_prints,
         dart_minhash,
         fm_decontaminate,
+        kneser_ney,
         license_rules,
         monoid_bpe,
         prefix_counts,
