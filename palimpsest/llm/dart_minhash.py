@@ -18,6 +18,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 #: 36 bands of 5: two documents that are alike to 0.8 share no band with a chance of 6e-7.
 BANDS, ROWS = 36, 5
+#: Times that documents alike to none are looked for; any number gives the same classes.
+PRUNINGS = 3
 #: A table of ids is sent to all tasks if it has at most so many rows of 16 bytes.
 BROADCAST_ROWS = 2_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -217,15 +219,20 @@ def _last_pairs(member: DataFrame, items: DataFrame) -> DataFrame:
     """All pairs of different classes in open buckets that can be alike at all, each once.
 
     Shingles that no other class has are in no such pair's common part. A document with too many of them
-    is alike to none and goes; of others, each pair must leave room for the likeness. Near copies of one text that are not
-    alike to each other differ by just such shingles, and so are not compared.
+    is alike to none and goes, by which more shingles become one class's own; so this is done PRUNINGS times. Of others,
+    each pair must leave room for the likeness. Near copies of one text that are not alike to each other differ by
+    just such shingles, and so are not compared.
     """
     node = member.select("node", "class").distinct()
     each = stage(node.join(items, "node").select("node", "class", F.explode("items").alias("item")))
-    own = each.groupBy("item").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low = high").select("item")
-    own = each.join(own, "item").groupBy("node").agg(F.count("*").alias("own"))
-    left = member.join(own, "node", "left").withColumn("room", F.col("n") - F.coalesce("own", F.lit(0)))
-    left = left.filter(F.col("room") >= SIMILAR * F.col("n"))
+    sizes = member.select("node", "n").distinct()
+    for _ in range(PRUNINGS):
+        own = each.groupBy("item").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low = high").select("item")
+        own = each.join(own, "item").groupBy("node").agg(F.count("*").alias("own"))
+        sizes = sizes.select("node", "n").join(own, "node", "left").withColumn("room", F.col("n") - F.coalesce("own", F.lit(0)))
+        sizes = stage(sizes.filter(F.col("room") >= SIMILAR * F.col("n")).select("node", "n", "room"))
+        each = each.join(sizes.select("node"), "node", "left_semi")
+    left = member.join(sizes.select("node", "room"), "node")
     buckets = left.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # one for each band at most
     left = stage(left.join(buckets, "node").select("bucket", "node", "n", "class", "room", "buckets"))
     a, b = (left.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in left.columns[1:]]) for x in "ab")
