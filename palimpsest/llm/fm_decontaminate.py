@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import ALNUM, bound_batches, steps, table, words
 from palimpsest.llm.registry import query
@@ -187,7 +188,9 @@ class Phrases:
                 yield back[index.locate(low[which] + nth - (ends - high + low)[which])], some[which]
 
 
-STATE = "_words long, _spans array<struct<start:int,end:int>>, _items array<string>"
+STATE = [T.StructField("_words", T.LongType()),
+         T.StructField("_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+         T.StructField("_items", T.ArrayType(T.StringType()))]
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -209,6 +212,8 @@ def _merge(old, inside: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` (text among them), and ``_words``, ``_spans`` of hit words, and ``_items`` that occur.
 
+    Columns of ``docs`` by these names are replaced.
+
     ``benchmark``: item_id, text. Items without words have no windows; an item of fewer words than a window is
     one; repeated items count once; an item without an id marks words but is not listed. A null text has no
     words. The benchmark is a query set: it is read in blocks of about ``block_bytes``, whose sizes are summed first,
@@ -216,12 +221,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     shard and drops it: nothing is shuffled, memory is that of one index.
     """
     bound_batches(docs.sparkSession)
-    if clash := {"_words", "_spans", "_items"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    docs = docs.drop("_words", "_spans", "_items")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out, kept = docs, docs.columns
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
@@ -243,7 +246,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
                     [*columns, pa.array(np.diff(offsets)), pa.array(_merge(old, inside, offsets), _SPANS), pa.array(found, pa.list_(pa.string()))],
                     [*kept, "_words", "_spans", "_items"])
 
-        out = out.mapInArrow(run, f"{kinds}, {STATE}")
+        out = out.mapInArrow(run, T.StructType([*docs.schema.fields, *STATE]))
     return out
 
 

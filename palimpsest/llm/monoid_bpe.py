@@ -7,9 +7,11 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import bound_batches, steps, table
 from palimpsest.llm.pretokens import compiled, encoding
@@ -122,32 +124,33 @@ def coder(path: str, pattern: str) -> TreeCoder:
 def encode_texts(docs: DataFrame, ranks_path: str | None = None, ids: bool = False) -> DataFrame:
     """All columns of ``docs``, and for the column text: ``_n_tokens``, ``_ids_sha256`` and ``_decoded_sha256``.
 
-    With ``ids``, also ``_ids``, an array of the token ids. A null text is an empty one: no tokens. Documents stay
-    where they are; a task holds a step of texts and its remembered pieces. Names that begin with an underscore
-    and are in ``docs`` already raise an error.
+    With ``ids``, also ``_ids``, an array of the token ids. A null text is an empty one: no tokens. Columns of ``docs`` by
+    these names are replaced. Documents stay where they are; a task holds a step of texts and its remembered pieces.
     """
     bound_batches(docs.sparkSession)
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = public_tokenizers.PATTERN
-    extra = "_n_tokens long, _ids_sha256 string, _decoded_sha256 string" + ", _ids array<int>" * ids
-    if clash := {x.split()[0] for x in extra.split(", ")} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    extra = [T.StructField("_n_tokens", T.LongType()), T.StructField("_ids_sha256", T.StringType()), T.StructField("_decoded_sha256", T.StringType()),
+             *[T.StructField("_ids", T.ArrayType(T.IntegerType()))] * ids]
+    names = [f.name for f in extra]
+    docs = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = coder(path, pattern)
         for batch in steps(batches, "text"):
-            rows = []
+            codes, rows = [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 code = tree.encode(text or "")
                 tokens = array("I", code)
-                decoded = tree.decode(tokens)
-                rows.append((len(tokens), hashlib.sha256(code).hexdigest(), hashlib.sha256(decoded).hexdigest(), *([tokens.tolist()] * ids)))
-            types = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*rows), types))],
-                                             [*batch.schema.names, *(x.split()[0] for x in extra.split(", "))])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + extra
-    return docs.mapInArrow(run, schema)
+                rows.append((len(tokens), hashlib.sha256(code).hexdigest(), hashlib.sha256(tree.decode(tokens)).hexdigest()))
+                codes.append(code)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
+            if ids:
+                at = np.concatenate([[0], np.cumsum([r[0] for r in rows])])
+                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(codes), np.int32))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 
 
 @query("op6_monoid_bpe")

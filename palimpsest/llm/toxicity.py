@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import bound_batches, mix, span_hashes, steps, table, utf8
 from palimpsest.llm.pretokens import LETTER, NUMBER, SPACE, classes, code_points
@@ -329,13 +330,12 @@ def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``_score``. Only the text is looked at; a null text is an empty one, and gets a score too.
+    """All columns of ``docs`` and ``_score`` (a column by that name is replaced). Only the text is looked at; a null text is an empty one, and gets a score too.
 
     Each distinct piece of a step of texts is valued once. Documents stay where they are.
     """
     bound_batches(docs.sparkSession)
-    if "_score" in docs.columns:
-        raise ValueError("column _score exists already")
+    docs = docs.drop("_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +343,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             score = sent.value.of_texts(batch.column(batch.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "_score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, _score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 @query("op7_toxicity")
