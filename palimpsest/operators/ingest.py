@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from palimpsest.functions.text import clean_embed_text, content_key, normalize_entity_name, normalize_type, tokenize
 from palimpsest.operators.aggregates import top_per_group
@@ -20,6 +20,7 @@ from palimpsest.operators.sets import dedup_names
 from palimpsest.operators.skew import broadcast_if_small, split_hot_join
 from palimpsest.operators.vectors import nearest_in_block, similarity_topk
 
+MARKS = ".,;:!?()[]{}\"'"  # marks that may stand around a word
 MATCH_ENTITY, MATCH_FACT = 0.65, 0.8  # fixed values: default thresholds
 
 
@@ -66,15 +67,34 @@ def embed_texts(df: DataFrame, column: str, *, output: str = "embedding", dim: i
 # ---- extraction ---------------------------------------------------------------------------------
 
 def extract_entities(episodes: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Default extractor: tokens found in ``dictionary(name, entity_type)``, once per document.
+    """Default extractor: names of ``dictionary(name, entity_type)`` found in the text, once per document.
 
-    ``episode_uuid, user_id, name, entity_type, position`` with normalised names.
+    ``episode_uuid, user_id, name, entity_type, position`` with normalised names. A name may have several words;
+    marks around a word do not count, in the text or in the dictionary.
     """
-    words = dictionary.select(F.lower("name").alias("tok"), normalize_type(F.col("entity_type")).alias("entity_type"))
+    def bare(c: Column) -> Column:
+        return F.transform(tokenize(c), lambda w: F.btrim(w, F.lit(MARKS)))
+
+    words = dictionary.select(F.array_join(bare(F.col("name")), " ").alias("tok"), F.size(bare(F.col("name"))).alias("n"),
+                              normalize_type(F.col("entity_type")).alias("entity_type")).filter("tok <> ''")
+    sizes = sorted(r.n for r in words.select("n").distinct().collect())  # numbers of words, a few
     words = broadcast_if_small(words.groupBy("tok").agg(F.min("entity_type").alias("entity_type")))
+
+    def runs(ws: Column) -> Column:
+        """Every run of as many words as some name has, with its position."""
+        def of(n: int) -> Column:
+            starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - n, F.lit(0)))
+            return F.when(F.size(ws) >= n, F.transform(starts, lambda i: F.struct(
+                i.alias("position"), F.array_join(F.slice(ws, i + 1, F.lit(n)), " ").alias("tok"))))
+
+        each = [of(n) for n in sizes]
+        none = F.array().cast("array<struct<position:int,tok:string>>")
+        return F.concat(none, *[F.coalesce(e, none) for e in each])
+
+    # a lambda over one element binds the words, so that they are made once per row
     toks = episodes.select(F.col("uuid").alias("episode_uuid"), "user_id",
-                           F.posexplode_outer(tokenize(F.col("content"))).alias("position", "tok"))
-    found = toks.join(words, "tok").withColumnRenamed("tok", "name")
+                           F.explode(F.flatten(F.transform(F.array(bare(F.col("content"))), runs))).alias("r"))
+    found = toks.select("episode_uuid", "user_id", "r.*").join(words, "tok").withColumnRenamed("tok", "name")
     return dedup_names(found, document="episode_uuid", name="name", position="position").select(
         "episode_uuid", "user_id", F.col("normalized").alias("name"), "entity_type", "position")
 
@@ -82,7 +102,7 @@ def extract_entities(episodes: DataFrame, dictionary: DataFrame) -> DataFrame:
 def extract_relations(mentioned: DataFrame, relation: str = "RELATED_TO") -> DataFrame:
     """Default extractor: each entity of an episode relates to the next one named (a chain, so the
     number of facts is linear in the text)."""
-    nxt = F.lead("name").over(W.partitionBy("episode_uuid").orderBy("position"))
+    nxt = F.lead("name").over(W.partitionBy("episode_uuid").orderBy("position", "name"))
     rows = mentioned.withColumn("target", nxt).filter("target IS NOT NULL")
     return rows.select("episode_uuid", "user_id", F.col("name").alias("source"), F.lit(relation).alias("relation"), "target",
                        F.concat("name", F.lit(" is mentioned with "), "target").alias("fact"))
@@ -101,7 +121,10 @@ def resolve_entities(found: DataFrame, existing: DataFrame, *, threshold: float
         F.min("entity_type").alias("entity_type"), F.count("*").alias("mentions"),
         F.min_by("embedding", "entity_type").alias("embedding"))
     batch = batch.withColumn("query_id", content_key(F.coalesce("user_id", F.lit("")), F.col("name")))
-    hit = similarity_topk(existing, batch, vector="name_embedding", threshold=threshold, limit=1)
+    # a row without a user is its own tenant: it meets stored rows without a user only
+    owned, free = F.col("user_id").isNotNull(), F.col("user_id").isNull()
+    hit = similarity_topk(existing, batch.filter(owned), vector="name_embedding", threshold=threshold, limit=1).unionByName(
+        similarity_topk(existing.filter(free), batch.filter(free), vector="name_embedding", threshold=threshold, limit=1))
     named = hit.join(existing.select("uuid", F.col("name").alias("stored_name")), "uuid").select("query_id", "uuid", "stored_name")
     return batch.join(named, "query_id", "left").select(
         "user_id", "name", "entity_type", F.coalesce("uuid", "query_id").alias("uuid"),
@@ -123,7 +146,7 @@ def resolve_relations(found: DataFrame, entities: DataFrame, edges: DataFrame, *
     known = found.join(end("source"), ["user_id", "source"]).join(end("target"), ["user_id", "target"])
     new_id = content_key(F.col("source_uuid"), F.col("relation"), F.col("target_uuid"), F.col("fact"))
     known = known.groupBy("source_uuid", "target_uuid", "relation", "fact").agg(
-        F.count("*").alias("mentions"), F.first("embedding").alias("embedding")).withColumn("new_uuid", new_id)
+        F.count("*").alias("mentions"), F.min("embedding").alias("embedding")).withColumn("new_uuid", new_id)
     ends = ["source_uuid", "target_uuid"]
     hit = nearest_in_block(
         known.filter(F.size("embedding") > 0).select(*ends, F.col("new_uuid").alias("id"), F.col("embedding").alias("vec")),
@@ -140,13 +163,17 @@ def build_mentions(pairs: DataFrame) -> DataFrame:
     return one.withColumn("uuid", content_key(F.col("episode_uuid"), F.col("entity_uuid")))
 
 
-def invalidate_contradictions(edges: DataFrame, single_valued: list[str]) -> DataFrame:
-    """For relations with one value at a time, a later fact of the same source ends the earlier one."""
+def invalidate_contradictions(edges: DataFrame, single_valued: list[str], reference_time) -> DataFrame:
+    """For relations with one value at a time, a later fact of the same source ends the earlier one.
+
+    The fact is no longer valid from the later one's valid time on; it is recorded as expired at ``reference_time``.
+    """
     once = edges.filter(F.col("name").isin(single_valued) & F.col("expired_at").isNull())
     later = neighbor(once, keys=["source_uuid", "name"], ts="valid_at", ident="uuid", direction="next")
     ended = later.filter("other IS NOT NULL").select(F.col("id").alias("uuid"), F.timestamp_micros(F.col("other.t")).alias("_end"))
     return edges.join(ended, "uuid", "left").withColumns({
-        "invalid_at": F.coalesce("_end", "invalid_at"), "expired_at": F.coalesce("_end", "expired_at")}).drop("_end")
+        "invalid_at": F.coalesce("_end", "invalid_at"),
+        "expired_at": F.when(F.col("_end").isNotNull(), F.lit(reference_time).cast("timestamp")).otherwise(F.col("expired_at"))}).drop("_end")
 
 
 def expire_contradicted(edges: DataFrame, judged: DataFrame, reference_time) -> DataFrame:

@@ -110,5 +110,6 @@ def window_pairs(df: DataFrame, *, keys: list[str], ts: str = "created_at", iden
 
 def metadata_struct(episodes: DataFrame, column: str = "metadata") -> DataFrame:
     """``meta`` struct next to the rows; malformed documents become null and are dropped."""
-    parsed = F.from_json(column, schema.METADATA)
-    return episodes.withColumn("meta", parsed).filter(F.col("meta").isNotNull())
+    parsed = F.from_json(column, f"{schema.METADATA}, _corrupt_record string")
+    rows = episodes.withColumn("meta", parsed).filter(F.col("meta").isNotNull() & F.col("meta._corrupt_record").isNull())
+    return rows.withColumn("meta", F.col("meta").dropFields("_corrupt_record"))

@@ -24,6 +24,10 @@ def drop_incident(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _of_user(edges: DataFrame, entities: DataFrame | None, user_id: str | None) -> DataFrame:
     """Edges whose both endpoints are the user's, as ``uuid``."""
+    if user_id and entities is None:
+        raise ValueError("a user's edges are found by the table of entities")
+    if entities is None:
+        return edges
     mine = filters.by_user(entities, user_id).select("uuid")
     return (edges.join(mine.withColumnRenamed("uuid", "source_uuid"), "source_uuid", "left_semi")
             .join(mine.withColumnRenamed("uuid", "target_uuid"), "target_uuid", "left_semi"))

@@ -30,8 +30,12 @@ def sessions_of(metadata: Column) -> Column:
 
 
 def set_metadata(episodes: DataFrame, updates: DataFrame) -> DataFrame:
-    """Replace whole documents: ``updates(uuid, metadata)``."""
-    u = updates.select("uuid", F.col("metadata").alias("_m"))
+    """Replace whole documents: ``updates(uuid, metadata)``.
+
+    Of several updates of an episode the greatest document counts, or the latest if there is an ``updated_at``.
+    """
+    pick = F.max_by("metadata", F.struct("updated_at", "metadata")) if "updated_at" in updates.columns else F.max("metadata")
+    u = updates.groupBy("uuid").agg(pick.alias("_m"))
     return episodes.join(u, "uuid", "left").withColumn("metadata", F.coalesce("_m", "metadata")).drop("_m")
 
 
@@ -59,6 +63,14 @@ def _apply(episodes: DataFrame, updates: DataFrame, change) -> DataFrame:
     return episodes.join(updates, "uuid", "left").withColumn("metadata", replace_key(F.col("metadata"), "sessions", new)).drop("_u")
 
 
+def with_session(metadata: Column, session: Column) -> Column:
+    """The document with an empty run list for ``session``, unless it has the session or ``session`` is null."""
+    old = sessions_of(metadata)
+    new = F.map_concat(old, F.map_from_arrays(F.array(session), F.array(F.array().cast(_RUNS))))
+    known = session.isNull() | F.coalesce(F.map_contains_key(old, F.coalesce(session, F.lit(""))), F.lit(False))
+    return replace_key(metadata, "sessions", F.when(~known, new))
+
+
 def add_session_key(episodes: DataFrame, links: DataFrame) -> DataFrame:
     """``links(episode_uuid, session_id)``: an empty run list for sessions not yet in the document."""
     new = links.groupBy(F.col("episode_uuid").alias("uuid")).agg(F.array_sort(F.collect_set("session_id")).alias("_u"))

@@ -10,8 +10,9 @@ from palimpsest.operators import filters
 from palimpsest.operators.aggregates import top_per_group
 from palimpsest.operators.joins import metadata_struct
 from palimpsest.operators.skew import split_hot_join
+from palimpsest.session import stage
 
-MAX_ERRORS = 5
+MAX_ERRORS = 5  # fixed value: errors that a tool's statistics list
 RUN_FIELDS = ("run_id", "query", "augmented_query", "agent_response", "llm_saved_memory")
 CALL_ORDER = ("created_at", "episode_uuid", "session_pos", "run_pos", "call_pos")
 
@@ -51,7 +52,7 @@ def explode_tools(episodes: DataFrame) -> DataFrame:
     return rows.select(*base, "call_pos", *fields, iso_timestamp(F.col("call.timestamp")).alias("called_at"))
 
 
-def tool_stats(calls: DataFrame, *, min_executions: int = 1) -> DataFrame:
+def tool_stats(calls: DataFrame, *, min_executions: int = 1, max_errors: int = MAX_ERRORS) -> DataFrame:
     """Usage, failures, success rate and mean duration per tool, and its first few errors.
 
     Errors are limited per tool inside every task before the shuffle; counts combine likewise.
@@ -60,7 +61,7 @@ def tool_stats(calls: DataFrame, *, min_executions: int = 1) -> DataFrame:
         F.count("*").alias("usage_count"), F.count_if("success").alias("success_count"),
         F.count_if(~F.col("success")).alias("failure_count"),
         F.sum(F.coalesce("duration_ms", F.lit(0))).alias("total_duration_ms"))
-    errors = top_per_group(calls.filter(~F.col("success")), ["tool_name"], list(CALL_ORDER), MAX_ERRORS)
+    errors = top_per_group(calls.filter(~F.col("success")), ["tool_name"], list(CALL_ORDER), max_errors)
     listed = errors.groupBy("tool_name").agg(F.array_sort(F.collect_list(F.struct(
         "rank", F.coalesce("error", F.lit("")).alias("error"), "called_at"))).alias("recent_errors"))
     enough = F.col("usage_count") >= min_executions
@@ -127,8 +128,12 @@ def augmented_queries(episodes: DataFrame, *, user_id: str | None = None, only_a
 
 
 def apply_user_override(df: DataFrame, overrides: DataFrame) -> DataFrame:
-    """``overrides(session_id, user_id)`` win over the row's own user."""
-    o = overrides.select("session_id", F.col("user_id").alias("_override"))
+    """``overrides(session_id, user_id)`` win over the row's own user.
+
+    Of several overrides of a session the greatest user counts, or the latest if there is an ``updated_at``.
+    """
+    pick = F.max_by("user_id", F.struct("updated_at", "user_id")) if "updated_at" in overrides.columns else F.max("user_id")
+    o = overrides.groupBy("session_id").agg(pick.alias("_override"))
     return df.join(o, "session_id", "left").withColumn("user_id", F.coalesce("_override", "user_id")).drop("_override")
 
 
@@ -154,14 +159,18 @@ def track_tool_executions(log: DataFrame, *, sample_rate: float = 1.0, sanitize:
 
 
 def prepare_query_runs(episodes: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split incoming runs ``session_id, user_id, content, run_at, run``: those whose session already
-    has an episode (with ``episode_uuid``), and one row per new session that must create one."""
+    """All incoming runs ``session_id, user_id, content, run_at, run`` with the ``episode_uuid`` they belong to, for
+    ``append_run``, and one row per session without an episode that must be created first.
+
+    A new session's episode is that of its earliest run; its id is made from user, session and content.
+    """
     known = filters.lookup_by_session(episodes, runs.select("session_id").distinct()).select(
         "session_id", F.col("uuid").alias("episode_uuid"))
-    linked = split_hot_join(runs, known, ["session_id"], "left")
-    to_append = linked.filter("episode_uuid IS NOT NULL")
+    linked = stage(split_hot_join(runs, known, ["session_id"], "left"))
     first = F.min_by(F.struct("user_id", "content", "run_at"), F.struct("run_at", F.col("run.run_id")))
     to_create = linked.filter("episode_uuid IS NULL").groupBy("session_id").agg(first.alias("f")).select(
         "session_id", "f.user_id", "f.content", F.col("f.run_at").alias("created_at"),
         F.concat(F.lit("q"), F.sha2(F.concat_ws("|", F.col("f.user_id"), "session_id", F.col("f.content")), 256)).alias("uuid"))
+    fresh = to_create.select("session_id", F.col("uuid").alias("_new"))
+    to_append = linked.join(fresh, "session_id", "left").withColumn("episode_uuid", F.coalesce("episode_uuid", "_new")).drop("_new")
     return to_append, to_create

@@ -10,9 +10,13 @@ from palimpsest.session import stage
 
 
 def latest(updates: DataFrame, keys: list[str], *, at: str = "created_at", tie: str = "uuid", **extra: Column) -> DataFrame:
-    """One row per key: the latest update by (time, id), plus aggregates over all updates of the key."""
+    """One row per key: the latest update by (time, id), plus aggregates over all updates of the key.
+
+    Updates that tie in both are told apart by a hash of the row, so that a task that runs again gives the same.
+    """
     rest = [c for c in updates.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(at, tie)) if tie in rest else F.max_by(F.struct(*rest), at)
+    plain = [f.name for f in updates.schema if f.name in rest and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    newest = F.max_by(F.struct(*rest), F.struct(at, *[tie] * (tie in rest), F.xxhash64(*plain)))
     out = updates.groupBy(*keys).agg(newest.alias("_n"), *[v.alias(f"_x_{k}") for k, v in extra.items()])
     return out.select(*keys, *[F.col(f"_n.{c}").alias(c) for c in rest if c not in extra],
                       *[F.col(f"_x_{k}").alias(k) for k in extra])

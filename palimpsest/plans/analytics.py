@@ -127,7 +127,8 @@ def _(s):
 def _(s):
     o = s.table("customer").select(F.concat(F.lit("t"), "c_custkey", F.lit("_2024-01-02")).alias("session_id"),
                                    F.concat(F.lit("o_"), "c_nationkey").alias("user_id"))
-    return runs.apply_user_override(s.tool_calls(), o).select("event_id", "user_id")
+    twice = o.unionByName(o.withColumn("user_id", F.lit("a")))  # an override that loses
+    return runs.apply_user_override(s.tool_calls(), twice).select("event_id", "user_id")
 
 
 def tool_log(s):
@@ -149,24 +150,27 @@ def _(s):
 
 
 def incoming_runs(s):
-    """Each session asks once more; sessions of odd users are new."""
+    """Each session asks twice more; sessions of odd users are new."""
     calls = s.tool_calls().groupBy("session_id", "user_key", "user_id").agg(F.max("ts").alias("run_at"))
     session = F.when(F.col("user_key") % 2 == 1, F.concat(F.lit("new_"), "session_id")).otherwise(F.col("session_id"))
-    run = F.struct(F.concat(F.lit("again_"), "session_id").alias("run_id"), F.col("user_id"),
+    calls = calls.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(2)))).withColumn("run_at", F.col("run_at") + F.make_dt_interval(secs=F.col("n").cast("decimal(18,6)")))
+    run = F.struct(F.concat(F.lit("again_"), "n", F.lit("_"), "session_id").alias("run_id"), F.col("user_id"),
                    F.date_format("run_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.lit("again").alias("query"))
-    return calls.select(session.alias("session_id"), "user_id", F.lit("again").alias("content"), "run_at", run.alias("run"))
+    return calls.select(session.alias("session_id"), "user_id", F.concat(F.lit("again "), "n").alias("content"), "run_at", run.alias("run"))
 
 
 @register("prepare_query_runs", """
-    SELECT CASE WHEN user_key % 2 = 1 THEN 'new_' || session_id ELSE session_id END AS session_id,
-           CASE WHEN user_key % 2 = 1 THEN 'create' ELSE 'append' END AS action, CASE WHEN user_key % 2 = 0 THEN ep END AS episode_uuid
-    FROM (SELECT session_id, user_key, min({'t': q.created_at, 'u': q.uuid}).u AS ep FROM fx_runs r JOIN fx_query_episodes q ON q.uuid = r.episode_uuid GROUP BY 1, 2)
-    """.replace("q.uuid}).u AS ep FROM fx_runs r JOIN fx_query_episodes q ON q.uuid = r.episode_uuid GROUP BY 1, 2",
-                "q.uuid}).u AS ep FROM (SELECT DISTINCT session_id, user_key, episode_uuid FROM fx_runs) r JOIN (SELECT uuid, created_at FROM fx_query_episodes) q ON q.uuid = r.episode_uuid GROUP BY 1, 2"))
+    SELECT CASE WHEN user_key % 2 = 1 THEN 'new_' || session_id ELSE session_id END AS session_id, action,
+           CASE WHEN user_key % 2 = 1 THEN 'q' || sha256(user_id || '|new_' || session_id || '|again 1') ELSE ep END AS episode_uuid,
+           CASE WHEN action = 'append' THEN 'again_' || n || '_' || session_id END AS run_id
+    FROM (SELECT session_id, user_key, user_id, min({'t': q.created_at, 'u': q.uuid}).u AS ep
+          FROM (SELECT DISTINCT session_id, user_key, user_id, episode_uuid FROM fx_runs) r JOIN (SELECT uuid, created_at FROM fx_query_episodes) q ON q.uuid = r.episode_uuid
+          GROUP BY 1, 2, 3),
+         (SELECT 'append' AS action, unnest([1, 2]) AS n UNION ALL SELECT 'create', 0) WHERE action = 'append' OR user_key % 2 = 1""")
 def _(s):
     to_append, to_create = runs.prepare_query_runs(stage(s.query_episodes()), incoming_runs(s))
-    a = to_append.select("session_id", F.lit("append").alias("action"), "episode_uuid")
-    return a.unionByName(to_create.select("session_id", F.lit("create").alias("action"), F.lit(None).cast("string").alias("episode_uuid")))
+    a = to_append.select("session_id", F.lit("append").alias("action"), "episode_uuid", F.col("run.run_id").alias("run_id"))
+    return a.unionByName(to_create.select("session_id", F.lit("create").alias("action"), F.col("uuid").alias("episode_uuid"), F.lit(None).cast("string").alias("run_id")))
 
 
 # ---- metadata updates ---------------------------------------------------------------------------
@@ -179,7 +183,7 @@ def flat_runs(episodes):
 @register("set_metadata", "SELECT uuid, CASE WHEN user_id = 'u_en' THEN '{\"tags\":[\"x\"]}' ELSE metadata END AS metadata FROM fx_episodes")
 def _(s):
     eps = s.episodes().select("uuid", "user_id", "metadata")
-    ups = eps.filter("user_id = 'u_en'").select("uuid", F.lit('{"tags":["x"]}').alias("metadata"))
+    ups = eps.filter("user_id = 'u_en'").select("uuid", F.explode(F.array(F.lit('{"tags":["x"]}'), F.lit('{"tags":["a"]}'))).alias("metadata"))
     return metadata.set_metadata(eps, ups).select("uuid", "metadata")
 
 

@@ -57,13 +57,17 @@ def _(s):
 
 @register("ingest_batch_source", """
     SELECT 'c' || conv_id || '_' || turn AS source_key, text AS content, 'text' AS source, 'query' AS kind,
-           TIMESTAMP '2024-02-01' AS created_at, 's' || conv_id AS session_id FROM conversations""")
+           TIMESTAMP '2024-02-01' AS created_at, 's' || conv_id AS session_id, 's' || conv_id AS sessions,
+           CASE WHEN turn % 2 = 0 THEN 't' || turn END AS topic FROM conversations""")
 def _(s):
     raw = s.table("conversations").select(
         F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn").alias("source_key"), F.col("text").alias("content"),
-        F.concat(F.lit("s"), "conv_id").alias("session_id"))
-    return tables.batch_to_episodes(raw, reference_time=RT).select(
-        "source_key", "content", "source", "kind", "created_at", "session_id")
+        F.concat(F.lit("s"), "conv_id").alias("session_id"),
+        F.when(F.col("turn") % 2 == 0, F.concat(F.lit('{"topic":"t'), "turn", F.lit('"}'))).alias("metadata"))
+    out = tables.batch_to_episodes(raw, reference_time=RT)
+    keys = F.array_join(F.map_keys(F.from_json("metadata", "sessions map<string,string>")["sessions"]), ",")
+    return out.select("source_key", "content", "source", "kind", "created_at", "session_id", keys.alias("sessions"),
+                      F.get_json_object("metadata", "$.topic").alias("topic"))
 
 
 @register("message_source", """

@@ -11,6 +11,8 @@ from palimpsest.plans.registry import register
 from palimpsest.plans.retrieval import ACTIVE, bm25_ctes, sim_sql, T
 from palimpsest.session import stage
 from palimpsest.sources.standins import EDGE_REFERENCE_TIME as ERT
+from palimpsest.sources.tables import write_snapshot
+from palimpsest.streaming.incremental import fresh_path
 
 # ---- upserts ------------------------------------------------------------------------------------
 
@@ -196,16 +198,23 @@ def _(s):
 # ---- extraction and resolution ------------------------------------------------------------------
 
 def dictionary(s):
-    words = s.table("benchmark").select(F.explode(text.tokenize(F.col("text"))).alias("name")).distinct()
-    return words.filter(F.length("name") >= 8).withColumn("entity_type", F.lit("long word"))
+    """All words of the benchmark, and the first two words of each item as one name."""
+    toks = s.table("benchmark").select(text.tokenize(F.col("text")).alias("ts"))
+    pairs = toks.filter("size(ts) > 1").select(F.array_join(F.slice("ts", 1, 2), " ").alias("name"))
+    words = toks.select(F.explode("ts").alias("name")).unionByName(pairs).distinct()
+    return words.withColumn("entity_type", F.lit("long word"))
 
 
+_BARE = "list_transform({}, lambda w: trim(w, '.,;:!?()[]{{}}\"' || chr(39)))"
 FOUND = f"""
-    dict AS (SELECT DISTINCT unnest({tok('text')}) AS name FROM benchmark),
-    toks AS (SELECT uuid, user_id, t AS name, i AS position FROM (SELECT uuid, user_id, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM (SELECT uuid, user_id, {tok('content')} AS ts FROM fx_episodes))),
-    found AS (SELECT uuid AS episode_uuid, user_id, name, min(position)::INTEGER AS position FROM toks WHERE length(name) >= 8 AND name IN (SELECT name FROM dict) GROUP BY ALL)"""
+    dtoks AS (SELECT {_BARE.format(tok('text'))} AS ts FROM benchmark),
+    dict AS (SELECT name, n FROM (SELECT unnest(ts) AS name, 1 AS n FROM dtoks UNION SELECT array_to_string(ts[1:2], ' '), 2 FROM dtoks WHERE len(ts) > 1) WHERE name <> ''),
+    etoks AS (SELECT uuid, user_id, {_BARE.format(tok('content'))} AS ts FROM fx_episodes),
+    toks AS (SELECT uuid, user_id, unnest(ts) AS name, unnest(range(len(ts))) AS position FROM etoks UNION ALL
+             SELECT uuid, user_id, array_to_string(ts[i + 1:i + 2], ' '), i FROM (SELECT uuid, user_id, ts, unnest(range(len(ts) - 1)) AS i FROM etoks WHERE len(ts) > 1)),
+    found AS (SELECT uuid AS episode_uuid, user_id, replace(name, ' ', '_') AS name, min(position)::INTEGER AS position FROM toks WHERE name IN (SELECT name FROM dict) GROUP BY ALL)"""
 CHAIN = FOUND + """,
-    chain AS (SELECT episode_uuid, user_id, name AS source, lead(name) OVER (PARTITION BY episode_uuid ORDER BY position) AS target FROM found)"""
+    chain AS (SELECT episode_uuid, user_id, name AS source, lead(name) OVER (PARTITION BY episode_uuid ORDER BY position, name) AS target FROM found)"""
 
 
 @register("extract_entities", "SELECT episode_uuid, user_id, name, 'LONG_WORD' AS entity_type, position FROM found", extra=FOUND)
@@ -273,10 +282,10 @@ def _(s):
 
 
 @register("invalidate_contradictions", """
-    SELECT uuid, CASE WHEN nxt IS NOT NULL THEN nxt ELSE invalid_at END AS invalid_at, CASE WHEN nxt IS NOT NULL THEN nxt ELSE expired_at END AS expired_at FROM (
+    SELECT uuid, CASE WHEN nxt IS NOT NULL THEN nxt ELSE invalid_at END AS invalid_at, CASE WHEN nxt IS NOT NULL THEN TIMESTAMP '2024-03-01' ELSE expired_at END AS expired_at FROM (
       SELECT *, CASE WHEN expired_at IS NULL AND name = 'SUPPLIES' THEN lead(valid_at) OVER (PARTITION BY source_uuid, name, expired_at IS NULL ORDER BY valid_at, uuid) END AS nxt FROM fx_edges)""")
 def _(s):
-    return ingest.invalidate_contradictions(stage(s.edges()), ["SUPPLIES"]).select("uuid", "invalid_at", "expired_at")
+    return ingest.invalidate_contradictions(stage(s.edges()), ["SUPPLIES"], "2024-03-01").select("uuid", "invalid_at", "expired_at")
 
 
 @register("update_summaries", f"""
@@ -375,9 +384,13 @@ def _(s):
     return maintain.delete_instructions(s.instructions(), keys)[1]
 
 
-@register("reset_graph", "SELECT uuid, name FROM fx_entities WHERE false")
+@register("reset_graph", "SELECT 'entities' AS name, count(*) AS n_before, 0::BIGINT AS n_after FROM fx_entities UNION ALL SELECT 'edges', count(*), 0 FROM fx_edges")
 def _(s):
-    return maintain.reset_graph({"entities": s.entities()})["entities"].select("uuid", "name")
+    full, root = {"entities": s.entities(), "edges": s.edges()}, fresh_path(s.spark, "reset")
+    write_snapshot(maintain.reset_graph(full), root, "v1")
+    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n_before")).withColumn(
+        "n_after", F.lit(s.spark.read.schema(df.schema).parquet(f"{root}/v1/{name}").count()).cast("long")) for name, df in full.items()]
+    return counts[0].unionByName(counts[1])
 
 
 GONE = "SELECT uuid FROM fx_episodes WHERE user_id = 'u_en'"

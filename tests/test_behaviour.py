@@ -183,7 +183,8 @@ def edge(i, s, t, name, day, expired=None, vec=None):
 
 def test_facts_as_of_after_a_move(spark):
     e = spark.createDataFrame([edge("1", "alice", "google", "WORKS_AT", 0), edge("2", "alice", "openai", "WORKS_AT", 30), edge("3", "alice", "bob", "KNOWS", 1)], EDGE)
-    ended = ingest.invalidate_contradictions(e, ["WORKS_AT"])
+    ended = ingest.invalidate_contradictions(e, ["WORKS_AT"], T0 + dt.timedelta(days=60))
+    assert {r.uuid: r.expired_at for r in ended.collect()} == {"1": T0 + dt.timedelta(days=60), "2": None, "3": None}
     at = lambda day: {r.uuid for r in filters.facts_as_of(ended.withColumn("expired_at", F.lit(None).cast("timestamp")), valid_time=T0 + dt.timedelta(days=day), system_time=T0 + dt.timedelta(days=90)).collect()}
     assert at(10) == {"1", "3"} and at(40) == {"2", "3"}
 
