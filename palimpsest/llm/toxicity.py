@@ -200,9 +200,11 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps_: int = 25) -> tu
     return w[:-1], float(w[-1])
 
 
-def two_best(value: np.ndarray, occurrences: np.ndarray, texts: int) -> np.ndarray:
-    """The highest two values among the pieces of each text, repeats counted; FLOOR where there are none."""
-    best = np.full((texts, 2), FLOOR)
+def best_of(value: np.ndarray, occurrences: np.ndarray, texts: int) -> np.ndarray:
+    """For each text the highest two values among its pieces, repeats counted (FLOOR where there are none), and how
+    many different pieces it has, on a log scale: among many, one may be high by chance."""
+    best = np.full((texts, 3), FLOOR)
+    best[:, 2] = 0
     if len(occurrences):
         pairs, times = np.unique(occurrences[:, 1] * len(value) + occurrences[:, 0], return_counts=True)
         text, piece = pairs // len(value), pairs % len(value)
@@ -215,6 +217,7 @@ def two_best(value: np.ndarray, occurrences: np.ndarray, texts: int) -> np.ndarr
         second = second[second < len(text)]
         second = second[text[second] == text[second - 1]]
         best[text[again], 1], best[text[second], 1] = v[again], v[second]
+        best[:, 2] = np.log1p(np.bincount(text, minlength=texts)) / 4
     return best
 
 
@@ -225,12 +228,13 @@ class Model:
     scale: np.ndarray
 
     def of_texts(self, texts: pa.Array) -> np.ndarray:
-        """Score of every text, from its two highest pieces; 0 for a model that saw one label only."""
+        """Score of every text, from its two highest pieces and their number; 0 for a model that saw one label only."""
         if self.weights is None:
             return np.zeros(len(texts))
         codes, bounds, occurrences = pieces(texts)
-        best = two_best(scores(codes, bounds, self.weights) + self.bias, occurrences, len(texts))
-        return 1 / (1 + np.exp(-np.clip(best @ self.scale[:2] + self.scale[2], -30, 30)))
+        best = best_of(scores(codes, bounds, self.weights) + self.bias, occurrences, len(texts))
+        value = np.where(best[:, 2] > 0, best @ self.scale[:-1] + self.scale[-1], -30)  # a text without pieces says nothing
+        return 1 / (1 + np.exp(-np.clip(value, -30, 30)))
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:
@@ -242,10 +246,10 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     """
     labels = np.asarray(labels).astype(bool)
     if not len(labels) or labels.all() or not labels.any():
-        return Model(None, 0.0, np.zeros(3))
-    codes, bounds, occurrences = pieces(pa.array(texts, pa.string()))
+        return Model(None, 0.0, np.zeros(4))
+    codes, bounds, occurrences = _pieces_of_many(texts)
     if not len(bounds):
-        return Model(None, 0.0, np.zeros(3))
+        return Model(None, 0.0, np.zeros(4))
     apart = mix(np.arange(len(labels), dtype=np.uint64)) % np.uint64(4) == 0
     piece, text = np.unique(occurrences, axis=0).T
     used = ~apart[text]
@@ -276,7 +280,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         new = np.concatenate([[True], owner_text[1:] != owner_text[:-1]])
         chosen = chosen[new | np.concatenate([[False], new[:-1]])]  # the best two of each text
         if not len(chosen):
-            return Model(None, 0.0, np.zeros(3))
+            return Model(None, 0.0, np.zeros(4))
         witness, times = np.unique(chosen, return_counts=True)
         hard = clean[np.argsort(-value[clean], kind="stable")[:6000]]
         some = clean[np.argsort(mix(clean.astype(np.uint64)))[:12000]]
@@ -291,16 +295,34 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         beta, bias = fit_svm(features, y, cost)
         weights = marks.weights(beta)
         value = scores(codes, bounds, weights) + bias
-    best = two_best(value, occurrences, len(labels))
+    best = best_of(value, occurrences, len(labels))
     return Model(weights, bias, _logistic(best[apart], labels[apart]) if len(set(labels[apart])) == 2 else _logistic(best, labels))
 
 
+def _pieces_of_many(texts: list[str], at_once: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``pieces``, some texts at a time, with the codes of each different piece once."""
+    codes, lengths, occurrences, n = [], [], [], 0
+    for first in range(0, len(texts), at_once):
+        c, b, o = pieces(pa.array(texts[first:first + at_once], pa.string()))
+        size = b[:, 1] - b[:, 0]
+        codes.append(c[np.repeat(b[:, 0], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)])
+        lengths.append(size)
+        occurrences.append(np.unique(o + [n, first], axis=0))
+        n += len(b)
+    codes, lengths, occurrences = map(np.concatenate, (codes, lengths, occurrences))
+    if not len(lengths):
+        return codes, np.empty((0, 2), np.int64), occurrences
+    ends = np.cumsum(lengths)
+    _, kept, which = np.unique(span_hashes(codes, ends - lengths, ends), return_index=True, return_inverse=True)
+    return codes, np.column_stack([ends - lengths, ends])[kept], np.column_stack([which[occurrences[:, 0]], occurrences[:, 1]])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression of labels on two values, slightly drawn to 0, by Newton steps."""
-    x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(3)
+    """Logistic regression of labels on some values, slightly drawn to 0, by Newton steps."""
+    x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        ridge = np.array([1e-1, 1e-1, 1e-3])
+        ridge = np.array([1e-1, 1e-1, 3.0, 1e-3])  # the number of pieces is to correct, not to decide
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -316,17 +338,31 @@ def fold(doc_id: Column, parts: int) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """Fits the model on at most ``fit_docs`` documents of each label, by the smallest hashes of their ids, none of fold 2 of 4.
 
-    A document with several labels counts as toxic if one is; null labels and ids are left out. The sample goes to the driver, its
-    size bound by ``fit_docs`` documents; of each, all text is used.
+    A document with several labels counts as toxic if one is; null labels and ids are left out. The sample, whose size is
+    bound by ``fit_docs`` documents, goes to one task, which returns the model; of each document, all text is used.
     """
     known = (labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .filter(fold(F.col("doc_id"), 4) != 2))
-    drawn = [r for t in (0, 1) for r in known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).collect()]
-    spark = docs.sparkSession
-    sample = spark.createDataFrame([(r.doc_id, r.toxic) for r in drawn], "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return fit([r.text or "" for r in rows], np.array([r.toxic for r in rows]))
+    drawn = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs) for t in (0, 1)]
+    sample = drawn[0].unionByName(drawn[1])  # 2 * fit_docs rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(
+        F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        model = fit([text for _, text, _ in read], np.array([toxic for *_, toxic in read]))
+        slots = np.flatnonzero(model.weights) if model.weights is not None else None
+        values = None if slots is None else model.weights[slots].tolist()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None if slots is None else slots.tolist()], pa.list_(pa.int64())), pa.array([values], pa.list_(pa.float32())),
+             pa.array([model.bias], pa.float64()), pa.array([model.scale.tolist()], pa.list_(pa.float64()))], ["slots", "values", "bias", "scale"])
+
+    got = rows.repartition(1).mapInArrow(run, "slots array<long>, values array<float>, bias double, scale array<double>").first()
+    if got is None or got.slots is None:
+        return Model(None, 0.0, np.zeros(4))
+    weights = np.zeros(SLOTS, np.float32)
+    weights[got.slots] = got["values"]
+    return Model(weights, got.bias, np.array(got.scale))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -339,7 +375,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text", 1 << 20):
+        for batch in steps(batches, "text", 3 << 20):
             score = sent.value.of_texts(batch.column(batch.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "_score"])
 

@@ -55,6 +55,9 @@ def test_held_out_accuracy(spark):
     held = [(r.toxic, got[r.doc_id].predicted) for r in labels if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert sum(t == p for t, p in held) >= 0.98 * len(held)
     assert sum(t and p for t, p in held) >= 0.9 * sum(t for t, _ in held)
+    short = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 100").collect()}
+    clean = [r.doc_id for r in labels if r.toxic == 0 and r.doc_id in short]
+    assert sum(got[i].predicted for i in clean) <= 0.02 * len(clean)
     for r in got.values():
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
