@@ -15,7 +15,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.select(ends.alias("e")).select("e.*").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``uuid, component`` (the smallest id of the component).
 
     Each round takes the smallest label among neighbours, then jumps to the label's own label, so
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """
     adj = cut(both_ways(edges))
     labels = cut(adj.groupBy(F.col("a").alias("uuid")).agg(F.least("uuid", F.min("b")).alias("component")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         near = adj.join(labels.withColumnRenamed("uuid", "b"), "b").groupBy(F.col("a").alias("uuid")).agg(
             F.min("component").alias("m"))
         step = labels.join(near, "uuid").select("uuid", "component", F.least("component", "m").alias("new"))
@@ -34,7 +34,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         labels = nxt.select("uuid", "component")
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 3) -> DataFrame:

@@ -102,14 +102,25 @@ def semantic_edges(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame
                                  limit=cfg.limit), "edge")
 
 
+def of_query_user(hits: DataFrame, queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """Rows ``query_id, uuid`` whose entity exists and is the query's user's, if the query has one."""
+    user = queries.select("query_id", F.nullif(F.col("user_id"), F.lit("")).alias("_wants")).distinct()
+    owner = entities.select("uuid", F.col("user_id").alias("_owner"))
+    rows = hits.join(owner, "uuid").join(user, "query_id").filter(F.col("_wants").isNull() | (F.col("_wants") == F.col("_owner")))
+    return rows.select(*hits.columns)
+
+
 def semantic_search(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Similar episodes, entities and edges; entities named by a hit episode join at 0.9 of the threshold."""
+    """Similar episodes, entities and edges; entities named by a hit episode join at 0.9 of the threshold.
+
+    A query with a user gets that user's entities only, by whatever way they are found.
+    """
     eps, direct = semantic_episodes(g, queries, cfg), semantic_entities(g, queries, cfg)
     edges = semantic_edges(g, queries, cfg)
     via = (g.mentions.select(F.col("episode_uuid").alias("uuid"), "entity_uuid")
            .join(eps.select("query_id", "uuid"), "uuid")
            .select("query_id", F.col("entity_uuid").alias("uuid")).distinct()
-           .join(g.entities.select("uuid"), "uuid", "left_semi")
+           .transform(lambda hits: of_query_user(hits, queries, g.entities))
            .withColumn("score", as_score(F.lit(0.9 * cfg.threshold))))
     # A direct hit scores at least the threshold, so the larger score is the direct one.
     ents = direct.select("query_id", "uuid", "score").unionByName(via.select("query_id", "uuid", "score"))
@@ -171,7 +182,8 @@ def tag_only_search(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFram
 def graph_search(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:
     seeds = semantic_entities(g, queries, cfg, limit=min(cfg.limit, cfg.max_seeds))
     return traversal_search(g.edges, seeds, max_depth=cfg.max_depth, limit=cfg.limit,
-                            include_expired=cfg.include_expired, reference_time=cfg.reference_time).select(*RESULT)
+                            include_expired=cfg.include_expired, reference_time=cfg.reference_time,
+                            allowed=lambda hits: of_query_user(hits, queries, g.entities)).select(*RESULT)
 
 
 def hybrid_search(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:

@@ -80,7 +80,8 @@ SEM_EN = sim_sql("SELECT * FROM fx_entities", "name_embedding")
 SEM_ED = sim_sql(f"SELECT * FROM ({OWNED}) WHERE {ACTIVE}", "fact_embedding")
 SEMANTIC = f"""
     s_ep AS ({SEM_EP}), s_en AS ({SEM_EN}), s_ed AS ({SEM_ED}),
-    s_via AS (SELECT DISTINCT s.query_id, m.entity_uuid AS uuid FROM s_ep s JOIN fx_mentions m ON m.episode_uuid = s.uuid),
+    s_via AS (SELECT DISTINCT s.query_id, m.entity_uuid AS uuid FROM s_ep s JOIN fx_mentions m ON m.episode_uuid = s.uuid
+              JOIN fx_entities e ON e.uuid = m.entity_uuid JOIN fx_queries q ON q.query_id = s.query_id AND (q.user_id IS NULL OR q.user_id = e.user_id)),
     s_all AS (SELECT query_id, uuid, max(score) AS score FROM (SELECT query_id, uuid, score FROM s_en UNION ALL SELECT query_id, uuid, {round(0.9 * T, 6)} FROM s_via) GROUP BY 1, 2),
     semantic AS (SELECT query_id, 'episode' AS kind, uuid, score, rank FROM s_ep UNION ALL
         SELECT query_id, 'entity', uuid, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, uuid))::INTEGER
@@ -96,9 +97,10 @@ TRAVERSAL = f"""
     t_adj AS (SELECT source_uuid AS node, target_uuid AS other, uuid AS edge FROM fx_edges WHERE {ACTIVE} UNION ALL
               SELECT target_uuid, source_uuid, uuid FROM fx_edges WHERE source_uuid <> target_uuid AND {ACTIVE}),
     t_0 AS (SELECT query_id, uuid, score FROM ({sim_sql("SELECT * FROM fx_entities", "name_embedding", 5)})),
-    t_s0 AS (SELECT query_id, edge, other FROM t_0 JOIN t_adj ON node = uuid),
+    t_may AS (SELECT q.query_id, e.uuid AS other FROM fx_queries q JOIN fx_entities e ON q.user_id IS NULL OR q.user_id = e.user_id),
+    t_s0 AS (SELECT query_id, edge, other FROM t_0 JOIN t_adj ON node = uuid JOIN t_may USING (query_id, other)),
     t_1 AS (SELECT DISTINCT query_id, other AS uuid FROM t_s0 WHERE NOT EXISTS (SELECT 1 FROM t_0 v WHERE v.query_id = t_s0.query_id AND v.uuid = other)),
-    t_s1 AS (SELECT query_id, edge, other FROM t_1 JOIN t_adj ON node = uuid),
+    t_s1 AS (SELECT query_id, edge, other FROM t_1 JOIN t_adj ON node = uuid JOIN t_may USING (query_id, other)),
     t_2 AS (SELECT DISTINCT query_id, other AS uuid FROM t_s1 WHERE NOT EXISTS (SELECT 1 FROM t_0 v WHERE v.query_id = t_s1.query_id AND v.uuid = other)
             AND NOT EXISTS (SELECT 1 FROM t_1 v WHERE v.query_id = t_s1.query_id AND v.uuid = other)),
     t_all AS (SELECT query_id, 'entity' AS kind, uuid, 0 AS depth, score FROM t_0 UNION ALL SELECT query_id, 'entity', uuid, 1, 0.5 FROM t_1 UNION ALL

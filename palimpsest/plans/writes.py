@@ -407,27 +407,26 @@ def _(s):
 
 # ---- communities --------------------------------------------------------------------------------
 
-def located(s):
-    return s.edges().filter("name = 'LOCATED_IN'")
+_ADJ = "adj AS (SELECT DISTINCT a, b FROM (SELECT source_uuid AS a, target_uuid AS b FROM fx_edges UNION ALL SELECT target_uuid, source_uuid FROM fx_edges) WHERE a <> b)"
+# nations, suppliers and parts: no shortest way is longer than these rounds
+_CC = _ADJ + ", c0 AS (SELECT DISTINCT a AS uuid, a AS component FROM adj)" + "".join(
+    f", c{i + 1} AS MATERIALIZED (SELECT a AS uuid, min(least(x.component, y.component)) AS component FROM adj JOIN c{i} x ON x.uuid = a JOIN c{i} y ON y.uuid = b GROUP BY 1)" for i in range(12))
 
 
-@register("connected_components", """
-    SELECT uuid, min(component) OVER (PARTITION BY nation) AS component FROM (
-      SELECT target_uuid AS uuid, target_uuid AS nation, target_uuid AS component FROM fx_edges WHERE name = 'LOCATED_IN' UNION
-      SELECT source_uuid, target_uuid, source_uuid FROM fx_edges WHERE name = 'LOCATED_IN')""")
+@register("connected_components", "SELECT uuid, component FROM c12", extra=_CC)
 def _(s):
-    return community.connected_components(located(s))
+    return community.connected_components(s.edges())
 
 
-_LP = "adj AS (SELECT DISTINCT a, b FROM (SELECT source_uuid AS a, target_uuid AS b FROM fx_edges WHERE name = 'SUPPLIES' UNION ALL SELECT target_uuid, source_uuid FROM fx_edges WHERE name = 'SUPPLIES')), l0 AS (SELECT DISTINCT a AS uuid, a AS label FROM adj)"
+_LP = _ADJ + ", l0 AS (SELECT DISTINCT a AS uuid, a AS label FROM adj)"
 for _i in range(3):
-    _LP += (f", l{_i + 1} AS (SELECT uuid, label FROM (SELECT uuid, label, row_number() OVER (PARTITION BY uuid ORDER BY n DESC, label) AS rn FROM ("
+    _LP += (f", l{_i + 1} AS MATERIALIZED (SELECT uuid, label FROM (SELECT uuid, label, row_number() OVER (PARTITION BY uuid ORDER BY n DESC, label) AS rn FROM ("
             f"SELECT a AS uuid, label, count(*) AS n FROM adj JOIN l{_i} ON l{_i}.uuid = b GROUP BY 1, 2)) WHERE rn = 1)")
 
 
 @register("label_propagation", "SELECT uuid, label FROM l3", extra=_LP)
 def _(s):
-    return community.label_propagation(s.edges().filter("name = 'SUPPLIES'"))
+    return community.label_propagation(s.edges())
 
 
 @register("modularity_score", """
@@ -435,11 +434,11 @@ def _(s):
       SELECT x.label, count(*) AS degree, count(*) FILTER (x.label = y.label) AS inside, (SELECT count(*) FROM adj)::DOUBLE AS m
       FROM adj JOIN l3 x ON x.uuid = a JOIN l3 y ON y.uuid = b GROUP BY 1)""", extra=_LP)
 def _(s):
-    e = stage(s.edges().filter("name = 'SUPPLIES'").select("source_uuid", "target_uuid"))
+    e = stage(s.edges().select("source_uuid", "target_uuid"))
     return community.modularity_score(e, community.label_propagation(e)).withColumn("modularity", F.round("modularity", 6))
 
 
 @register("community_table", "SELECT label AS community_id, count(*) AS member_count FROM l3 GROUP BY 1 HAVING count(*) >= 2", extra=_LP)
 def _(s):
-    return community.community_table(community.label_propagation(s.edges().filter("name = 'SUPPLIES'")), min_size=2)
+    return community.community_table(community.label_propagation(s.edges()), min_size=2)
 
