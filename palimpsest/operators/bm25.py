@@ -21,10 +21,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DOC_COLUMNS = ("uuid", "user_id", "created_at")
 
 
-def documents(df: DataFrame, text, *, user: str = "user_id", created: str = "created_at") -> DataFrame:
-    """``uuid, user_id, created_at, tokens`` from any table with a text expression."""
+def documents(df: DataFrame, text, *carried: str, user: str = "user_id", created: str = "created_at") -> DataFrame:
+    """``uuid, user_id, created_at, tokens`` from any table with a text expression, and columns to filter by later."""
     return df.select("uuid", F.col(user).alias("user_id"), F.col(created).alias("created_at"),
-                     tokenize(text).alias("tokens"))
+                     tokenize(text).alias("tokens"), *carried)
 
 
 @dataclass
@@ -52,11 +52,12 @@ class Bm25Index:
 
 
 def build(docs: DataFrame) -> Bm25Index:
-    """One pass over the documents gives every statistic, written once and read from then on.
+    """Documents are tokenised and written once; one pass over them gives every statistic, written as well.
 
     Each document adds its distinct tokens and one empty token; the empty token's row therefore
     counts documents and sums their lengths.
     """
+    docs = stage(docs)
     posted = docs.select(F.size("tokens").cast("long").alias("dl"),
                          F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("tok"))
     stats = stage(posted.groupBy("tok").agg(F.count("*").alias("df"), F.sum("dl").alias("total_len")))

@@ -139,7 +139,9 @@ def bm25_episodes(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:
                       F.from_json("metadata", schema.METADATA)["sessions"])
     text = episode_doc_text(F.col("content"), sessions)
     index = bm25.build(bm25.documents(g.episodes, text))
-    subset = bm25.documents(allowed_episodes(g, cfg), text) if cfg.tags or cfg.kinds else None
+    subset = None
+    if cfg.tags or cfg.kinds:
+        subset = index.docs.join(allowed_episodes(g, cfg).select("uuid"), "uuid", "left_semi")
     return _kind(bm25.search(index, queries, candidates=subset, min_score=cfg.min_bm25_score, limit=cfg.limit), "episode")
 
 
@@ -151,9 +153,9 @@ def bm25_entities(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:
 def bm25_edges(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Statistics over all facts; scored are the live ones, a user's when both endpoints are theirs."""
     owned = edges_with_owner(g.edges, g.entities)
-    docs = bm25.documents(owned, F.col("fact"))
-    live = bm25.documents(owned if cfg.include_expired else filters.active_edges(owned, cfg.reference_time), F.col("fact"))
-    return _kind(bm25.search(bm25.build(docs), queries, candidates=live, min_score=cfg.min_bm25_score,
+    index = bm25.build(bm25.documents(owned, F.col("fact"), "expired_at"))
+    live = index.docs if cfg.include_expired else filters.active_edges(index.docs, cfg.reference_time)
+    return _kind(bm25.search(index, queries, candidates=live, min_score=cfg.min_bm25_score,
                              limit=cfg.limit), "edge")
 
 
