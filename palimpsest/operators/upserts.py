@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.operators.sets import merge_episode_lists
-from palimpsest.operators.skew import BROADCAST_ROWS
+from palimpsest.operators.skew import BROADCAST_ROWS, is_small
 from palimpsest.session import stage
 
 
@@ -32,7 +32,7 @@ def merge(target: DataFrame, updates: DataFrame, keys: list[str], on_match: dict
     cond = [F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]
     updates = stage(updates)
     t, u = target.withColumn("_t", F.lit(True)).alias("t"), updates.withColumn("_u", F.lit(True)).alias("u")
-    if updates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(updates, BROADCAST_ROWS):
         # A bounded batch goes to the stored rows, which are then read but never shuffled.
         known = target.select(*keys).alias("t").join(F.broadcast(u), cond, "left_semi").distinct()
         fresh = updates.alias("u").join(F.broadcast(known.alias("t")), cond, "left_anti")

@@ -52,14 +52,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STAGED: list[str] = []
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Deletes the tables that ``stage`` has written for this program's queries so far; returns how many.
+
+    For whoever has read or written a query's result: what was staged for it is then no longer needed.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def stage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
     For a table that one query uses several times: later uses prune columns and push filters,
-    and a lost executor costs a re-read, not a recomputation.
+    and a lost executor costs a re-read, not a recomputation.  ``release_staged`` removes it.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

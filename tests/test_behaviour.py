@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import privacy, scoring, text, values
-from palimpsest.operators import augment, filters, fusion, ingest, maintain, metadata, runs, search
+from palimpsest.operators import augment, filters, fusion, ingest, joins, maintain, metadata, runs, search
 from palimpsest.sources import tables
 from palimpsest.streaming import incremental as inc
 
@@ -233,3 +233,36 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
         inc.stream_dedup_exact(inc.table_stream(spark, src, "*.parquet", 1), out, out + "-cp").awaitTermination()
     got = {r.uuid: r.canonical_uuid for r in spark.read.parquet(out).collect()}
     assert got == {r.input_id: r.canonical_uuid for r in dedup_exact(eps).collect()}
+
+
+def test_staged_tables_are_released(spark):
+    from palimpsest import session
+
+    df = session.stage(spark.range(5))
+    assert df.count() == 5 and session.release_staged(spark) >= 1
+    assert session.release_staged(spark) == 0
+
+
+def test_broadcast_is_bound_by_bytes(spark):
+    from palimpsest.operators import skew
+
+    df = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array_repeat(F.lit(1.0), 100).alias("v"))
+    assert skew.is_small(df) and not skew.is_small(df, max_rows=9) and not skew.is_small(df, max_bytes=15_000)
+
+
+def test_new_sessions_keep_all_their_runs(spark):
+    eps = episodes(spark, [("old", "x", "u", {"sessions": {"s": [run(1, "2024-01-01T00:00:00")]}}, 0)])
+    runs_in = spark.createDataFrame([("new", "u", "first", T0, ("a",)), ("new", "u", "second", T0 + dt.timedelta(1), ("b",)), ("s", "u", "more", T0, ("c",))],
+                                    "session_id string, user_id string, content string, run_at timestamp, run struct<run_id:string>")
+    append, create = runs.prepare_query_runs(eps, runs_in)
+    made = create.collect()
+    assert [(r.session_id, r.content) for r in made] == [("new", "first")]
+    assert sorted((r.run.run_id, r.episode_uuid) for r in append.collect()) == [("a", made[0].uuid), ("b", made[0].uuid), ("c", "old")]
+
+
+def test_malformed_metadata_is_dropped_and_names_have_words(spark):
+    eps = episodes(spark, [("ok", "Alice  Smith, went to (Google).", "u", {"tags": []}, 0)])
+    bad = eps.withColumn("metadata", F.lit("{not json"))
+    assert joins.metadata_struct(bad).count() == 0 and joins.metadata_struct(eps).count() == 1
+    words = spark.createDataFrame([("Alice Smith", "person"), ("google", "org")], "name string, entity_type string")
+    assert sorted((r.name, r.position) for r in ingest.extract_entities(eps, words).collect()) == [("alice_smith", 0), ("google", 4)]
