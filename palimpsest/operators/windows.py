@@ -6,14 +6,28 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from palimpsest.functions.scoring import as_score
 from palimpsest.operators.aggregates import top_per_group
+from palimpsest.session import stage
 
 
 def rank_in_list(ranked: DataFrame, lists: list[str]) -> DataFrame:
-    """1-based rank per result list by rounded score, then recency if present, then id."""
+    """1-based rank per result list by rounded score, then recency if present, then id.
+
+    A list may hold most of the rows: they are sorted by range over all tasks, counted in each, and every row
+    adds the rows of its list in the ranges before.
+    """
     order = [F.desc("score")]
     if "created_at" in ranked.columns:
         order.append(F.desc_nulls_last("created_at"))
-    return ranked.withColumn("rank", F.row_number().over(W.partitionBy(*lists).orderBy(*order, "uuid")))
+    spark = ranked.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage(ranked.repartitionByRange(parts, *lists, *order, "uuid").withColumn("_part", F.spark_partition_id()))
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_part", *lists).orderBy(*order, "uuid")))
+    counts = rows.groupBy("_part", *lists).agg(F.count("*").alias("_n"))  # a row for each list in each range
+    before = W.partitionBy(*lists).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("_part", *lists)]
+    return rows.alias("r").join(counts.alias("c"), same).select(
+        *[F.col(f"r.{c}").alias(c) for c in ranked.columns], (F.col("_nth") + F.col("_before")).cast("int").alias("rank"))
 
 
 def recent_episodes(episodes: DataFrame, n: int = 5) -> DataFrame:
