@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,14 @@ UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sentences end in a mark before white space or the end, or at an empty line.
 BREAK = r"[.!?;]+([ \t\r\n]+|\z)|\n[ \t\r]*\n"
 OUTSIDE = r"[^a-z0-9+]+"
+#: As BREAK, but the mark of "v. 2.0" ends nothing.
+ENDS = r"(?!(?<=\b[vV])\.[ \t\r\n]+[0-9])" + BREAK
+#: Known sentences from a line's start to a line's end, wrapped anywhere; what is open in the middle runs on for one line at most.
+#: Those that end in "later" are tried first, and a line's end before "or later" ends none: their beginnings say another licence.
+LINES = (r"(?<![^\n])(?:" + "|".join(re.sub(r"\.\*(?!$)", lambda m: r".*(?:\n.*)?", p).replace(" ", r"\s") for _, p in sorted(SENTENCES, key=lambda s: "later" not in s[1]))
+         + r")(?![^\n])(?!\nor\s(?:at\syour\soption\s)?(?:any\s)?later)")
+#: Sentences that are open in the middle, as a whole piece of any number of lines.
+OPEN = r"(?s)^(?:" + "|".join(p.replace(" ", r"\s") for _, p in SENTENCES if ".*" in p[:-2]) + ")$"
 #: Stands for identifiers that a rule has used.
 USED = "|~|"
 
@@ -95,18 +105,31 @@ def _sequence(ids: tuple[str, ...]) -> str:
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order; null for a text without any keyword."""
-    pieces = F.filter(F.split(text, BREAK), lambda s: s.rlike("(?i)" + "|".join(KEYWORDS)))
+    """Identifiers of the known sentences of a text, in order; null for a text without any keyword.
+
+    A sentence starts at the start of a piece or line and ends at the end of one. Each step has its own list, so that it is
+    computed once for a piece.
+    """
+    keyword = "(?i)" + "|".join(KEYWORDS)
+    pieces = F.filter(F.split(text, ENDS), lambda s: s.rlike(keyword))
+
+    def plain(piece: Column) -> Column:
+        letters = F.regexp_replace(F.translate(piece, UPPER + "\r", SMALL + "\n"), r"[^a-z0-9+\n]+", " ")
+        return F.btrim(F.regexp_replace(letters, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+
+    def said(found: Column) -> Column:
+        whole = F.when(found["piece"].rlike(OPEN), F.array(found["piece"])).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(found["lines"]) > 0, found["lines"]).otherwise(whole)
 
-    def identify(piece: Column) -> Column:
-        said = F.trim(F.regexp_replace(F.translate(piece, UPPER, SMALL), OUTSIDE, " "))
+    def identify(sentence: Column) -> Column:
         found = F.lit(None).cast("string")
         for name, pattern in reversed(SENTENCES):
-            found = F.when(said.rlike(f"^({pattern})$"), F.lit(name)).otherwise(found)
+            found = F.when(sentence.rlike(f"^({pattern})$"), F.lit(name)).otherwise(found)
         return found
 
-    ids = F.filter(F.transform(pieces, identify), lambda i: i.isNotNull())
-    return F.when(text.rlike("(?i)" + "|".join(KEYWORDS)), ids)
+    found = F.transform(F.transform(pieces, plain), lambda s: F.struct(s.alias("piece"), F.regexp_extract_all(s, F.lit(LINES), F.lit(0)).alias("lines")))
+    sentences = F.transform(F.flatten(F.transform(found, said)), lambda s: F.translate(s, "\n", " "))
+    return F.when(text.rlike(keyword), F.filter(F.transform(sentences, identify), lambda i: i.isNotNull()))
 
 
 def match_rules(ids: Column) -> Column:
