@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import table
 from palimpsest.llm.registry import query
 
-#: One of these, in any case, is in every known sentence.
-KEYWORDS = ("licen[cs]e", "copyright", "permission", "warrant", "redistribut", "free software", "public domain", "spdx", "as is", "liable")
+#: The keywords of the SQL, which is left as it was.
+SQL_KEYWORDS = ("licen[cs]e", "copyright", "permission", "warrant", "redistribut", "free software", "public domain", "spdx", "as is", "liable")
+#: One of these, in any case, is in every known sentence as it is written, wrapped or with marks for blanks.
+KEYWORDS = (*SQL_KEYWORDS, r"public[\W_]+domain", r"cc[\W_]+by", r"creative[\W_]+commons", "cc0")
 
 #: Identifiers, and patterns of whole sentences in lower case, with single blanks for all but letters, digits and +.
 SENTENCES = (
@@ -173,8 +175,8 @@ def _oracle() -> str:
         steps = f"r{k + 1}"
     return rf"""
 with p as (select row_number() over () as n, doc_id, coalesce(text, '') as text from documents),
-k as (select n, doc_id, case when regexp_matches(text, '(?i){"|".join(KEYWORDS)}') then
-        list_filter(string_split_regex(text, '{BREAK}'), lambda s: regexp_matches(s, '(?i){"|".join(KEYWORDS)}')) else [] end as s from p),
+k as (select n, doc_id, case when regexp_matches(text, '(?i){"|".join(SQL_KEYWORDS)}') then
+        list_filter(string_split_regex(text, '{BREAK}'), lambda s: regexp_matches(s, '(?i){"|".join(SQL_KEYWORDS)}')) else [] end as s from p),
 i as (select n, pos, case {cases} end as id from (
         select n, pos, trim(regexp_replace(translate(s, '{UPPER}', '{SMALL}'), '{OUTSIDE}', ' ', 'g'), ' ') as s
         from (select n, unnest(s) as s, generate_subscripts(s, 1) as pos from k))),

@@ -1,4 +1,6 @@
-"""Licence sentences that begin or end at a line's border, planted without the operator's own borders."""
+"""Licence sentences that begin or end at a line's border, and the shortest strings of all."""
+
+import re
 
 from palimpsest.llm import license_rules as lr
 
@@ -30,3 +32,35 @@ def test_order_and_open_middles(spark):
              "Copyright 2024 A\n" * 3000 + "All rights reserved", "head\nCopyright 2024 A\nAll rights reserved\ntail"]
     got = {r.doc_id: r.sentences for r in lr.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: "mit_ref,ccbync4_ref,gpl_see", 1: "bsd_names", 2: "rights", 3: "rights"}
+
+
+def shortest(node):
+    """The shortest string that a parsed pattern accepts, with a letter where it is open."""
+    out = ""
+    for op, arg in node:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+            case "BRANCH":
+                out += min(map(shortest, arg[1]), key=len)
+            case "SUBPATTERN":
+                out += shortest(arg[3])
+            case "MAX_REPEAT":
+                out += shortest(arg[2]) * (arg[0] or str(arg[2][0][0]) == "ANY")
+            case "ANY":
+                out += "x"
+            case other:
+                raise ValueError(other)
+    return out
+
+
+def test_shortest_strings_are_found(spark):
+    rows = [(name, shortest(re._parser.parse(pattern)).replace(" ", mark)) for name, pattern in lr.SENTENCES for mark in (" ", "\n * ", "-", "_")]
+    docs = spark.createDataFrame([(i, text.upper()) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.sentences for r in lr.scan_licences(docs).collect()}
+    assert [(got[i], text) for i, (_, text) in enumerate(rows)] == rows
+    said = ["Released under CC BY 4.0.", "This work is distributed under Creative Commons Attribution ShareAlike 4.0 International.", "available under CC0 1.0 Universal"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.licences) for r in lr.scan_licences(docs).collect()) == [(0, "CC-BY-4.0"), (1, "CC-BY-SA-4.0"), (2, "CC0-1.0")]
