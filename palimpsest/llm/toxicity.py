@@ -28,6 +28,10 @@ PIECE, STRIDE = 24, 12
 #: Places for subsequences' weights; rounds of fitting; no value of the machine counts as lower.
 SLOTS = 1 << 20
 ROUNDS = 4
+#: Each round fits on at most so many pieces of clean texts: the highest so far, and those with the smallest hash of their number.
+HARDEST, DRAWN = 6000, 12000
+#: Pieces that stand for each toxic text in a round; landmarks are chosen anew in the first rounds only.
+WITNESSES, LANDMARK_ROUNDS = 2, 2
 FLOOR = -1.0
 _GAPS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 #: Digits and signs that stand for letters.
@@ -241,7 +245,9 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     """Fits on labelled texts: a text is toxic because of one of its pieces, which is not known.
 
     First the piece with the most telling letters stands for each toxic text; then, by turns, the machine is fitted to the
-    texts' pieces so far (against all pieces found in clean texts, the highest first) and finds better ones.
+    texts' pieces so far (WITNESSES of each) and finds better ones. Against them stand pieces found in clean texts, but not all:
+    the HARDEST highest and DRAWN by hash, so that a round takes bounded time and memory however many pieces there are.
+    All pieces have a say in which letters are telling, and all are valued after each round.
     Every fourth text is kept apart to turn values into scores.
     """
     labels = np.asarray(labels).astype(bool)
@@ -278,14 +284,15 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         order = np.lexsort([-value[piece[may]], text[may]])
         owner_text, chosen = text[may][order], piece[may][order]
         new = np.concatenate([[True], owner_text[1:] != owner_text[:-1]])
-        chosen = chosen[new | np.concatenate([[False], new[:-1]])]  # the best two of each text
+        place = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        chosen = chosen[place < WITNESSES]
         if not len(chosen):
             return Model(None, 0.0, np.zeros(4))
         witness, times = np.unique(chosen, return_counts=True)
-        hard = clean[np.argsort(-value[clean], kind="stable")[:6000]]
-        some = clean[np.argsort(mix(clean.astype(np.uint64)))[:12000]]
+        hard = clean[np.argsort(-value[clean], kind="stable")[:HARDEST]]
+        some = clean[np.argsort(mix(clean.astype(np.uint64)))[:DRAWN]]
         negative = np.setdiff1d(np.union1d(hard, some), witness)
-        if turn < 2:
+        if turn < LANDMARK_ROUNDS:
             mark = witness[np.argsort(-times * np.maximum(value[witness], 0), kind="stable")[:LANDMARKS]]
             marks = Landmarks(codes, bounds[np.union1d(mark, negative[np.argsort(mix(negative.astype(np.uint64)))[:BACKGROUND]])])
         rows = np.concatenate([witness, negative])
@@ -338,15 +345,17 @@ def fold(doc_id: Column, parts: int) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """Fits the model on at most ``fit_docs`` documents of each label, by the smallest hashes of their ids, none of fold 2 of 4.
 
-    A document with several labels counts as toxic if one is; null labels and ids are left out. The sample, whose size is
-    bound by ``fit_docs`` documents, goes to one task, which returns the model; of each document, all text is used.
+    A document with several labels counts as toxic if one is; null labels and ids are left out. Of the sample
+    each different text of an id goes once to one task, which returns the model: rows that repeat an id and its text are
+    put together before, in many tasks. That task reads all text of each, and so is bound by the different texts of
+    2 * ``fit_docs`` ids, not by their length; ``fit`` bounds the pieces it fits on.
     """
     known = (labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .filter(fold(F.col("doc_id"), 4) != 2))
     drawn = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs) for t in (0, 1)]
     sample = drawn[0].unionByName(drawn[1])  # 2 * fit_docs rows at most
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(
-        F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int"))
+        F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))

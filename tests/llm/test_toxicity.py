@@ -77,3 +77,12 @@ def test_odd_rows(spark):
     assert tx.score_documents(docs.limit(0), model).collect() == []
     silent = tx.learn(docs, labels.limit(0))
     assert {r._score for r in tx.score_documents(docs, silent).collect()} == {0.0}
+
+
+def test_repeated_rows_weigh_once(spark):
+    rows = [(i, f"{'you moron' if i % 2 else 'the tree is green'} and thing{i % 37} too") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    many = docs.union(docs.filter("doc_id in (5, 8, 13)").crossJoin(spark.range(300)).select("doc_id", "text"))
+    once, often = tx.learn(docs, labels), tx.learn(many, labels)
+    assert np.array_equal(once.weights, often.weights) and once.bias == often.bias and np.array_equal(once.scale, often.scale)
