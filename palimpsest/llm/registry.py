@@ -23,6 +23,7 @@ def load_all() -> None:
     from palimpsest.llm import (  # noqa: F401
         chunk_prints,
         dart_minhash,
+        dot_clusters,
         fm_decontaminate,
         kneser_ney,
         license_rules,
