@@ -31,5 +31,6 @@ def load_all() -> None:
         prefix_counts,
         sharding,
         toxicity,
+        turn_repair,
         warc,
     )
