@@ -25,6 +25,7 @@ def load_all() -> None:
         dart_minhash,
         dot_clusters,
         fm_decontaminate,
+        jaccard_join,
         kneser_ney,
         license_rules,
         monoid_bpe,
