@@ -104,3 +104,40 @@ def search(index: Bm25Index, queries: DataFrame, *, candidates: DataFrame | None
            min_score: float = 0.01, limit: int = 10) -> DataFrame:
     hits = score(index, queries, candidates).filter(F.col("score") >= min_score)
     return top_per_group(hits, ["query_id"], [F.desc("score"), F.desc_nulls_last("created_at"), "uuid"], limit)
+
+
+def search_parts(docs: DataFrame, part: str, queries: DataFrame, *, candidates=None, min_score: float = 0.01, limit: int = 10) -> DataFrame:
+    """Top lists of every query in each part of a corpus: parts have statistics of their own, but are read and scored together.
+
+    ``docs``: as of ``documents``, with the column ``part`` (a handful of values); ``candidates`` filters the written
+    documents that are scored.  The queries' vocabulary must be small enough to be broadcast (``is_short``).
+    """
+    docs = stage(docs)
+    posted = docs.select(part, F.size("tokens").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("tok"))
+    stats = stage(posted.groupBy(part, "tok").agg(F.count("*").alias("df"), F.sum("dl").alias("total_len")))
+    totals = stats.filter("tok = ''").select(part, F.col("df").alias("n"), F.try_divide("total_len", "df").alias("avgdl"))  # a row for each part
+    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = stats.filter("tok <> ''").join(F.broadcast(totals), part).select(part, "tok", "avgdl", idf.alias("idf"))
+    mean = raw.groupBy(part).agg(F.avg("idf").alias("mean"))
+    q = _query_tokens(queries)
+    weights = raw.join(F.broadcast(q.select("tok").distinct()), "tok", "left_semi").join(F.broadcast(mean), part)
+    weights = weights.select(part, "tok", "avgdl", F.when(F.col("idf") < 0, F.col("mean") * EPSILON).otherwise(F.col("idf")).alias("idf"))
+    scored = docs if candidates is None else candidates(docs)
+    keys = [part, *DOC_COLUMNS, "dl", "tok", "idf", "avgdl"]
+    hits = scored.select(part, *DOC_COLUMNS, F.size("tokens").alias("dl"), F.explode("tokens").alias("tok")).join(F.broadcast(weights), [part, "tok"])
+    tf = hits.repartition("uuid").groupBy(*keys).agg(F.count("*").alias("tf"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    tf = tf.select(part, *DOC_COLUMNS, "tok", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
+    paired = tf.join(F.broadcast(q), "tok").filter((F.col("q_user") == "") | (F.col("q_user") == F.col("user_id")))
+    found = paired.groupBy("query_id", part, "uuid", "created_at").agg(as_score(F.sum(F.col("qtf") * F.col("w"))).alias("score"))
+    return top_per_group(found.filter(F.col("score") >= min_score), ["query_id", part], [F.desc("score"), F.desc_nulls_last("created_at"), "uuid"], limit)
+
+
+def _query_tokens(queries: DataFrame) -> DataFrame:
+    q = queries.select("query_id", F.coalesce("user_id", F.lit("")).alias("q_user"), F.explode(tokenize(F.col("text"))).alias("tok"))
+    return q.groupBy("query_id", "q_user", "tok").agg(F.count("*").alias("qtf"))
+
+
+def is_short(queries: DataFrame) -> bool:
+    """Whether the queries' words are few enough to go to every task."""
+    return _query_tokens(queries).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

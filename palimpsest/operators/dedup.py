@@ -6,21 +6,20 @@ dropped row never makes another row a duplicate, so the result depends on order:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from palimpsest.functions.text import content_key
 from palimpsest.operators import bm25, filters
 from palimpsest.operators.skew import HOT_ROWS, broadcast_if_small
-from palimpsest.operators.vectors import CHUNK_ROWS, greedy_keep
+from palimpsest.operators.vectors import CHUNK_ROWS, greedy_keep, nearest_kept
 from palimpsest.session import stage
 
 
 def kept_anchors(times: DataFrame, keys: list[str], width: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Kept times per key from distinct times ``keys, t``.
 
-    In a bucket of one window width at most one row is kept.  Keys with few distinct times are
-    folded in one expression; hot keys are swept bucket by bucket, where each step only takes a
-    minimum (combined before the shuffle), so no task ever holds a hot key.
+    Keys with few distinct times are folded in one expression.  Hot keys go by pointer doubling over
+    written tables, so neither a task nor the driver ever holds a hot key.
     """
     sizes = times.groupBy(*keys).agg(F.count("*").alias("n"))
     hot = sizes.filter(F.col("n") > hot_rows).select(*keys)
@@ -34,26 +33,48 @@ def kept_anchors(times: DataFrame, keys: list[str], width: int, hot_rows: int =
 
     folded = cold.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("ts"))
     kept = folded.select(*keys, F.explode(F.aggregate("ts", none, step)).alias("t"))
-    return kept.unionByName(_sweep(times.join(flag, keys, "left_semi"), keys, width)) if is_hot else kept
-
-
-def _sweep(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """One pass over hot keys in time order, one bucket a step; state is one time per hot key."""
-    rows = rows.withColumn("b", F.floor(F.col("t") / width)).repartitionByRange("b", "t")
-    rows = stage(rows, partition_by="b")  # each step reads only the files of its bucket
-    buckets = [r["b"] for r in rows.select("b").distinct().orderBy("b").collect()]  # one per window width
-    spark, schema = rows.sparkSession, rows.select(*keys, "t").schema
-    last: dict[tuple, int] = {}
-    found: list[tuple] = []
-    for b in buckets:
-        now = rows.filter(F.col("b") == b)
-        if last:  # only an anchor in the bucket before can reach into this one
-            seen = spark.createDataFrame([(*k, t) for k, t in last.items()], schema).withColumnRenamed("t", "a")
-            now = now.join(F.broadcast(seen), keys, "left").filter(F.col("a").isNull() | (F.col("t") - F.col("a") >= width))
-        got = [(*[r[k] for k in keys], r["t"]) for r in now.groupBy(*keys).agg(F.min("t").alias("t")).collect()]
-        found += got  # at most one per hot key and step
-        last.update({g[:-1]: g[-1] for g in got})
-    return spark.createDataFrame(found, schema)
+    return kept.unionByName(_kept_by_doubling(times.join(flag, keys, "left_semi"), keys, width)) if is_hot else kept
+
+
+#: Cells that one window is cut into when the next time after a window is looked for.
+CELLS = 64
+
+
+def _following(times: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``keys, t, nxt``: of every time the first one that lies a window or more behind it (null: none).
+
+    The goal ``t + width`` is looked for among the times of its own cell, a small part of a window; if that has
+    none left, the first time of the next filled cell is taken.  No task sees more than a cell of times,
+    or one row for each cell, of a key.
+    """
+    size = max(1, width // CELLS)
+    event, goal = F.col("t"), F.col("t") + width
+    marks = times.select(*keys, event.alias("x"), F.lit(1).alias("kind"), event.alias("t")).unionByName(
+        times.select(*keys, goal.alias("x"), F.lit(0).alias("kind"), event.alias("t")))
+    marks = stage(marks.withColumn("cell", F.floor(F.col("x") / size)))
+    here = W.partitionBy(*keys, "cell").orderBy("x", "kind").rowsBetween(W.currentRow, W.unboundedFollowing)
+    inside = marks.withColumn("hit", F.min(F.when(F.col("kind") == 1, F.col("t"))).over(here)).filter("kind = 0")
+    cells = marks.groupBy(*keys, "cell").agg(F.min(F.when(F.col("kind") == 1, F.col("t"))).alias("first"))
+    later = W.partitionBy(*keys).orderBy("cell").rowsBetween(1, W.unboundedFollowing)
+    cells = cells.select(*keys, "cell", F.first("first", ignorenulls=True).over(later).alias("then"))
+    return inside.join(cells, [*keys, "cell"]).select(*keys, "t", F.coalesce("hit", "then").alias("nxt"))
+
+
+def _kept_by_doubling(times: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Kept times of hot keys.  From the first time on, each kept one gives the next by the same step, so steps are put together.
+
+    After round n the first 2^n kept times are known and ``jumps`` leads 2^n kept times ahead; so rounds grow with the
+    logarithm of the kept times of a key, and every round is two joins on (key, time), written and read again.
+    """
+    jumps = stage(_following(times, keys, width))
+    kept = stage(times.groupBy(*keys).agg(F.min("t").alias("t")))
+    while True:
+        more = stage(kept.join(jumps, [*keys, "t"]).filter("nxt IS NOT NULL").select(*keys, F.col("nxt").alias("t")))
+        if more.isEmpty():
+            return kept
+        kept = kept.unionByName(more)
+        far = jumps.select(*keys, F.col("t").alias("nxt"), F.col("nxt").alias("far"))
+        jumps = stage(jumps.join(far, [*keys, "nxt"]).filter("far IS NOT NULL").select(*keys, "t", F.col("far").alias("nxt")))
 
 
 def dedup_within(df: DataFrame, *, keys: list[str], ts: str, ident: str, window_hours: float = 24,
@@ -105,18 +126,40 @@ def dedup_exact(episodes: DataFrame, *, window_hours: float = 24, existing: Data
 
 
 def dedup_semantic(episodes: DataFrame, *, threshold: float = 0.95, window_hours: float = 24,
-                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                   existing: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Same user, cosine >= ``threshold`` to a kept episode of the window; the best match wins.
 
-    Equal texts have equal vectors, so this covers the exact rule where texts are embedded.
+    ``existing`` episodes are kept already: rows near one of them go first, the others are thinned among
+    themselves, and a dropped row's best match is looked for among both.  Equal texts have equal vectors, so this
+    covers the exact rule where texts are embedded.
     """
-    rows = episodes.withColumn("user_id", F.coalesce("user_id", F.lit("")))
-    out = greedy_keep(rows, block=["user_id"], ident="uuid", ts="created_at", vector="content_embedding",
-                      threshold=threshold, window_hours=window_hours, best=True, chunk_rows=chunk_rows)
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.select("uuid", "created_at", "content_embedding", F.coalesce("user_id", F.lit("")).alias("user_id"))
+
+    rows = shaped(episodes)
+    if existing is None:
+        out = _thinned(rows, threshold, window_hours, chunk_rows)
+    else:
+        rows, old = stage(rows), shaped(existing).withColumn("old", F.lit(True))
+        near = dict(block=["user_id"], ident="uuid", ts="created_at", vector="content_embedding", threshold=threshold,
+                    window_hours=window_hours, chunk_rows=chunk_rows)
+        stored = stage(nearest_kept(rows, old, **near))
+        covered = stored.select(F.col("id").alias("uuid"))
+        rest = stage(_thinned(rows.join(covered, "uuid", "left_anti"), threshold, window_hours, chunk_rows))
+        kept = rows.join(rest.filter("id = keeper").select(F.col("id").alias("uuid")), "uuid", "left_semi").withColumn("old", F.lit(False))
+        fresh = nearest_kept(rows.join(covered, "uuid", "left_semi"), kept, **near)
+        best = stored.unionByName(fresh).groupBy("id").agg(F.min_by(
+            F.struct("kid", "score"), F.struct((-F.col("score")).alias("s"), (-F.col("kt")).alias("t"), "kid")).alias("b"))
+        out = rest.unionByName(best.select("id", F.col("b.kid").alias("keeper"), F.col("b.score").alias("score")))
     return out.select(F.col("id").alias("input_id"), F.col("keeper").alias("canonical_uuid"),
                       (F.col("id") == F.col("keeper")).alias("is_new"), "score")
 
 
+def _thinned(rows: DataFrame, threshold: float, window_hours: float, chunk_rows: int) -> DataFrame:
+    return greedy_keep(rows, block=["user_id"], ident="uuid", ts="created_at", vector="content_embedding",
+                       threshold=threshold, window_hours=window_hours, best=True, chunk_rows=chunk_rows)
+
+
 def dedup_bm25(new: DataFrame, index: bm25.Bm25Index, *, threshold: float = 0.7, window_hours: float = 24,
                reference_time=None) -> DataFrame:
     """For new texts ``query_id, text, user_id``: the newest recent episode of the user that scores enough."""
@@ -129,9 +172,88 @@ def dedup_bm25(new: DataFrame, index: bm25.Bm25Index, *, threshold: float = 0.7,
         F.col("query_id").alias("input_id"), F.col("h.uuid").alias("canonical_uuid"), F.col("h.uuid").isNull().alias("is_new"))
 
 
+def dedup_bm25_batch(new: DataFrame, index: bm25.Bm25Index, *, threshold: float = 0.7, window_hours: float = 24) -> DataFrame:
+    """``input_id, canonical_uuid, is_new`` for episodes ``uuid, user_id, created_at, content`` that also meet each other.
+
+    A row is a duplicate if a kept row of its user, stored or new, lies less than the window before it and has the same text
+    (new rows) or a BM25 score of at least ``threshold`` for the row's text; of several the newest wins, then the
+    smallest id.  Statistics are those of the index with the batch in it, as it stands afterwards.
+
+    Tokens that together cannot reach the threshold are not looked up, which leaves out what nearly every text holds;
+    pairs meet by (user, token, window).  Rows without an undecided earlier match are kept at once and their
+    matches dropped, until all are decided.
+    """
+    width = int(window_hours * 3_600_000_000)
+    fresh = bm25.documents(new, F.col("content"))
+    fresh = stage(fresh.withColumn("ck", F.sha2(F.array_join("tokens", " "), 256)))
+    # equal texts in upper and lower case are equal token lists, but texts are compared as they are
+    exact = new.select("uuid", content_key(F.col("content")).alias("text_key"))
+    both = index.add(bm25.build(fresh.select(*bm25.DOC_COLUMNS, "tokens")))
+    matches = stage(_bm25_matches(fresh, both, threshold, width).unionByName(_equal_before(fresh.join(exact, "uuid"), width)).groupBy("id", "kid", "kt").agg(
+        F.max("stored").alias("stored")))
+    decided = _keep_in_order(fresh.select(F.col("uuid").alias("id")), matches)
+    return decided.select(F.col("id").alias("input_id"), F.coalesce("kid", "id").alias("canonical_uuid"), F.col("kid").isNull().alias("is_new"))
+
+
+def _bm25_matches(fresh: DataFrame, both: bm25.Bm25Index, threshold: float, width: int) -> DataFrame:
+    """``id, kid, kt, stored``: earlier documents of the window that score enough for a new row's text."""
+    weights = bm25.term_weights(both)
+    average = both.totals.select(F.try_divide("total_len", "n").alias("a")).scalar()
+    mine = fresh.select("uuid")
+    user, t = F.coalesce("user_id", F.lit("")).alias("user_id"), F.unix_micros("created_at").alias("t")
+    q = fresh.select(F.col("uuid").alias("id"), user, t, F.explode("tokens").alias("tok")).groupBy("id", "user_id", "t", "tok").agg(F.count("*").alias("qtf"))
+    q = q.join(weights, "tok").withColumn("top", F.greatest(F.lit(0.0), F.col("qtf") * F.col("idf") * (bm25.K1 + 1)))
+    # lightest first: as long as the sum stays below the threshold, these tokens alone make no match
+    lightest = W.partitionBy("id").orderBy("top", "tok").rowsBetween(W.unboundedPreceding, W.currentRow)
+    q = stage(q.withColumn("probe", F.sum("top").over(lightest) >= threshold))
+    span = fresh.agg((F.min(F.unix_micros("created_at")) - width).alias("a"), F.max(F.unix_micros("created_at")).alias("b"))
+    docs = both.docs.select("uuid", user, t, "tokens").crossJoin(F.broadcast(span)).filter("t > a AND t <= b").drop("a", "b")
+    d = docs.select(F.col("uuid").alias("kid"), "user_id", F.col("t").alias("kt"), F.size("tokens").alias("dl"), F.explode("tokens").alias("tok"))
+    d = stage(d.groupBy("kid", "user_id", "kt", "dl", "tok").agg(F.count("*").alias("tf")))
+    bucket = F.floor(F.col("kt") / width)
+    placed = d.select("kid", "user_id", "kt", "tok", F.explode(F.array(bucket, bucket + 1)).alias("b"))
+    near = q.filter("probe").select("id", "user_id", "t", "tok", F.floor(F.col("t") / width).alias("b")).join(placed, ["user_id", "tok", "b"])
+    earlier = ((F.col("kt") < F.col("t")) | ((F.col("kt") == F.col("t")) & (F.col("kid") < F.col("id")))) & (F.col("t") - F.col("kt") < width)
+    pairs = near.filter(earlier).select("id", "kid").distinct()
+    norm = F.col("tf") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / average)
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (bm25.K1 + 1) / norm
+    scored = pairs.join(q.select("id", "tok", "qtf", "idf"), "id").join(d.select("kid", "kt", "dl", "tok", "tf"), ["kid", "tok"])
+    hits = scored.groupBy("id", "kid", "kt").agg(F.round(F.sum(part), 6).alias("score")).filter(F.col("score") >= threshold)
+    known = mine.select(F.col("uuid").alias("kid"), F.lit(False).alias("_new"))
+    return hits.join(known, "kid", "left").select("id", "kid", "kt", F.coalesce("_new", F.lit(True)).alias("stored"))
+
+
+def _equal_before(fresh: DataFrame, width: int) -> DataFrame:
+    """``id, kid, kt, stored``: earlier new rows of the window with the same text."""
+    rows = fresh.select("uuid", F.coalesce("user_id", F.lit("")).alias("user_id"), "text_key", F.unix_micros("created_at").alias("t"))
+    bucket = F.floor(F.col("t") / width)
+    a = rows.select(F.col("uuid").alias("id"), "user_id", "text_key", "t", bucket.alias("b"))
+    k = rows.select(F.col("uuid").alias("kid"), "user_id", "text_key", F.col("t").alias("kt"), F.explode(F.array(bucket, bucket + 1)).alias("b"))
+    both = a.join(k, ["user_id", "text_key", "b"])
+    earlier = ((F.col("kt") < F.col("t")) | ((F.col("kt") == F.col("t")) & (F.col("kid") < F.col("id")))) & (F.col("t") - F.col("kt") < width)
+    return both.filter(earlier).select("id", "kid", "kt", F.lit(False).alias("stored"))
+
+
+def _keep_in_order(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """``id, kid``: the newest kept match of every row, null for kept rows.  ``matches``: earlier rows, ``stored`` ones are kept already."""
+    open_rows = stage(rows)
+    kept: DataFrame | None = None
+    while True:
+        sure = matches.filter("stored").select("kid").distinct() if kept is None else kept.select(F.col("id").alias("kid"))
+        gone = matches.join(sure, "kid").select("id").distinct()
+        open_rows = stage(open_rows.join(gone, "id", "left_anti"))
+        waits = matches.join(open_rows.select(F.col("id").alias("kid")), "kid", "left_semi").select("id").distinct()
+        lead = stage(open_rows.join(waits, "id", "left_anti"))
+        kept = lead if kept is None else kept.unionByName(lead)
+        open_rows = stage(open_rows.join(lead, "id", "left_anti"))
+        if open_rows.isEmpty():
+            break
+    anchors = matches.filter("stored").select("id", "kid", "kt").unionByName(matches.join(kept.select(F.col("id").alias("kid")), "kid", "left_semi").select("id", "kid", "kt"))
+    best = anchors.groupBy("id").agg(F.min_by("kid", F.struct((-F.col("kt")).alias("k"), "kid")).alias("kid"))
+    return rows.join(best, "id", "left").select("id", "kid")
+
+
 def resolve_duplicates_report(resolved: DataFrame) -> DataFrame:
     """Inputs per canonical row."""
     return resolved.groupBy("canonical_uuid").agg(
         F.count("*").alias("inputs"), F.count_if(~F.col("is_new")).alias("duplicates"))
-
-

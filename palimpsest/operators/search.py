@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest import schema
 from palimpsest.functions.scoring import as_score
 from palimpsest.functions.text import entity_doc_text, episode_doc_text
 from palimpsest.operators import bm25, filters, fusion
 from palimpsest.operators.aggregates import top_per_group
+from palimpsest.operators.keyword_store import KeywordStore
 from palimpsest.operators.traversal import traversal_search
 from palimpsest.operators.vectors import similarity_topk
 
@@ -27,6 +28,8 @@ class Graph:
     entities: DataFrame
     edges: DataFrame
     mentions: DataFrame
+    #: Kept keyword indexes by kind (as of ``keyword_stores``); kinds without one are indexed for the search.
+    keywords: dict[str, KeywordStore] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -133,35 +136,79 @@ def semantic_search(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFram
 
 # ---- keyword ------------------------------------------------------------------------------------
 
+def keyword_documents(g: Graph, kind: str) -> DataFrame:
+    """What the keyword index of a kind holds: episodes with their saved memories, entities, or facts with their owner and expiry."""
+    if kind == "episode":
+        # Only rows that carry runs need their metadata parsed; the rest keep a null.
+        sessions = F.when(F.contains("metadata", F.lit("llm_saved_memory")),
+                          F.from_json("metadata", schema.METADATA)["sessions"])
+        return bm25.documents(g.episodes, episode_doc_text(F.col("content"), sessions))
+    if kind == "entity":
+        return bm25.documents(g.entities, entity_doc_text(F.col("name"), F.col("summary")))
+    return bm25.documents(edges_with_owner(g.edges, g.entities), F.col("fact"), "expired_at")
+
+
+def keyword_stores(g: Graph, root: str, kinds: tuple[str, ...] = ("episode", "entity", "edge")) -> dict[str, KeywordStore]:
+    """Keyword indexes of the graph's tables, written below ``root`` for this and later sessions."""
+    spark = g.episodes.sparkSession
+    return {kind: KeywordStore.create(spark, f"{root}/{kind}", carried={"expired_at": "timestamp"} if kind == "edge" else None).add(keyword_documents(g, kind))
+            for kind in kinds}
+
+
+def load_keyword_stores(spark: SparkSession, root: str, kinds: tuple[str, ...] = ("episode", "entity", "edge")) -> dict[str, KeywordStore]:
+    return {kind: KeywordStore.load(spark, f"{root}/{kind}") for kind in kinds}
+
+
+def _kept_index(g: Graph, kind: str) -> KeywordStore | None:
+    return getattr(g, "keywords", {}).get(kind)
+
+
 def bm25_episodes(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:
-    # Only rows that carry runs need their metadata parsed; the rest keep a null.
-    sessions = F.when(F.contains("metadata", F.lit("llm_saved_memory")),
-                      F.from_json("metadata", schema.METADATA)["sessions"])
-    text = episode_doc_text(F.col("content"), sessions)
-    index = bm25.build(bm25.documents(g.episodes, text))
-    subset = None
-    if cfg.tags or cfg.kinds:
-        subset = index.docs.join(allowed_episodes(g, cfg).select("uuid"), "uuid", "left_semi")
+    allowed = allowed_episodes(g, cfg).select("uuid") if cfg.tags or cfg.kinds else None
+    if store := _kept_index(g, "episode"):
+        return _kind(store.search(queries, candidates=allowed, min_score=cfg.min_bm25_score, limit=cfg.limit), "episode")
+    index = bm25.build(keyword_documents(g, "episode"))
+    subset = None if allowed is None else index.docs.join(allowed, "uuid", "left_semi")
     return _kind(bm25.search(index, queries, candidates=subset, min_score=cfg.min_bm25_score, limit=cfg.limit), "episode")
 
 
 def bm25_entities(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:
-    index = bm25.build(bm25.documents(g.entities, entity_doc_text(F.col("name"), F.col("summary"))))
+    if store := _kept_index(g, "entity"):
+        return _kind(store.search(queries, min_score=cfg.min_bm25_score, limit=cfg.limit), "entity")
+    index = bm25.build(keyword_documents(g, "entity"))
     return _kind(bm25.search(index, queries, min_score=cfg.min_bm25_score, limit=cfg.limit), "entity")
 
 
 def bm25_edges(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Statistics over all facts; scored are the live ones, a user's when both endpoints are theirs."""
-    owned = edges_with_owner(g.edges, g.entities)
-    index = bm25.build(bm25.documents(owned, F.col("fact"), "expired_at"))
-    live = index.docs if cfg.include_expired else filters.active_edges(index.docs, cfg.reference_time)
-    return _kind(bm25.search(index, queries, candidates=live, min_score=cfg.min_bm25_score,
-                             limit=cfg.limit), "edge")
+    def live(rows: DataFrame) -> DataFrame:
+        return rows if cfg.include_expired else filters.active_edges(rows, cfg.reference_time)
+
+    if store := _kept_index(g, "edge"):
+        return _kind(store.search(queries, where=live, min_score=cfg.min_bm25_score, limit=cfg.limit), "edge")
+    index = bm25.build(keyword_documents(g, "edge"))
+    return _kind(bm25.search(index, queries, candidates=live(index.docs), min_score=cfg.min_bm25_score, limit=cfg.limit), "edge")
 
 
 def bm25_search(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:
-    return (bm25_episodes(g, queries, cfg).unionByName(bm25_entities(g, queries, cfg))
-            .unionByName(bm25_edges(g, queries, cfg)))
+    """All kinds: from kept indexes if there are any, else by one pass over the documents of all kinds together."""
+    if getattr(g, "keywords", {}) or not bm25.is_short(queries):
+        return (bm25_episodes(g, queries, cfg).unionByName(bm25_entities(g, queries, cfg))
+                .unionByName(bm25_edges(g, queries, cfg)))
+    docs = None
+    for kind in ("episode", "entity", "edge"):
+        own = keyword_documents(g, kind).withColumn("kind", F.lit(kind))
+        docs = own if docs is None else docs.unionByName(own, allowMissingColumns=True)
+
+    def scored(docs: DataFrame) -> DataFrame:
+        episodes, rest = docs.filter("kind = 'episode'"), docs.filter("kind = 'entity'")
+        if cfg.tags or cfg.kinds:
+            episodes = episodes.join(allowed_episodes(g, cfg).select("uuid"), "uuid", "left_semi")
+        edges = docs.filter("kind = 'edge'")
+        live = edges if cfg.include_expired else filters.active_edges(edges, cfg.reference_time)
+        return episodes.unionByName(rest).unionByName(live)
+
+    return bm25.search_parts(docs, "kind", queries, candidates=scored, min_score=cfg.min_bm25_score, limit=cfg.limit).select(*RESULT)
 
 
 def tag_only_search(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:

@@ -149,7 +149,9 @@ def _grid_hits(corpus: DataFrame, q: DataFrame, schema: str, threshold: float, l
 
     left = q.select(F.col("query_id").alias("id"), F.col("embedding").alias("vec"), "user_id")
     right = corpus.select(F.col("uuid").alias("id"), "vec", "user_id", "t")
-    return grid(left, right, [], meet, schema, chunk_rows)
+    # A query with a user meets that user's rows only; one without has to meet them all.
+    owned = grid(left.filter("user_id <> ''"), right, ["user_id"], meet, schema, chunk_rows)
+    return owned.unionByName(grid(left.filter("user_id = ''"), right, [], meet, schema, chunk_rows))
 
 
 def grid(left: DataFrame, right: DataFrame, block: list[str], kernel: Callable, schema: str,
@@ -303,6 +305,40 @@ def nearest_in_block(left: DataFrame, right: DataFrame, block: list[str], *, thr
     return hits.groupBy("id").agg(F.min_by(F.struct("other", "score"), best).alias("b")).select("id", "b.other", "b.score")
 
 
+def nearest_kept(rows: DataFrame, kept: DataFrame, *, block: list[str], ident: str, ts: str, vector: str, threshold: float,
+                 window_hours: float, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``id, kid, kt, score``: for each row the best kept row of its block that lies less than the window before it.
+
+    Best is the highest score, then the newest, then the smallest id.  ``kept`` has a column ``old``: rows that were stored before, which
+    come before all others of their time.  Both sides meet by block and window, in chunks of bounded size.
+    """
+    width = int(window_hours * 3_600_000_000)
+
+    def side(df: DataFrame, *more: str) -> DataFrame:
+        some = F.coalesce(F.exists(F.col(vector), lambda x: x != 0), F.lit(False))
+        t = F.unix_micros(ts)
+        return df.filter(some).select(*block, F.col(ident).alias("id"), t.alias("t"), F.col(vector).alias("vec"), F.floor(t / width).alias("b"), *more)
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "kid": [], "kt": [], "score": []})
+        b = b.sort_values(["t", "id"], ascending=[False, True])  # the first of equal scores is then the newest, smallest id
+        s = _cosines(_matrix(a["vec"]), _matrix(b["vec"]))
+        ta, tb = a["t"].to_numpy()[:, None], b["t"].to_numpy()[None, :]
+        first = b["old"].to_numpy(bool)[None, :] | (b["id"].to_numpy(str)[None, :] < a["id"].to_numpy(str)[:, None])
+        s = np.where((s >= threshold) & (ta - tb < width) & ((tb < ta) | ((tb == ta) & first)), s, -2.0)
+        at = s.argmax(axis=1)
+        top = s[np.arange(len(a)), at]
+        out = pd.DataFrame({"id": a["id"].to_numpy(), "kid": b["id"].to_numpy()[at], "kt": b["t"].to_numpy()[at], "score": top})
+        return out[out["score"] >= threshold]
+
+    right = side(kept, "old")
+    right = right.unionByName(right.withColumn("b", F.col("b") + 1))
+    hits = grid(side(rows), right, [*block, "b"], meet, "id string, kid string, kt long, score double", chunk_rows)
+    order = F.struct((-F.col("score")).alias("s"), (-F.col("kt")).alias("t"), "kid")
+    return hits.groupBy("id").agg(F.min_by(F.struct("kid", "kt", "score"), order).alias("p")).select("id", "p.kid", "p.kt", "p.score")
+
+
 def _greedy_rounds(rows: DataFrame, block: list[str], threshold: float, window: int | None, best: bool,
                    chunk_rows: int) -> DataFrame:
     # Copies of one vector in one window-wide bucket form a group `g`; only groups meet.  Inside a

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import filters, fusion, matching, search, vectors
+from palimpsest.operators import as_of, filters, fusion, matching, search, vectors
 from palimpsest.plans.basics import TAGS, tok
 from palimpsest.plans.registry import register
 from palimpsest.session import stage
 from palimpsest.sources.standins import EDGE_REFERENCE_TIME as ERT, Standins
+from palimpsest.streaming.incremental import fresh_path
 
 T = 0.25  # the stand-in vectors are nearly orthogonal, so the default threshold would find nothing
 CFG = search.SearchConfig(threshold=T, reference_time=ERT, apply_decay=False)
@@ -202,6 +203,41 @@ def _(s):
     return search.search(graph(s), s.queries(), search.without(CFG, enable_embeddings=False), "hybrid")
 
 
+@register("keyword_store_search", OUT + "keyword", extra=KEYWORD)
+def _(s):
+    """Kept indexes, loaded again: episodes in two segments, entities and facts in one."""
+    root = fresh_path(s.spark, "keywords")
+    g = search.Graph(s.doc_episodes(), s.entities(), s.edges(), s.mentions())
+    search.keyword_stores(g, root)["episode"].add(search.keyword_documents(search.Graph(s.chat_episodes(), None, None, None), "episode"))
+    loaded = search.Graph(s.episodes(), s.entities(), s.edges(), s.mentions(), search.load_keyword_stores(s.spark, root))
+    return search.search(loaded, s.queries(), search.without(CFG, enable_embeddings=False), "hybrid")
+
+
+@register("keyword_store_remove", "SELECT query_id, 'episode' AS kind, uuid, score, rank FROM k", extra=bm25_ctes(
+    "k", _EPS_DOC + " WHERE uuid NOT IN (SELECT 'd' || doc_id FROM labels WHERE quality = 0)"))
+def _(s):
+    """Tombstones: the documents of low quality go, and so do their words' counts."""
+    root = fresh_path(s.spark, "keywords")
+    low = s.table("labels").filter("quality = 0").select(F.concat(F.lit("d"), "doc_id").alias("uuid"))
+    stores = search.keyword_stores(search.Graph(s.episodes(), None, None, None), root, ("episode",))
+    stores = {"episode": stores["episode"].remove(low)}
+    return search.bm25_episodes(search.Graph(s.episodes(), None, None, None, stores), s.queries(), CFG)
+
+
+@register("keyword_store_merge", "SELECT query_id, 'entity' AS kind, uuid, score, rank FROM k", extra=bm25_ctes(
+    "k", _ENT_DOC + " WHERE entity_type <> 'CUSTOMER'").replace("fx_queries", "fx_entity_queries").replace(
+    "k_tok AS", "fx_entity_queries AS (SELECT p_partkey AS query_id, NULL AS user_id, p_type || ' ' || replace(p_name, ' ', '_') AS text FROM part),\n k_tok AS", 1))
+def _(s):
+    """One segment without its dead, after entities of one type were removed; blocks are skipped as in a large index."""
+    root = fresh_path(s.spark, "keywords")
+    store = search.keyword_stores(search.Graph(s.episodes(), s.entities(), None, None), root, ("entity",))["entity"]
+    store = store.remove(s.entities().filter("entity_type = 'CUSTOMER'").select("uuid")).merge()
+    q = s.table("part").select(F.col("p_partkey").alias("query_id"), F.lit(None).cast("string").alias("user_id"),
+                               F.concat("p_type", F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("text"))
+    hits = store.search(q, min_score=CFG.min_bm25_score, limit=CFG.limit, skip_from=0)
+    return hits.select("query_id", F.lit("entity").alias("kind"), "uuid", "score", "rank")
+
+
 @register("tag_only_search", "SELECT query_id, 'episode' AS kind, uuid, score, rank FROM x", extra="x AS (" + top(
     f"""SELECT q.query_id, e.uuid, e.created_at, 0.0::DOUBLE AS score FROM fx_queries q JOIN fx_episodes e ON q.user_id IS NULL OR q.user_id = e.user_id
         WHERE list_has_all({TAGS}, ['src3'])""", 10) + ")")
@@ -263,6 +299,21 @@ def _(s):
     return filters.facts_as_of(s.edges(), valid_time="1998-06-01", system_time="1999-01-01").select("uuid", "fact")
 
 
+@register("facts_as_of_many", """
+    SELECT strftime(m, '%Y-%m') AS month, count(*) AS facts, sum(mentions)::BIGINT AS mentions, min(uuid) AS first_uuid, max(uuid) AS last_uuid
+    FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders) JOIN fx_edges
+      ON valid_at <= m AND (invalid_at IS NULL OR invalid_at > m) AND created_at <= m + INTERVAL 30 DAY AND (expired_at IS NULL OR expired_at > m + INTERVAL 30 DAY)
+    GROUP BY 1""")
+def _(s):
+    """The facts of every month in which something was ordered, as they were known 30 days later."""
+    month = F.trunc("o_orderdate", "month").cast("timestamp")
+    points = s.table("orders").select(month.alias("valid_time")).distinct().select(
+        F.date_format("valid_time", "yyyy-MM").alias("point_id"), "valid_time", (F.col("valid_time") + F.expr("INTERVAL 30 DAYS")).alias("system_time"))
+    found = as_of.facts_as_of_many(s.edges().drop("fact_embedding", "episodes", "fact"), points)
+    return found.groupBy(F.col("point_id").alias("month")).agg(F.count("*").alias("facts"), F.sum("mentions").alias("mentions"),
+                                                               F.min("uuid").alias("first_uuid"), F.max("uuid").alias("last_uuid"))
+
+
 # The benchmark questions are the stored workflows; every episode is matched as a whole.
 @register("workflow_match", f"""
     SELECT uuid AS query_id, arg_min(item_id, (-sim, item_id)) AS workflow_id, max(sim) AS similarity FROM (
