@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import upserts
+from palimpsest.operators.keyed_store import KeyedStore
 from palimpsest.plans.registry import register
 from palimpsest.plans.writes import DEDUP_OUT, _TOOLS, _fold_sql
 from palimpsest.streaming import incremental as inc
@@ -42,6 +43,25 @@ def _(s):
     return inc.last_snapshot(s.spark, q, out).drop("uuid")
 
 
+@register("stream_upsert_log", """
+    SELECT coalesce(t.tool_name, u.tool_name) AS tool_name, coalesce(u.description, t.description) AS description,
+           (coalesce(t.mentions, 0) + coalesce(u.mentions, 0))::BIGINT AS mentions FROM fx_tools t FULL JOIN u ON u.tool_name = t.tool_name""", extra=_TOOLS)
+def _(s):
+    """As stream_upsert, but a batch writes only the buckets it touches and the table is merged when it is read."""
+    lines = inc.table_stream(s.spark, s.dir, "lineitem.parquet").join(s.table("part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+    name = F.when(F.col("l_linenumber") == 7, None).when(F.col("l_linenumber") == 6, F.concat("p_brand", F.lit(" tool"))).otherwise(F.col("p_name"))
+    ups = lines.select(name.alias("tool_name"), F.concat(F.lit("seen "), "l_orderkey").alias("description"), F.col("l_orderkey").alias("created_at"))
+    root = inc.fresh_path(s.spark, "tool-log")
+    KeyedStore.create(s.spark, root, s.tools().select("tool_name", "description", "mentions"), ["tool_name"], {"description": "new", "mentions": "sum"}, buckets=8)
+
+    def one_each(batch):
+        named = batch.filter(F.coalesce("tool_name", F.lit("")) != "")
+        return upserts.latest(named, ["tool_name"], mentions=F.count("*"))
+
+    inc.stream_upsert_log(ups, root, root + "-cp", one_each).awaitTermination()
+    return KeyedStore.load(s.spark, root).read()
+
+
 @register("stream_tool_stats", """
     SELECT date_trunc('hour', ts) AS window_start, tool_name, count(*) AS usage_count, count(*) FILTER (success) AS success_count,
            sum(duration_ms)::BIGINT AS total_duration_ms FROM fx_tool_calls GROUP BY 1, 2""")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import bm25, community, dedup, ingest, joins, maintain, upserts
+from palimpsest.operators import bm25, community, dedup, ingest, joins, louvain, maintain, upserts
+from palimpsest.operators.keyed_store import KeyedStore
 from palimpsest.plans.basics import tok
 from palimpsest.plans.registry import register
 from palimpsest.plans.retrieval import ACTIVE, bm25_ctes, sim_sql, T
@@ -50,9 +51,9 @@ def _(s):
     FROM fx_edges e FULL JOIN u ON u.uuid = e.uuid""", extra="""
     u AS (SELECT CASE WHEN l_linenumber = 7 THEN 'x' ELSE 'e' END || l_suppkey || '_' || l_partkey || '_' || l_returnflag AS uuid,
             max({'t': l_shipdate, 'f': 'order ' || l_orderkey}).f AS fact, count(*) AS mentions, list_distinct(list('o' || l_orderkey)) AS episodes, max(l_shipdate) AS created_at
-          FROM lineitem WHERE l_linenumber IN (1, 7) GROUP BY 1)""")
+          FROM lineitem GROUP BY 1)""")
 def _(s):
-    ups = s.table("lineitem").filter("l_linenumber IN (1, 7)").select(
+    ups = s.table("lineitem").select(
         F.concat(F.when(F.col("l_linenumber") == 7, "x").otherwise("e"), "l_suppkey", F.lit("_"), "l_partkey", F.lit("_"), "l_returnflag").alias("uuid"),
         F.concat(F.lit("order "), "l_orderkey").alias("fact"), F.lit(1).cast("long").alias("mentions"),
         F.array(F.concat(F.lit("o"), "l_orderkey")).alias("episodes"), F.col("l_shipdate").cast("timestamp").alias("created_at"))
@@ -61,6 +62,28 @@ def _(s):
     return out.withColumn("episodes", F.array_join(F.array_sort("episodes"), ","))
 
 
+@register("upsert_edges_log", """
+    SELECT coalesce(e.uuid, u.uuid) AS uuid, coalesce(u.fact, e.fact) AS fact, (coalesce(e.mentions, 0) + coalesce(u.mentions, 0))::BIGINT AS mentions,
+           array_to_string(list_sort(list_distinct(list_concat(coalesce(e.episodes, []), coalesce(u.episodes, [])))), ',') AS episodes, coalesce(e.created_at, u.first) AS created_at
+    FROM fx_edges e FULL JOIN u ON u.uuid = e.uuid""", extra="""
+    b AS (SELECT 'e' || l_suppkey || '_' || l_partkey || '_' || l_linestatus AS uuid, l_linenumber, max({'t': l_shipdate, 'f': 'order ' || l_orderkey}) AS m,
+            count(*) AS mentions, list_distinct(list('o' || l_orderkey)) AS episodes FROM lineitem GROUP BY 1, 2),
+    u AS (SELECT uuid, arg_max(m.f, l_linenumber) AS fact, sum(mentions) AS mentions, list_distinct(flatten(list(episodes))) AS episodes, arg_min(m.t, l_linenumber) AS first FROM b GROUP BY 1)""")
+def _(s):
+    """Every line number is a batch of an upsert log, which is compacted on the way; the table is merged when it is read."""
+    lines = stage(s.table("lineitem").select(
+        "l_linenumber", F.concat(F.lit("e"), "l_suppkey", F.lit("_"), "l_partkey", F.lit("_"), "l_linestatus").alias("uuid"),
+        F.concat(F.lit("order "), "l_orderkey").alias("fact"), F.lit(1).cast("long").alias("mentions"),
+        F.array(F.concat(F.lit("o"), "l_orderkey")).alias("episodes"), F.col("l_shipdate").cast("timestamp").alias("created_at")))
+    lists = F.array_sort(F.array_distinct(F.flatten(F.collect_set("episodes"))))
+    rules = {"fact": "new", "mentions": "sum", "episodes": "union"}
+    store = KeyedStore.create(s.spark, fresh_path(s.spark, "edge-log"), s.edges().select("uuid", "fact", "mentions", "episodes", "created_at"), ["uuid"], rules, buckets=8)
+    for number in range(1, 8):
+        one = upserts.latest(lines.filter(F.col("l_linenumber") == number), ["uuid"], tie="fact", mentions=F.sum("mentions"), episodes=lists)
+        store = store.apply(one, batch=("lines", number), most_entries=4)
+    return store.read().withColumn("episodes", F.array_join(F.array_sort("episodes"), ","))
+
+
 @register("upsert_mentions", """
     SELECT uuid, episode_uuid, entity_uuid, created_at FROM fx_mentions UNION ALL
     SELECT 'new' || doc_id, 'd' || doc_id, 's0', TIMESTAMP '2024-01-31' FROM labels""")
@@ -180,6 +203,62 @@ def _(s):
     return dedup.dedup_semantic(s.doc_episodes(), threshold=DT)
 
 
+def _thinning(pairs: str, rows: str) -> str:
+    """``rows(id, user_id, rn)`` kept in order: a row goes if an earlier kept one is among its ``pairs(id, kid)``."""
+    return f"""
+    nb AS (SELECT v.id, v.user_id, v.rn, coalesce(list(kid) FILTER (kid IS NOT NULL), []) AS ns FROM {rows} v LEFT JOIN {pairs} p ON p.id = v.id GROUP BY ALL),
+    k AS (SELECT user_id, rn, id, true AS keep, [id] AS kept FROM nb WHERE rn = 1 UNION ALL
+          SELECT nb.user_id, nb.rn, nb.id, NOT list_has_any(nb.ns, k.kept), CASE WHEN list_has_any(nb.ns, k.kept) THEN k.kept ELSE list_append(k.kept, nb.id) END
+          FROM k JOIN nb ON nb.user_id = k.user_id AND nb.rn = k.rn + 1)"""
+
+
+_COS = "round(list_cosine_similarity(a.e, b.e), 6)"
+
+
+@register("dedup_semantic_existing", """
+    SELECT uuid AS input_id, coalesce(r.kid, uuid) AS canonical_uuid, coalesce(r.kid, uuid) = uuid AS is_new, coalesce(r.score, 1.0)::DOUBLE AS score
+    FROM fx_episodes LEFT JOIN r ON r.id = uuid""", recursive=True, extra=f"""
+    ev AS (SELECT uuid AS id, user_id, created_at AS t, content_embedding::DOUBLE[] AS e FROM fx_doc_episodes WHERE content_embedding IS NOT NULL),
+    old AS (SELECT 'stored_' || id AS id, user_id, t - INTERVAL 23 HOUR AS t, e FROM ev JOIN labels ON id = 'd' || doc_id WHERE quality = 1),
+    co AS (SELECT a.id, b.id AS kid, b.t AS kt, {_COS} AS score FROM ev a JOIN old b ON a.user_id = b.user_id AND b.t <= a.t AND a.t - b.t < INTERVAL 24 HOUR WHERE {_COS} >= {DT}),
+    v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, id) AS rn FROM ev WHERE id NOT IN (SELECT id FROM co)),
+    p AS (SELECT a.id, b.id AS kid FROM v a JOIN v b ON a.user_id = b.user_id AND b.rn < a.rn AND a.t - b.t < INTERVAL 24 HOUR WHERE {_COS} >= {DT}),
+    {_thinning('p', 'v')},
+    h AS (SELECT * FROM co UNION ALL SELECT a.id, b.id, b.t, {_COS} FROM ev a JOIN ev b ON a.user_id = b.user_id AND (b.t, b.id) < (a.t, a.id)
+          AND a.t - b.t < INTERVAL 24 HOUR JOIN k ON k.id = b.id AND k.keep WHERE {_COS} >= {DT} AND a.id NOT IN (SELECT id FROM k WHERE keep)),
+    r AS (SELECT id, kid, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, kt DESC, kid) AS n FROM h) WHERE n = 1)""")
+def _(s):
+    """Every episode, against stored ones 23 hours older: those of good quality."""
+    good = s.table("labels").filter("quality = 1").select(F.concat(F.lit("d"), "doc_id").alias("uuid"))
+    stored = s.doc_episodes().join(good, "uuid", "left_semi").select(
+        F.concat(F.lit("stored_"), "uuid").alias("uuid"), "user_id", "content_embedding", (F.col("created_at") - F.expr("INTERVAL 23 HOURS")).alias("created_at"))
+    return dedup.dedup_semantic(s.episodes(), threshold=DT, existing=stored)
+
+
+BT = 40.0  # whole documents share many words; short questions would take the default
+BATCH = ("SELECT uuid, user_id, created_at, content AS txt FROM fx_episodes UNION ALL "
+         "SELECT 'b' || item_id, 'u_en', TIMESTAMP '2024-01-01 00:00:00', text FROM benchmark")
+
+
+@register("dedup_bm25_batch", """
+    SELECT uuid AS input_id, coalesce(r.kid, uuid) AS canonical_uuid, r.kid IS NULL AS is_new FROM fx_episodes LEFT JOIN r ON r.id = uuid""", recursive=True, extra=f"""
+    fx_bq AS (SELECT uuid AS query_id, user_id, content AS text, created_at AS qt FROM fx_episodes),""" + bm25_ctes("k", BATCH).replace("fx_queries", "fx_bq").rsplit(",\n    k AS (", 1)[0] + f""",
+    m AS (SELECT h.query_id AS id, h.uuid AS kid, h.created_at AS kt, h.uuid NOT IN (SELECT query_id FROM fx_bq) AS stored FROM k_hit h JOIN fx_bq q USING (query_id)
+          WHERE h.score >= {BT} AND ((h.created_at, h.uuid) < (q.qt, q.query_id)) AND q.qt - h.created_at < INTERVAL 24 HOUR
+          UNION SELECT a.query_id, b.query_id, b.qt, false FROM fx_bq a JOIN fx_bq b ON a.text = b.text AND a.user_id = b.user_id AND (b.qt, b.query_id) < (a.qt, a.query_id)
+          AND a.qt - b.qt < INTERVAL 24 HOUR),
+    v AS (SELECT query_id AS id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY qt, query_id) AS rn FROM fx_bq WHERE query_id NOT IN (SELECT id FROM m WHERE stored)),
+    {_thinning('(SELECT id, kid FROM m WHERE NOT stored)', 'v').replace(' k AS', ' kk AS').replace('k.', 'kk.').replace('FROM k ', 'FROM kk ')},
+    r AS (SELECT id, kid FROM (SELECT m.*, row_number() OVER (PARTITION BY m.id ORDER BY kt DESC, kid) AS n FROM m
+          WHERE stored OR kid IN (SELECT id FROM kk WHERE keep)) WHERE n = 1)""")
+def _(s):
+    """Every episode as one batch after the benchmark texts, which are stored."""
+    stored = s.table("benchmark").select(F.concat(F.lit("b"), "item_id").alias("uuid"), F.lit("u_en").alias("user_id"),
+                                         F.lit("2024-01-01").cast("timestamp").alias("created_at"), "text")
+    index = bm25.build(bm25.documents(stored, F.col("text")))
+    return dedup.dedup_bm25_batch(s.episodes().select("uuid", "user_id", "created_at", "content"), index, threshold=BT)
+
+
 @register("dedup_bm25", """
     SELECT q.query_id AS input_id, h.uuid AS canonical_uuid, h.uuid IS NULL AS is_new FROM fx_queries q LEFT JOIN (
       SELECT query_id, max({'t': created_at, 's': score, 'u': uuid}).u AS uuid FROM k_hit WHERE score >= 0.7 GROUP BY 1) h USING (query_id)""",
@@ -234,22 +313,22 @@ EMB = """
 
 
 @register("embed_texts", """
-    SELECT doc_id, count(*) AS n_dims, round(max(n) / sqrt(sum(n * n)), 6) AS top_weight, round(sum(n) / sqrt(sum(n * n)), 4) AS total_weight FROM c GROUP BY 1""", extra=EMB)
+    SELECT doc_id, b::INTEGER AS component, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c""", extra=EMB)
 def _(s):
+    """Every component that is not zero, so that whole vectors are compared."""
     out = ingest.embed_texts(s.table("documents").select("doc_id", "text"), "text")
-    return out.select("doc_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("n_dims"),
-                      F.round(F.array_max("embedding"), 6).alias("top_weight"),
-                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total_weight"))
+    parts = out.select("doc_id", F.posexplode("embedding").alias("component", "weight")).filter("weight <> 0")
+    return parts.withColumn("weight", F.round("weight", 6))
 
 
 @register("resolve_entities", """
     SELECT q.user_id, q.name, coalesce(e.name, q.name) AS canonical_name, e.uuid IS NULL AS is_new, q.mentions FROM (
       SELECT user_id, lower(replace(name, ' ', '_')) AS name, any_value(query_id) AS query_id, count(*) AS mentions FROM (
-        SELECT 'u_en' AS user_id, 'Topic ' || item_id AS name, item_id AS query_id FROM benchmark UNION ALL SELECT 'u_en', 'topic ' || item_id, item_id FROM benchmark) GROUP BY 1, 2) q
+        SELECT user_id, 'Topic ' || query_id AS name, query_id FROM fx_queries UNION ALL SELECT user_id, 'topic ' || query_id, query_id FROM fx_queries) GROUP BY 1, 2) q
     LEFT JOIN hit ON hit.query_id = q.query_id AND hit.rank = 1 LEFT JOIN fx_entities e ON e.uuid = hit.uuid""",
-          extra=f"hit AS ({sim_sql('SELECT * FROM fx_entities WHERE user_id = ' + chr(39) + 'u_en' + chr(39), 'name_embedding', 1).replace('(q.user_id IS NULL OR q.user_id = c.user_id)', 'true')})")
+          extra=f"hit AS ({sim_sql('SELECT * FROM fx_entities', 'name_embedding', 1).replace('(q.user_id IS NULL OR q.user_id = c.user_id)', 'q.user_id = c.user_id')})")
 def _(s):
-    q = s.queries().select(F.lit("u_en").alias("user_id"), F.concat(F.lit("Topic "), "query_id").alias("name"), F.lit("TOPIC").alias("entity_type"), "embedding")
+    q = s.queries().select("user_id", F.concat(F.lit("Topic "), "query_id").alias("name"), F.lit("TOPIC").alias("entity_type"), "embedding")
     found = q.unionByName(q.withColumn("name", F.lower("name")))
     return ingest.resolve_entities(found, s.entities(), threshold=T).select("user_id", "name", "canonical_name", "is_new", "mentions")
 
@@ -264,10 +343,10 @@ def _(s):
            AND round(list_cosine_similarity(n.v, e.fact_embedding::DOUBLE[]), 6) >= 0.8) WHERE rn = 1""", extra="""
     names AS (SELECT name, min(uuid) AS uuid FROM fx_entities GROUP BY 1),
     facts AS (SELECT a.name AS source, CASE WHEN e.mentions > 1 THEN b.name ELSE b.name || '?' END AS target, 'again ' || e.uuid AS fact, fact_embedding::DOUBLE[] AS v
-              FROM fx_edges e JOIN fx_entities a ON a.uuid = e.source_uuid JOIN fx_entities b ON b.uuid = e.target_uuid WHERE e.name = 'SUPPLIES')""")
+              FROM fx_edges e JOIN fx_entities a ON a.uuid = e.source_uuid JOIN fx_entities b ON b.uuid = e.target_uuid)""")
 def _(s):
     ents, edges = stage(s.entities().select("uuid", "name")), stage(s.edges())
-    names = joins.edges_with_names(edges.filter("name = 'SUPPLIES'"), ents)
+    names = joins.edges_with_names(edges, ents)
     target = F.when(F.col("mentions") > 1, F.col("target_name")).otherwise(F.concat("target_name", F.lit("?")))
     found = names.select(F.lit("all").alias("user_id"), F.col("source_name").alias("source"), target.alias("target"), F.col("name").alias("relation"),
                          F.concat(F.lit("again "), "uuid").alias("fact"), F.col("fact_embedding").alias("embedding"))
@@ -289,7 +368,7 @@ def _(s):
 
 
 @register("update_summaries", f"""
-    SELECT uuid AS entity_uuid, context FROM fx_entities JOIN (
+    SELECT uuid, name, coalesce(context, summary) AS summary FROM fx_entities LEFT JOIN (
       SELECT entity_uuid, string_agg('- ' || relation || ': ' || other, chr(10) ORDER BY rn) AS context FROM (
         SELECT r.entity_uuid, r.relation, o.name AS other, row_number() OVER (PARTITION BY r.entity_uuid ORDER BY r.valid_at DESC, r.uuid) AS rn FROM (
           SELECT source_uuid AS entity_uuid, target_uuid AS other_uuid, name AS relation, valid_at, uuid FROM fx_edges WHERE {ACTIVE} UNION ALL
@@ -297,7 +376,7 @@ def _(s):
 def _(s):
     ents = s.entities()
     rel = joins.entity_relationships(ents, s.edges(), reference_time=ERT)
-    return ingest.summary_context(ents, rel).select("entity_uuid", "context")
+    return ingest.update_summaries(ents, ingest.summary_context(ents, rel)).select("uuid", "name", "summary")
 
 
 @register("link_episode_edges", """
@@ -438,6 +517,12 @@ def _(s):
     return community.modularity_score(e, community.label_propagation(e)).withColumn("modularity", F.round("modularity", 6))
 
 
+@register("louvain")
+def _(s):
+    """Iterative and without a unique answer: tests compare its modularity with brute force and with label propagation."""
+    return louvain.louvain(s.edges().select("source_uuid", "target_uuid"), min_community_size=2)
+
+
 @register("community_table", "SELECT label AS community_id, count(*) AS member_count FROM l3 GROUP BY 1 HAVING count(*) >= 2", extra=_LP)
 def _(s):
     return community.community_table(community.label_propagation(s.edges()), min_size=2)
