@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palimpsest.operators import filters
 from palimpsest.operators.joins import orphan_entities
 from palimpsest.operators.vectors import CHUNK_ROWS, greedy_keep
+from palimpsest.session import stage
 
 
 def _before(reference_time, days: int) -> Column:
@@ -86,10 +87,12 @@ def prune_all(entities: DataFrame, edges: DataFrame, mentions: DataFrame, *, ref
               expired_cutoff_days: int = 90, min_mentions: int = 2, min_age_days: int = 30,
               compact_redundant: bool = True, threshold: float = 0.95) -> tuple[dict[str, DataFrame], DataFrame]:
     """Expired facts, then weak entities, then redundant facts; new tables and one row of counts."""
-    e1 = prune_expired_edges(edges, reference_time=reference_time, cutoff_days=expired_cutoff_days, user_id=user_id, entities=entities)
+    # Each step is written once: the next one and its count read it from there.
+    e1 = stage(prune_expired_edges(edges, reference_time=reference_time, cutoff_days=expired_cutoff_days, user_id=user_id, entities=entities))
     n2, e2, m2 = prune_low_mention_entities(entities, e1, mentions, reference_time=reference_time,
                                             min_mentions=min_mentions, min_age_days=min_age_days, user_id=user_id)
-    e3 = compact_redundant_edges(e2, threshold=threshold, user_id=user_id, entities=n2) if compact_redundant else e2
+    n2, e2 = stage(n2), stage(e2)
+    e3 = stage(compact_redundant_edges(e2, threshold=threshold, user_id=user_id, entities=n2)) if compact_redundant else e2
 
     def n(df: DataFrame) -> Column:
         return df.agg(F.count("*").alias("n")).scalar()

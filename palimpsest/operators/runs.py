@@ -55,8 +55,10 @@ def explode_tools(episodes: DataFrame) -> DataFrame:
 def tool_stats(calls: DataFrame, *, min_executions: int = 1, max_errors: int = MAX_ERRORS) -> DataFrame:
     """Usage, failures, success rate and mean duration per tool, and its first few errors.
 
-    Errors are limited per tool inside every task before the shuffle; counts combine likewise.
+    Errors are limited per tool inside every task before the shuffle; counts combine likewise.  Both read the calls
+    from a written table, so that nested metadata are parsed once.
     """
+    calls = stage(calls.select("tool_name", "success", "duration_ms", "error", "called_at", *CALL_ORDER))
     stats = calls.groupBy("tool_name").agg(
         F.count("*").alias("usage_count"), F.count_if("success").alias("success_count"),
         F.count_if(~F.col("success")).alias("failure_count"),

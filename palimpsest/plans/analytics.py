@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import augment, metadata, runs
+from palimpsest.operators.run_log import RunLog
 from palimpsest.plans.registry import register
 from palimpsest.plans.retrieval import top
 from palimpsest.session import stage
+from palimpsest.streaming.incremental import fresh_path
 
 RUN_SELECT = "SELECT episode_uuid, session_id, run_id, ts AS run_at, augmented_query, agent_response, llm_saved_memory, n_calls FROM fx_runs"
 
@@ -229,6 +231,23 @@ def _(s):
     return flat_runs(metadata.append_tool_execution(s.query_episodes(), calls.unionByName(strays))).drop("agent_response")
 
 
+@register("run_log_tool_execution", """
+    SELECT episode_uuid, session_id, run_id, n_calls + CASE WHEN run_id = max(run_id) OVER (PARTITION BY episode_uuid, session_id)
+           THEN sum(n_calls) OVER (PARTITION BY episode_uuid, session_id)::BIGINT ELSE 0 END AS n_calls,
+           CASE WHEN run_id = max(run_id) OVER (PARTITION BY episode_uuid, session_id) THEN 'all done' ELSE 'open' END AS agent_response FROM fx_runs""")
+def _(s):
+    """Calls and answers as rows of a log: no document is parsed or rewritten."""
+    said = s.tool_calls()
+    log = RunLog.create(s.spark, fresh_path(s.spark, "runs"))
+    began = said.groupBy("episode_uuid", "session_id", "run_id").agg(F.min("ts").alias("run_at")).withColumn("agent_response", F.lit("open"))
+    log = log.append(runs=began, calls=said.select("episode_uuid", "session_id", F.col("ts").alias("called_at"), F.col("run_id").alias("of")))
+    calls = said.select("episode_uuid", "session_id", F.col("ts").alias("called_at"), F.col("event_id").cast("string").alias("call_id"))
+    strays = calls.withColumn("session_id", F.lit("no such session"))
+    parts = began.select("episode_uuid", "session_id").distinct().select("*", F.posexplode(F.array(F.lit("all"), F.lit("done"))).alias("part_no", "part"))
+    log = log.append(calls=calls.unionByName(strays), answers=parts)
+    return RunLog.load(s.spark, log.root).flat().select("episode_uuid", "session_id", "run_id", "n_calls", "agent_response")
+
+
 @register("set_agent_response", """
     SELECT episode_uuid, session_id, run_id, CASE WHEN run_id = max(run_id) OVER (PARTITION BY episode_uuid, session_id)
            THEN 'all done' ELSE agent_response END AS agent_response FROM fx_runs""")

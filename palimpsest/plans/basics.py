@@ -9,6 +9,7 @@ from palimpsest.operators import aggregates, filters, joins, sets, windows
 from palimpsest.plans.registry import register
 from palimpsest.sources import tables
 from palimpsest.sources.standins import EDGE_REFERENCE_TIME as ERT, REFERENCE_TIME as RT, Standins
+from palimpsest.streaming.incremental import fresh_path
 
 EDGE_COLS = "uuid, source_uuid, target_uuid, name, fact, created_at, valid_at, invalid_at, expired_at, mentions"
 EP_COLS = "uuid, name, source, kind, created_at, user_id"
@@ -34,9 +35,12 @@ def cols(text_list: str) -> list[str]:
     SELECT 'mentions', count(*), count(DISTINCT uuid) FROM fx_mentions UNION ALL
     SELECT 'triggered', count(*), count(DISTINCT uuid) FROM fx_triggered""")
 def _(s: Standins):
+    """The graph's tables written as a snapshot, then scanned with their declared schema."""
+    root = fresh_path(s.spark, "graph")
+    tables.write_snapshot({"episodes": s.episodes(), "entities": s.entities(), "edges": s.edges(), "mentions": s.mentions(),
+                           "triggered": s.triggered()}, root, "v1")
     parts = [df.agg(F.count("*").alias("n"), F.countDistinct("uuid").alias("n_keys")).select(F.lit(n).alias("tbl"), "n", "n_keys")
-             for n, df in (("episodes", s.episodes()), ("entities", s.entities()), ("edges", s.edges()),
-                           ("mentions", s.mentions()), ("triggered", s.triggered()))]
+             for n, df in tables.scan_graph(s.spark, f"{root}/v1").items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -77,14 +81,37 @@ def _(s):
     return tables.messages_to_episodes(turns, actor="role", text="text").select("source_key", "content", "source")
 
 
+_ENDS = "LEFT JOIN {0} a ON a.uuid = x.{1} LEFT JOIN {2} b ON b.uuid = x.{3}"
+
+
 @register("export_graph_json", f"""
-    SELECT e.uuid, e.name, coalesce(a.name, 'Unknown') AS source_name, coalesce(b.name, 'Unknown') AS target_name, e.fact
-    FROM fx_edges e LEFT JOIN fx_entities a ON a.uuid = e.source_uuid LEFT JOIN fx_entities b ON b.uuid = e.target_uuid""")
-def _(s):
-    doc = tables.export_documents({"episodes": s.episodes(), "entities": s.entities(), "edges": s.edges(),
-                                   "mentions": s.mentions()})["edges"]
-    parsed = F.from_json("value", "uuid string, name string, source_name string, target_name string, fact string")
-    return doc.select(parsed.alias("j")).select("j.*")
+    SELECT 'episodes' AS tbl, uuid, name AS label, NULL::VARCHAR AS first_name, NULL::VARCHAR AS second_name, created_at FROM fx_episodes UNION ALL
+    SELECT 'entities', uuid, name, NULL, NULL, created_at FROM fx_entities UNION ALL
+    SELECT 'edges', x.uuid, x.fact, coalesce(a.name, 'Unknown'), coalesce(b.name, 'Unknown'), x.created_at FROM fx_edges x {_ENDS.format('fx_entities', 'source_uuid', 'fx_entities', 'target_uuid')} UNION ALL
+    SELECT 'mentions', x.uuid, NULL, coalesce(a.name, 'Unknown'), coalesce(b.name, 'Unknown'), x.created_at FROM fx_mentions x {_ENDS.format('fx_episodes', 'episode_uuid', 'fx_entities', 'entity_uuid')} UNION ALL
+    SELECT 'triggered', x.uuid, NULL, coalesce(a.name, 'Unknown'), coalesce(b.name, 'Unknown'), NULL FROM fx_triggered x {_ENDS.format('fx_episodes', 'source_uuid', 'fx_episodes', 'target_uuid')} UNION ALL
+    SELECT 'communities', 't_' || entity_type, 'Community ' || entity_type, NULL, NULL, NULL FROM (SELECT DISTINCT entity_type FROM fx_entities) UNION ALL
+    SELECT 'members', 'h' || uuid, NULL, 'Community ' || entity_type, name, NULL FROM fx_entities""")
+def _(s):
+    """All tables written as JSON and read back: what each document is called and what it links."""
+    ents = s.entities()
+    key = F.concat(F.lit("t_"), "entity_type")
+    named = {"episodes": s.episodes(), "entities": ents, "edges": s.edges(), "mentions": s.mentions(), "triggered": s.triggered(),
+             "communities": ents.select(key.alias("uuid"), F.concat(F.lit("Community "), "entity_type").alias("name")).distinct(),
+             "members": ents.select(F.concat(F.lit("h"), "uuid").alias("uuid"), key.alias("community_uuid"), F.col("uuid").alias("entity_uuid"))}
+    root = fresh_path(s.spark, "export")
+    tables.export_graph_json(named, root)
+    wanted = {"episodes": ("name", None, None), "entities": ("name", None, None), "edges": ("fact", "source_name", "target_name"),
+              "mentions": (None, "episode_name", "entity_name"), "triggered": (None, "source_name", "target_name"),
+              "communities": ("name", None, None), "members": (None, "community_name", "entity_name")}
+    out = None
+    for tbl, names in wanted.items():
+        doc = s.spark.read.text(f"{root}/{tbl}").select(F.from_json("value", "map<string,string>").alias("j"))
+        part = doc.select(F.lit(tbl).alias("tbl"), F.col("j.uuid").alias("uuid"),
+                          *[(F.col("j")[c] if c else F.lit(None).cast("string")).alias(n) for c, n in zip(names, ("label", "first_name", "second_name"))],
+                          F.col("j.created_at").cast("timestamp").alias("created_at"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("list_all_entities", "SELECT uuid, name, entity_type, summary, mentions, created_at, user_id FROM fx_entities WHERE user_id = 'u_en'")
