@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import table
 from palimpsest.llm.registry import query
 
-#: The keywords of the SQL, which is left as it was.
-SQL_KEYWORDS = ("licen[cs]e", "copyright", "permission", "warrant", "redistribut", "free software", "public domain", "spdx", "as is", "liable")
 #: One of these, in any case, is in every known sentence as it is written, wrapped or with marks for blanks.
-KEYWORDS = (*SQL_KEYWORDS, r"public[\W_]+domain", r"cc[\W_]+by", r"creative[\W_]+commons", "cc0")
+KEYWORDS = ("licen[cs]e", "copyright", "permission", "warrant", "redistribut", "free software", "public domain", "spdx", "as is", "liable",
+            r"public[\W_]+domain", r"cc[\W_]+by", r"creative[\W_]+commons", "cc0")
 
 #: Identifiers, and patterns of whole sentences in lower case, with single blanks for all but letters, digits and +.
 SENTENCES = (
@@ -165,7 +164,13 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
+    """Sentences by runs of lines: from each line, the runs that are a known sentence; the first pattern's longest run, and on behind it."""
     cases = " ".join(f"when regexp_full_match(s, '{pattern}') then '{name}'" for name, pattern in SENTENCES)
+    by_line = [re.sub(r"\.\*(?!$)", r".*(\\n.*)?", p).replace(" ", r"\s") for _, p in sorted(SENTENCES, key=lambda s: "later" not in s[1])]
+    kinds = " ".join(f"when regexp_full_match(txt, '{p}') then {k}" for k, p in enumerate(by_line))
+    widest = max(p.count(" ") + 2 for _, p in SENTENCES)  # a sentence cannot have more lines than words, and one that it runs on for
+    keyword = "(?i)" + "|".join(KEYWORDS)
+    opened = "(?s)" + "|".join(p.replace(" ", r"\s") for _, p in SENTENCES if ".*" in p[:-2])
     steps = "r0"
     ctes = []
     for k, (name, seq) in enumerate(RULES):
@@ -174,14 +179,22 @@ def _oracle() -> str:
                     f" replace(rest, '{pattern}', '{USED}') as rest from {steps})")
         steps = f"r{k + 1}"
     return rf"""
-with p as (select row_number() over () as n, doc_id, coalesce(text, '') as text from documents),
-k as (select n, doc_id, case when regexp_matches(text, '(?i){"|".join(SQL_KEYWORDS)}') then
-        list_filter(string_split_regex(text, '{BREAK}'), lambda s: regexp_matches(s, '(?i){"|".join(SQL_KEYWORDS)}')) else [] end as s from p),
-i as (select n, pos, case {cases} end as id from (
-        select n, pos, trim(regexp_replace(translate(s, '{UPPER}', '{SMALL}'), '{OUTSIDE}', ' ', 'g'), ' ') as s
-        from (select n, unnest(s) as s, generate_subscripts(s, 1) as pos from k))),
-g as (select n, list(id order by pos) as ids from i where id is not null group by n),
-r0 as (select p.doc_id, p.n, coalesce(ids, []) as ids, []::varchar[] as found,
+with recursive p as materialized (select row_number() over () as n, doc_id, coalesce(text, '') as text from documents),
+w as materialized (select n, string_split_regex(regexp_replace(text, '(\b[vV])\.([ \t\r\n]+[0-9])', '\1,\2', 'g'), '{BREAK}') as s from p where regexp_matches(text, '{keyword}')),
+k as materialized (select n, pos, trim(regexp_replace(regexp_replace(translate(s, '{UPPER}' || chr(13), '{SMALL}' || chr(10)), '[^a-z0-9+\n]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) as piece
+        from (select n, unnest(s) as s, generate_subscripts(s, 1) as pos from w) where regexp_matches(s, '{keyword}')),
+l as materialized (select n, pos, string_split(piece, chr(10)) as ls from k),
+c as (select n, pos, i, unnest(range(i, least(i + {widest}, len(ls) + 1))) as j, ls from (select n, pos, ls, unnest(range(1, len(ls) + 1)) as i from l)),
+t as (select n, pos, i, j, array_to_string(ls[i:j], chr(10)) as txt, array_to_string(ls[j + 1:j + 4], chr(10)) as rest from c),
+m as materialized (select n, pos, i, j, txt from (select *, row_number() over (partition by n, pos, i order by kind, j desc) as best
+        from (select *, case {kinds} end as kind from t where not regexp_matches(rest, '^or\s(at\syour\soption\s)?(any\s)?later')) where kind is not null) where best = 1),
+o1 as (select n, pos, min(i) as i from m group by n, pos),
+u as (select n, pos, i from o1 union all
+      select n, pos, nxt from (select u.n, u.pos, min(b.i) as nxt from u join m a on a.n = u.n and a.pos = u.pos and a.i = u.i join m b on b.n = u.n and b.pos = u.pos and b.i > a.j group by u.n, u.pos, u.i)),
+f as (select n, pos, i, replace(txt, chr(10), ' ') as s from u join m using (n, pos, i) union all
+      select n, pos, 0, replace(piece, chr(10), ' ') from k where (n, pos) not in (select (n, pos) from m) and regexp_full_match(piece, '{opened}')),
+g as (select n, list(id order by pos, i) as ids from (select n, pos, i, case {cases} end as id from f) where id is not null group by n),
+r0 as materialized (select p.doc_id, p.n, coalesce(ids, []) as ids, []::varchar[] as found,
               case when ids is null then '' else '|' || array_to_string(ids, '||') || '|' end as rest from p left join g using (n)),
 {", ".join(ctes)},
 o as (select n, list(name order by k) as licences from (select n, name, min(k) as k from (select n, unnest(found) as name, generate_subscripts(found, 1) as k from {steps})

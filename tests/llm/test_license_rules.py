@@ -1,4 +1,4 @@
-"""Licence sentences and rules against plain Python, on whole licence texts, cut ones and odd rows."""
+"""Licence sentences, lines and rules against plain Python, on whole licence texts, cut ones and odd rows."""
 
 import re
 
@@ -32,12 +32,34 @@ TEXTS = [MIT, APACHE, GPL, None, "", "\n\n", "no words here.", "Prose before.\nR
          MIT + "\n\n" + APACHE + "\n\n" + GPL, "Licensed under the Apache License, Version 2.0.\n\nReleased under the MIT license"]
 
 
+def said(piece):
+    """Known sentences of a piece: from each line the runs of lines that are one, the first pattern's longest, and on behind it."""
+    lines, out, i = piece.split("\n"), [], 0
+    order = sorted(lr.SENTENCES, key=lambda s: "later" not in s[1])
+    patterns = [re.compile(re.sub(r"\.\*(?!$)", lambda m: r"[^\n]*(?:\n[^\n]*)?", p).replace(".*", r"[^\n]*").replace(" ", r"\s")) for _, p in order]
+    later = re.compile(r"or\s(at\syour\soption\s)?(any\s)?later")
+    while i < len(lines):
+        runs = [(k, -j) for j in range(i + 1, min(i + 80, len(lines)) + 1) if not later.match("\n".join(lines[j:j + 4]))
+                for k, p in enumerate(patterns) if p.fullmatch("\n".join(lines[i:j]))]
+        if runs:
+            end = -min(runs)[1]
+            out.append(" ".join(lines[i:end]))
+            i = end
+        else:
+            i += 1
+    if not out and any(re.fullmatch(p.replace(" ", r"\s"), piece, re.S) for _, p in lr.SENTENCES if ".*" in p[:-2]):
+        out = [piece.replace("\n", " ")]
+    return out
+
+
 def plain(text):
-    ids, keys = [], re.compile("(?i)" + "|".join(lr.KEYWORDS))
-    for s in re.split(lr.BREAK.replace("(", "(?:").replace(r"\z", r"\Z"), text or ""):
+    ids, keys = [], re.compile("(?i)" + "|".join(lr.KEYWORDS), re.A)
+    whole = re.sub(r"(?<![^\W])([vV])\.(?=[ \t\r\n]+[0-9])", r"\1,", text or "")  # the mark of "v. 2.0" ends nothing
+    for s in re.split(lr.BREAK.replace("(", "(?:").replace(r"\z", r"\Z"), whole):
         if s and keys.search(s):
-            s = re.sub(lr.OUTSIDE, " ", s.translate(str.maketrans(lr.UPPER, lr.SMALL))).strip(" ")
-            ids += [name for name, p in lr.SENTENCES if re.fullmatch(p, s)][:1]
+            s = re.sub(r"[^a-z0-9+\n]+", " ", s.translate(str.maketrans(lr.UPPER + "\r", lr.SMALL + "\n")))
+            for sentence in said(re.sub(r" ?\n[ \n]*", "\n", s).strip(" \n")):
+                ids += [name for name, p in lr.SENTENCES if re.fullmatch(p, sentence)][:1]
     left, found = [*ids], []
     rest = "|" + "||".join(left) + "|" if left else ""
     for name, seq in lr.RULES:
@@ -59,6 +81,16 @@ def test_scans(spark):
     assert lr.scan_licences(docs.limit(0)).collect() == []
 
 
+def test_lines_of_whole_documents(spark):
+    """The rule of lines over a whole table, and over planted lines."""
+    from test_license_lines import PLANTED
+
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rows = docs + [(-1 - i, t) for i, (t, _) in enumerate(PLANTED)]
+    got = sorted(map(tuple, lr.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted((i, *plain(t)) for i, t in rows)
+
+
 def test_every_sentence_has_a_keyword_and_every_rule_known_sentences():
     names = {n for n, _ in lr.SENTENCES}
     assert len(names) == len(lr.SENTENCES)
