@@ -57,8 +57,8 @@ def contiguous_shards(rows: DataFrame, size: str, order: list[str], shards: int,
 
 def _cut(twice: Column, total: Column, shards: int) -> Column:
     """The shard of the point ``twice / 2`` on a line of ``total`` bytes, in whole numbers."""
-    exact = (twice.cast("decimal(30,0)") * shards / F.greatest(2 * total, F.lit(1)).cast("decimal(30,0)")).cast("decimal(38,12)")
-    return F.least(F.floor(exact), F.lit(shards - 1)).cast("int")
+    exact = F.call_function("div", twice.cast("decimal(30,0)") * F.lit(shards).cast("decimal(6,0)"), F.greatest(2 * total, F.lit(1)).cast("decimal(30,0)"))
+    return F.least(exact, F.lit(shards - 1)).cast("int")
 
 
 #: CRC-32 of a text's bytes, given as the hex string ``hx``; ``tab`` is the usual table, made from its polynomial.
