@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import dart_minhash, fm_decontaminate, monoid_bpe, toxicity
 from palimpsest.llm.common import table
+from palimpsest.session import stage
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
@@ -25,14 +26,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id, once; of documents without an id one of each text."""
-    groups = dart_minhash.near_duplicates(docs)
-    kept = groups.filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    rank = Window.partitionBy("doc_id").orderBy("text")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    named = named.select(row.alias("row"), F.row_number().over(rank).alias("n")).filter("n = 1").select("row.*")
-    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    """One document of each group of near-duplicates: that of the smallest id, documents without an id last, then of the smallest row.
+
+    Groups are those of texts, so documents without an id, and different texts that share an id, are judged like all others.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.shiftrightunsigned(F.xxhash64(text), 2).alias("_t"), text.alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = F.struct(F.col("row.doc_id").isNull().alias("nameless"), F.col("row.doc_id").alias("id"))
+    texts = stage(rows.groupBy("_t").agg(F.first("_text").alias("text"), F.min(first).alias("first")))  # combined in the tasks: copies are one row
+    groups = dart_minhash.near_duplicates(texts.select(F.col("_t").alias("doc_id"), "text"))
+    kept = texts.select("_t", "first").join(groups.select(F.col("doc_id").alias("_t"), "class_id"), "_t")
+    kept = kept.groupBy("class_id").agg(F.min(F.struct("first", "_t"))["_t"].alias("_t")).select("_t")
+    one = rows.join(kept, "_t", "left_semi").groupBy("_t").agg(F.min_by("row", F.struct(first, F.to_json("row"))).alias("row"))
+    return one.select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

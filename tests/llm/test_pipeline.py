@@ -80,5 +80,10 @@ def test_stages_on_odd_rows(spark):
         assert step(spark, docs.limit(0), sf).collect() == []
     kept = sorted(str(r.doc_id) for r in stages.drop_near_duplicates(spark, docs, sf).collect())
     assert kept == ["1", "3", "5", "6", "7", "None"]
+    # near copies without an id of a document that has one, and different texts that share an id
+    near = [(7, long), (None, long + " x"), (None, long + " y"), (7, "quite another text"), (8, "quite another text"), (None, "alone"), (9, None), (None, "")]
+    some = spark.createDataFrame(near, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text) for r in stages.drop_near_duplicates(spark, some, sf).collect())
+    assert kept == sorted([("7", long), ("7", "quite another text"), ("None", "alone"), ("9", None)], key=lambda r: (r[0], str(r[1])))
     assert sorted(str(r.doc_id) for r in stages.drop_leaks(spark, docs, sf).collect()) == sorted(str(r[0]) for r in rows if r[0] != 5)
     assert stages.encode(spark, docs, sf).count() == len(rows) and stages.encode(spark, docs.limit(0), sf).collect() == []
