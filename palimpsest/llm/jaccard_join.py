@@ -3,11 +3,11 @@
 Sets that differ in at most H elements agree in one of any H + 1 segments into which a hash cuts the universe. A scheme is
 such a cut for one band of sizes; a set takes part in its own band's scheme and, where smaller partners may be, in
 the band's below. Of a scheme's segments a set of s elements indexes the first H(s) + 1 + Z(H(s)): Z more than needed,
-so that up to Z segments may go unused, those that are empty and those whose buckets cost too many pairs
-(allocation 0). What a pair has in common in the other segments is in both sets' index, since the key is
-the same. Sets with more unused segments than Z are indexed again among themselves: with all elements of
-a segment but one (allocation 2) beside the segment itself (allocation 1), and if that is still too little, with
-all segments. So no pair is lost, whatever is costly.
+so that up to Z segments may go unused (allocation 0): those that are empty, which nobody indexes, and then those whose
+buckets cost most pairs, in which a set is found by others but does not look for partners. Sets with more empty and
+costly segments than Z are indexed again among themselves: with all elements of a segment but one (allocation 2)
+beside the segment itself (allocation 1), and if that is still too little, with all segments. So no
+pair is lost, whatever is costly.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import NONSPACE, bound_batches, mix, steps, table, words
@@ -27,7 +27,7 @@ from palimpsest.session import stage
 
 #: Sets are linked when PERCENT * size of the union <= 100 * size of the intersection.
 SHINGLE, PERCENT = 5, 80
-#: Pairs of different classes from which a bucket is costly; any number gives the same links.
+#: Pairs of different classes above which a bucket is costly; any number gives the same links.
 COSTLY = 2000
 #: Tables of ids up to so many rows may be sent to all tasks, after they are counted and measured.
 BROADCAST_ROWS = 2_000_000
@@ -242,11 +242,11 @@ def _open(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return stage(member.join(ends.filter("low != high").select("bucket"), "bucket"))
 
 
-def _with_one(member: DataFrame) -> DataFrame:
-    """In each bucket, nodes of other classes with one node that chance picks."""
-    pick = F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "n", "class")).alias("pick")
+def _with_one(member: DataFrame, order: Column) -> DataFrame:
+    """In each bucket, nodes of other classes with the node that is first in ``order``."""
+    pick = F.min(F.struct(order.alias("h"), "node", "n", "class", "own")).alias("pick")
     both = member.join(member.groupBy("bucket").agg(pick), "bucket")
-    return both.filter((F.col("class") != F.col("pick.class")) & _alike("n", "pick.n")).select(*_ordered("node", "pick.node")).distinct()
+    return both.filter((F.col("class") != F.col("pick.class")) & _alike("n", "pick.n") & _room("own", "pick.own", "n", "pick.n")).select(*_ordered("node", "pick.node")).distinct()
 
 
 def _costs(member: DataFrame) -> DataFrame:
@@ -255,10 +255,37 @@ def _costs(member: DataFrame) -> DataFrame:
     return of_class.groupBy("bucket").agg(((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
 
 
-def _all_pairs(member: DataFrame) -> DataFrame:
-    """Pairs of different classes in a bucket whose sizes allow a link."""
-    a, b = (member.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "class")]) for x in "ab")
-    both = a.join(b, "bucket").filter((F.col("class_a") < F.col("class_b")) & _alike("n_a", "n_b"))
+def _own(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and own, the elements of a set that no other set of ``member`` holds: none of its partners there can have them."""
+    held = sets.join(member.select("node").distinct(), "node", "left_semi").select("node", F.explode("items").alias("item"))
+    once = held.groupBy("item").agg(F.count("*").alias("times"), F.min("node").alias("node")).filter("times = 1")
+    return broadcast_if_small(stage(once.groupBy("node").agg(F.count("*").alias("own"))), BROADCAST_ROWS)
+
+
+def _with_own(member: DataFrame, own: DataFrame) -> DataFrame:
+    """Adds ``own`` and ``light``.
+
+    Two linked sets differ in at most (n_a + n_b) (100 - PERCENT) / (100 + PERCENT) elements, and both sets' own ones are among
+    these. So one of the two is light: its own elements alone are few enough. Near copies of one text that are not linked
+    with each other differ by just such elements and are not compared, however many they are.
+    """
+    member = member.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return member.withColumn("light", (100 + PERCENT) * F.col("own") <= (100 - PERCENT) * F.col("n"))
+
+
+def _room(own_a: str, own_b: str, n_a: str, n_b: str) -> Column:
+    return (100 + PERCENT) * (F.col(own_a) + F.col(own_b)) <= (100 - PERCENT) * (F.col(n_a) + F.col(n_b))
+
+
+def _pairs_of(used: DataFrame, member: DataFrame, twice: Column) -> DataFrame:
+    """Pairs of different classes that meet in a bucket which the first of them uses, and that can be linked by their sizes and own elements.
+
+    Two sets of which both look for partners meet once, the smaller node looks; ``twice`` says which partners (columns of ``b``) do not look.
+    """
+    a = used.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "class", "own")])
+    b = member.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "class", "own", "light", "needy")])
+    room = _alike("n_a", "n_b") & _room("own_a", "own_b", "n_a", "n_b")
+    both = a.join(b, "bucket").filter((F.col("class_a") != F.col("class_b")) & room & (twice | (F.col("node_a") < F.col("node_b"))))
     return both.select(*_ordered("node_a", "node_b")).distinct()
 
 
@@ -275,22 +302,39 @@ class _Links:
             self.classes = stage(components(self.links))
 
 
-def _compare(shared: DataFrame, links: _Links, costly_from: int | None) -> DataFrame:
-    """Adds the links in the buckets of ``shared`` (bucket, node, n, lower, head); gives the rows of the buckets left out as costly.
+def _merge_heads(shared: DataFrame, links: _Links) -> DataFrame:
+    """Adds links with a bucket's smallest node and with one by chance; gives the rows of the buckets in which several classes are left.
 
-    First all nodes with a bucket's smallest, then, where several classes are left, with one by chance, then nodes of different
-    classes with each other. So a group of near copies costs a few checks for each of its nodes, not one for each pair.
+    Each node is first checked with one node only, the smallest of all its buckets; then, where its class is still another one, with
+    the smallest of each bucket, then with one that chance picks. So a group of near copies costs a few checks for each of
+    its nodes, not one for each pair.
     """
-    links.add(shared.filter("node != head").select(*_ordered("node", "head")).distinct())
+    links.add(shared.groupBy("node").agg(F.min("head").alias("head")).filter("node != head").select(*_ordered("node", "head")).distinct())
     member = _open(shared, links.classes)
-    links.add(_with_one(member))
+    own = _own(member, links.sets)
+    links.add(_with_one(_with_own(member, own), F.col("node")))
     member = _open(member.drop("class"), links.classes)
-    if costly_from is None:
-        links.add(_all_pairs(member))
-        return member.limit(0)
+    links.add(_with_one(_with_own(member, own), F.xxhash64("node", "bucket")))
+    return _with_own(_open(member.drop("class"), links.classes), own)
+
+
+def _compare(shared: DataFrame, links: _Links, costly: int) -> DataFrame:
+    """Adds the links of all sets that can do without their costly buckets; gives the others' rows (node, lower, costly buckets).
+
+    A set leaves its costliest buckets unused, as many as it may.
+    """
+    member = _merge_heads(shared, links)
+    spare = F.when(F.col("lower"), F.col("spare_low")).otherwise(F.col("spare_own"))
     costs = stage(_costs(member))
-    links.add(_all_pairs(member.join(costs.filter(F.col("pairs") <= costly_from), "bucket", "left_semi")))
-    return member.join(costs.filter(F.col("pairs") > costly_from), "bucket", "left_semi")
+    member = member.join(costs, "bucket").join(links.sets.select("node", "spare_own", "spare_low"), "node").withColumn("spare", spare)
+    by_cost = Window.partitionBy("node", "lower").orderBy(F.desc("pairs"), "bucket")  # at most the segments of the set
+    whole = Window.partitionBy("node", "lower")
+    member = member.withColumn("nth", F.row_number().over(by_cost)).withColumn("needy", F.count_if(F.col("pairs") > costly).over(whole) > F.col("spare"))
+    member = stage(member.select("bucket", "node", "n", "class", "lower", "own", "light", "pairs", "needy", (F.col("nth") > F.col("spare")).alias("used")))
+    looks = member.filter("used AND NOT needy")
+    links.add(_pairs_of(looks.filter("light"), member, F.col("needy_b") | ~F.col("light_b")).union(
+        _pairs_of(looks.filter("NOT light"), member.filter("needy AND light"), F.lit(True))))
+    return member.filter(F.col("needy") & (F.col("pairs") > costly)).groupBy("node", "lower").agg(F.collect_set("bucket").alias("costly"))
 
 
 def _of_either(rows: DataFrame, *columns: str) -> DataFrame:
@@ -307,6 +351,8 @@ def linked_documents(docs: DataFrame, costly: int = COSTLY) -> DataFrame:
     start, so copies cost nothing more. Rows without an id take part; their component is the smallest id it has, null if none. Rows that share
     an id are documents of their own. Other columns of ``docs`` are not looked at.
     """
+    # what a finished job has shuffled is not needed again: every table that is read twice is written
+    docs.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     sketch = stage(sketches(docs))
     sets = stage(sketch.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("thin").alias("thin")))
     several = broadcast_if_small(sets.filter("copies > 1").select(F.col("node").alias("twin"), F.col("doc_id").alias("first")), BROADCAST_ROWS)
@@ -320,24 +366,26 @@ def linked_documents(docs: DataFrame, costly: int = COSTLY) -> DataFrame:
     texts_of = texts.join(ids, "doc_id", "left_semi")
     if not wanted.filter("doc_id is null").isEmpty():
         texts_of = texts_of.unionByName(texts.filter("doc_id is null"))
-    found = features(texts_of).join(wanted.select("node"), "node", "left_semi")
-    links = _Links(stage(found.groupBy("node").agg(*[F.first(c).alias(c) for c in found.columns if c != "node"])))
-    left = stage(_compare(shared, links, costly))
-    _compare_needy(left, links)
+    found = stage(features(texts_of).join(broadcast_if_small(wanted.select("node"), BROADCAST_ROWS), "node", "left_semi"))
+    if found.count() != wanted.count():  # rows that share id and text
+        found = stage(found.dropDuplicates(["node"]))
+    links = _Links(found)
+    _compare_needy(_compare(shared, links, costly), links)
     return _answers(sketch, sets, links)
 
 
-def _compare_needy(left: DataFrame, links: _Links) -> None:
+def _compare_needy(of_set: DataFrame, links: _Links) -> None:
     """Adds the links of sets that have more than Z empty or costly segments in a scheme, by a second index among these alone."""
-    of_set = left.groupBy("node", "lower").agg(F.collect_set("bucket").alias("costly"))  # at most the segments of the set
-    spare = F.explode(F.array(F.struct(F.lit(False).alias("lower"), F.col("spare_own").alias("spare")), F.struct(F.lit(True).alias("lower"), F.col("spare_low").alias("spare"))))
-    each = links.sets.select("node", spare.alias("s")).select("node", "s.*").join(of_set, ["node", "lower"], "left")
-    each = each.withColumn("costly", F.coalesce("costly", F.array().cast("array<long>"))).filter(F.col("spare") < F.size("costly"))
-    needy = stage(each.select("node", "lower", "costly").join(links.sets.select("node", "items"), "node"))
+    thin = F.array(F.struct(F.lit(False).alias("lower"), F.col("spare_own").alias("spare")), F.struct(F.lit(True).alias("lower"), F.col("spare_low").alias("spare")))
+    thin = links.sets.select("node", F.explode(thin).alias("s")).filter("s.spare < 0").select("node", "s.lower")
+    every = of_set.select("node", "lower").union(thin).distinct().join(of_set, ["node", "lower"], "left")
+    every = every.select("node", "lower", F.coalesce("costly", F.array().cast("array<long>")).alias("costly"))
+    needy = stage(every.join(links.sets.select("node", "items"), "node"))
     if needy.isEmpty():
         return
     entries = stage(second_entries(needy)).withColumn("lower", F.lit(False))
-    _compare(stage(entries.join(_heads(entries), "bucket")), links, None)
+    member = _merge_heads(stage(entries.join(_heads(entries), "bucket")), links).withColumn("needy", F.lit(False))
+    links.add(_pairs_of(member.filter("light"), member, ~F.col("light_b")))
 
 
 def _answers(sketch: DataFrame, sets: DataFrame, links: _Links) -> DataFrame:
