@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.functions.text import content_key
 from palimpsest.functions.values import params_text, has_params, simple_tool_summary, tool_usage_summary
-from palimpsest.operators import filters
+from palimpsest.operators import filters, search
 from palimpsest.operators.aggregates import top_per_group
 from palimpsest.operators.joins import metadata_struct
 from palimpsest.operators.runs import latest_session
@@ -41,6 +41,27 @@ def similar_queries(episodes: DataFrame, queries: DataFrame, *, threshold: float
     return top_per_group(best, ["query_id"], [F.desc("score"), F.desc("created_at"), "uuid"], limit)
 
 
+def similar_by_search(g: search.Graph, queries: DataFrame, *, strategy: str = "hybrid", threshold: float = THRESHOLD, limit: int = TOP_K,
+                      cfg: search.SearchConfig | None = None) -> DataFrame:
+    """Past message episodes by any search strategy: ``query_id, uuid, score, created_at, rank``.
+
+    Of the strategy's best ``limit`` episodes those that score at least ``threshold`` stay; one that was found without a score
+    counts 1 if its text is the query's.  Fused scores of the hybrid strategy are at most 3 / 61, so the
+    threshold has to suit the strategy: with the default only the others give answers.
+    """
+    cfg = search.without(cfg or search.SearchConfig(), limit=limit, threshold=threshold, min_rrf_score=0.0, apply_decay=False, apply_boost=False)
+    if strategy == "bm25":
+        found = search.bm25_episodes(g, queries, cfg)
+    else:
+        found = search.search(g, queries, cfg, strategy).filter("kind = 'episode'")
+    past = filters.by_source_type(g.episodes, "message").select("uuid", content_key(F.col("content")).alias("k"), "created_at")
+    asked = queries.select("query_id", content_key(F.col("text")).alias("asked"))
+    both = found.select("query_id", "uuid", "score").join(past, "uuid").join(asked, "query_id")
+    both = both.withColumn("score", F.when((F.col("score") == 0) & (F.col("k") == F.col("asked")), 1.0).otherwise(F.col("score")))
+    return top_per_group(both.filter(F.col("score") >= threshold).select("query_id", "uuid", "score", "created_at"), ["query_id"],
+                         [F.desc("score"), F.desc("created_at"), "uuid"], limit)
+
+
 def _session_text(session: Column) -> Column:
     """Readable lines for the runs of one session."""
     def tool(t: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import augment, metadata, runs
+from palimpsest.operators import augment, metadata, runs, search
 from palimpsest.operators.run_log import RunLog
 from palimpsest.plans.registry import register
-from palimpsest.plans.retrieval import top
+from palimpsest.plans.retrieval import bm25_ctes, sim_sql, top
 from palimpsest.session import stage
 from palimpsest.streaming.incremental import fresh_path
 
@@ -106,6 +106,24 @@ def _(s):
     return augment.similar_queries(stage(s.query_episodes()), s.queries()).select("query_id", "uuid", "score", "rank")
 
 
+_ASKED_DOC = """SELECT q.*, q.content || coalesce(' ' || m, '') AS txt FROM fx_query_episodes q LEFT JOIN (
+    SELECT episode_uuid, string_agg(llm_saved_memory, ' ' ORDER BY session_id, run_id) FILTER (llm_saved_memory <> '') AS m FROM fx_runs GROUP BY 1) ON episode_uuid = q.uuid"""
+
+
+@register("similar_queries_bm25", "SELECT query_id, uuid, score, rank FROM k WHERE score >= 0.3", extra=bm25_ctes("k", _ASKED_DOC, limit=5))
+def _(s):
+    """Without vectors: past queries and what was remembered in their runs, by keywords."""
+    g = search.Graph(stage(s.query_episodes()), None, None, None)
+    return augment.similar_by_search(g, s.queries(), strategy="bm25").select("query_id", "uuid", "score", "rank")
+
+
+@register("similar_queries_semantic", "SELECT query_id, uuid, score, rank FROM k", extra="k AS (" + sim_sql("SELECT * FROM fx_query_episodes", "content_embedding", 5, 0.3) + ")")
+def _(s):
+    """Through the search that answers all strategies."""
+    g = search.Graph(stage(s.query_episodes()), s.entities(), stage(s.edges()), s.mentions())
+    return augment.similar_by_search(g, s.queries(), strategy="semantic").select("query_id", "uuid", "score", "rank")
+
+
 @register("augment_context", """
     SELECT b.query_id, b.uuid, '[' || coalesce(a.agent_response, 'No previous response recorded') || '] ' || l.session_id || ' | ' || t.summary || ' | ' || q.text AS context
     FROM (SELECT query_id, uuid FROM sq WHERE rank = 1) b JOIN fx_queries q USING (query_id)
