@@ -29,6 +29,8 @@ from palimpsest.session import stage
 SHINGLE, PERCENT = 5, 80
 #: Pairs of different classes above which a bucket is costly; any number gives the same links.
 COSTLY = 2000
+#: Sets in a bucket from which it is crowded: the elements of its sets are then counted. Any number gives the same links.
+CROWDED = 16
 #: Tables of ids up to so many rows may be sent to all tasks, after they are counted and measured.
 BROADCAST_ROWS = 2_000_000
 #: Copies of one text from which its rows are joined where they lie.
@@ -256,25 +258,29 @@ def _costs(member: DataFrame) -> DataFrame:
 
 
 def _own(member: DataFrame, sets: DataFrame) -> DataFrame:
-    """node and own, the elements of a set that no other set of ``member`` holds: none of its partners there can have them."""
-    held = sets.join(member.select("node").distinct(), "node", "left_semi").select("node", F.explode("items").alias("item"))
+    """node and own, for the sets that stand in a crowded bucket: the elements that none of the others of these holds."""
+    crowded = member.groupBy("bucket").agg(F.count("*").alias("m")).filter(F.col("m") >= CROWDED).select("bucket")
+    nodes = stage(member.join(crowded, "bucket", "left_semi").select("node").distinct())
+    held = sets.join(nodes, "node", "left_semi").select("node", F.explode("items").alias("item"))
     once = held.groupBy("item").agg(F.count("*").alias("times"), F.min("node").alias("node")).filter("times = 1")
-    return broadcast_if_small(stage(once.groupBy("node").agg(F.count("*").alias("own"))), BROADCAST_ROWS)
+    own = nodes.join(once.groupBy("node").agg(F.count("*").alias("own")), "node", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
+    return broadcast_if_small(stage(own), BROADCAST_ROWS)
 
 
 def _with_own(member: DataFrame, own: DataFrame) -> DataFrame:
-    """Adds ``own`` and ``light``.
+    """Adds ``own`` (null for sets in no crowded bucket) and ``light``.
 
     Two linked sets differ in at most (n_a + n_b) (100 - PERCENT) / (100 + PERCENT) elements, and both sets' own ones are among
     these. So one of the two is light: its own elements alone are few enough. Near copies of one text that are not linked
     with each other differ by just such elements and are not compared, however many they are.
     """
-    member = member.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    return member.withColumn("light", (100 + PERCENT) * F.col("own") <= (100 - PERCENT) * F.col("n"))
+    light = (100 + PERCENT) * F.col("own") <= (100 - PERCENT) * F.col("n")
+    return member.join(own, "node", "left").withColumn("light", F.coalesce(light, F.lit(True)))
 
 
 def _room(own_a: str, own_b: str, n_a: str, n_b: str) -> Column:
-    return (100 + PERCENT) * (F.col(own_a) + F.col(own_b)) <= (100 - PERCENT) * (F.col(n_a) + F.col(n_b))
+    """False where both sets' own elements are too many; where one has no own ones counted, nothing is known."""
+    return F.coalesce((100 + PERCENT) * (F.col(own_a) + F.col(own_b)) <= (100 - PERCENT) * (F.col(n_a) + F.col(n_b)), F.lit(True))
 
 
 def _pairs_of(used: DataFrame, member: DataFrame, twice: Column) -> DataFrame:

@@ -66,7 +66,8 @@ def rows():
 
 
 @pytest.mark.parametrize("costly", [jj.COSTLY, 3, 0])
-def test_components(spark, rows, costly):
+def test_components(spark, rows, costly, monkeypatch):
+    monkeypatch.setattr(jj, "CROWDED", 2 if costly < 9 else 16)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as n", "'x' as bucket", "true as thin")
     assert run(jj.linked_documents(df, costly)) == plain(rows)
 
