@@ -5,6 +5,7 @@ Corpus statistics always cover every document; filters only limit which document
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palimpsest.functions.scoring import as_score
 from palimpsest.functions.text import tokenize
 from palimpsest.operators.aggregates import top_per_group
-from palimpsest.operators.skew import BROADCAST_ROWS, split_hot_join
+from palimpsest.operators.skew import BROADCAST_ROWS, broadcast_if_small, split_hot_join
 from palimpsest.session import stage
 
 # The customary Okapi constants; a negative idf becomes EPSILON times the mean idf.
@@ -102,8 +103,29 @@ def score(index: Bm25Index, queries: DataFrame, candidates: DataFrame | None = N
 
 def search(index: Bm25Index, queries: DataFrame, *, candidates: DataFrame | None = None,
            min_score: float = 0.01, limit: int = 10) -> DataFrame:
-    hits = score(index, queries, candidates).filter(F.col("score") >= min_score)
-    return top_per_group(hits, ["query_id"], [F.desc("score"), F.desc_nulls_last("created_at"), "uuid"], limit)
+    def lists(asked: DataFrame) -> DataFrame:
+        hits = score(index, asked, candidates).filter(F.col("score") >= min_score)
+        return top_per_group(hits, ["query_id"], [F.desc("score"), F.desc_nulls_last("created_at"), "uuid"], limit)
+
+    return once_per_text(queries, lists)
+
+
+def once_per_text(queries: DataFrame, lists: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``lists(queries)``, where queries of the same user and text are asked once and share the list they get.
+
+    A null and an empty user are the same.  Queries that share an id are one query to a search, so they are left as they are.
+    """
+    who = F.coalesce("user_id", F.lit(""))
+    name = F.sha2(F.concat(F.octet_length(who).cast("string"), F.lit(":"), who, F.col("text")), 256)
+    named = queries.filter(F.col("text").isNotNull()).select("query_id", who.alias("user_id"), "text", name.alias("asked"))
+    n, ids, texts = named.agg(F.count("*"), F.count_distinct("query_id"), F.count_distinct("asked")).first()
+    if ids < n or 2 * texts > n:
+        return lists(queries)
+    asked = named.groupBy(F.col("asked").alias("query_id")).agg(F.first("user_id").alias("user_id"), F.first("text").alias("text"))
+    found = stage(lists(stage(asked)))
+    columns = [c for c in found.columns if c != "query_id"]
+    # Few lists go to those who asked; of many, adaptive execution splits a text that very many asked.
+    return named.select("query_id", "asked").join(broadcast_if_small(found.withColumnRenamed("query_id", "asked")), "asked").select("query_id", *columns)
 
 
 def search_parts(docs: DataFrame, part: str, queries: DataFrame, *, candidates=None, min_score: float = 0.01, limit: int = 10) -> DataFrame:
