@@ -1,15 +1,18 @@
 """Facts at many pairs of times at once.
 
-A point of valid time lies in just one piece of an interval that is cut into dyadic pieces, so points meet
-intervals by an equi join: an interval has at most two pieces of each length, a point one cell of each.
+Few points go to the facts.  Many meet them by an equi join: intervals are cut into dyadic pieces, and a point of valid
+time lies in just one piece of an interval, which has at most two pieces of each length, as a point has one cell of each.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.operators.skew import broadcast_if_small
+from palimpsest.operators.skew import broadcast_if_small, is_small
+from palimpsest.session import stage
 
+#: Points up to this number are held against every fact where it lies, which moves no fact.
+FEW_POINTS = 1000
 #: Micro-seconds of the smallest piece; ends inside one are compared exactly after the join.
 GRAIN = 86_400_000_000
 
@@ -38,12 +41,17 @@ def _pieces(lo: Column, hi: Column, levels: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, up, lambda s: s["out"])
 
 
-def facts_as_of_many(edges: DataFrame, points: DataFrame, *, grain: int = GRAIN) -> DataFrame:
+def facts_as_of_many(edges: DataFrame, points: DataFrame, *, grain: int = GRAIN, few_points: int = FEW_POINTS) -> DataFrame:
     """``point_id`` and the facts that held at ``valid_time`` as they were known at ``system_time``, for every point.
 
     Points: ``point_id, valid_time, system_time``.  A fact holds from ``valid_at`` to before ``invalid_at`` and is known from
     ``created_at`` to before ``expired_at``; a missing end is open, a missing start is never.
     """
+    held = (F.col("valid_at") <= F.col("valid_time")) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > F.col("valid_time")))
+    known = (F.col("created_at") <= F.col("system_time")) & (F.col("expired_at").isNull() | (F.col("expired_at") > F.col("system_time")))
+    points = stage(points.select("point_id", "valid_time", "system_time"))
+    if is_small(points, few_points):
+        return edges.join(F.broadcast(points), held & known).select("point_id", *edges.columns)
     first, last = points.select(_cell(F.col("valid_time"), grain).alias("c")).agg(F.min("c"), F.max("c")).first()
     if first is None:
         return points.select("point_id").limit(0).join(edges.limit(0), F.lit(True))
@@ -56,6 +64,4 @@ def facts_as_of_many(edges: DataFrame, points: DataFrame, *, grain: int = GRAIN)
     cells = points.select("point_id", "valid_time", "system_time", (_cell(F.col("valid_time"), grain) - first).alias("_c"), level)
     cells = cells.select("point_id", "valid_time", "system_time", "_level", F.expr("shiftright(_c, _level)").alias("_node"))
     both = cut.join(broadcast_if_small(cells), ["_level", "_node"])
-    held = (F.col("valid_at") <= F.col("valid_time")) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > F.col("valid_time")))
-    known = (F.col("created_at") <= F.col("system_time")) & (F.col("expired_at").isNull() | (F.col("expired_at") > F.col("system_time")))
     return both.filter(held & known).select("point_id", *edges.columns)
