@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from palimpsest.functions.scoring import as_score
 from palimpsest.functions.text import tokenize
 from palimpsest.operators.aggregates import top_per_group
-from palimpsest.operators.bm25 import B, DOC_COLUMNS, EPSILON, K1
+from palimpsest.operators.bm25 import B, DOC_COLUMNS, EPSILON, K1, once_per_text
 from palimpsest.operators.skew import BROADCAST_ROWS, broadcast_if_small, split_hot_join
 from palimpsest.session import stage
 from palimpsest.sources.manifest import Manifest
@@ -264,8 +264,11 @@ class KeywordStore:
     def search(self, queries: DataFrame, *, where: Callable[[DataFrame], DataFrame] | None = None, candidates: DataFrame | None = None,
                min_score: float = 0.01, limit: int = 10, skip_from: int = SKIP_FROM) -> DataFrame:
         """The best ``limit`` documents of every query: score, then newest, then id."""
-        hits = self.score(queries, where=where, candidates=candidates, limit=limit, min_score=min_score, skip_from=skip_from)
-        return top_per_group(hits.filter(F.col("score") >= min_score), ["query_id"], [F.desc("score"), F.desc_nulls_last("created_at"), "uuid"], limit)
+        def lists(asked: DataFrame) -> DataFrame:
+            hits = self.score(asked, where=where, candidates=candidates, limit=limit, min_score=min_score, skip_from=skip_from)
+            return top_per_group(hits.filter(F.col("score") >= min_score), ["query_id"], [F.desc("score"), F.desc_nulls_last("created_at"), "uuid"], limit)
+
+        return once_per_text(queries, lists)
 
 
 def _mean_idf(counts: DataFrame, n: int) -> float | None:
