@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.operators import filters
 from palimpsest.operators.joins import orphan_entities
+from palimpsest.operators.skew import broadcast_if_small
 from palimpsest.operators.vectors import CHUNK_ROWS, greedy_keep
 from palimpsest.session import stage
 
@@ -57,21 +58,36 @@ def prune_low_mention_entities(entities: DataFrame, edges: DataFrame, mentions:
             mentions.join(gone.withColumnRenamed("uuid", "entity_uuid"), "entity_uuid", "left_anti"))
 
 
-def redundant_edges(edges: DataFrame, *, threshold: float = 0.95, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``id, keeper, score`` within each unordered endpoint pair, in order of creation."""
-    pair = edges.withColumns({"_a": F.least("source_uuid", "target_uuid"), "_b": F.greatest("source_uuid", "target_uuid")})
-    # Only pairs with at least two vectors have anything to compare.
-    several = pair.filter(F.size("fact_embedding") > 0).groupBy("_a", "_b").agg(F.count("*").alias("n")).filter("n > 1")
-    pair = pair.join(several.drop("n"), ["_a", "_b"], "left_semi")
+def redundant_edges(edges: DataFrame, *, threshold: float = 0.95, chunk_rows: int = CHUNK_ROWS, among: DataFrame | None = None) -> DataFrame:
+    """``id, keeper, score`` within each unordered endpoint pair, in order of creation.
+
+    ``among`` (as of ``edge_ends``): the edges to look at, all if not given.
+    """
+    ends = edge_ends(edges) if among is None else among
+    ends = ends.select("uuid", "has_vector", F.least("source_uuid", "target_uuid").alias("_a"), F.greatest("source_uuid", "target_uuid").alias("_b"))
+    # Only pairs with at least two vectors have anything to compare; they are found by ids, so that other vectors stay where they are.
+    several = ends.filter("has_vector").groupBy("_a", "_b").agg(F.count("*").alias("n")).filter("n > 1")
+    wanted = stage(ends.join(several.drop("n"), ["_a", "_b"], "left_semi").select("uuid"))
+    pair = edges.join(broadcast_if_small(wanted), "uuid", "left_semi").select(
+        "uuid", "created_at", "fact_embedding", F.least("source_uuid", "target_uuid").alias("_a"), F.greatest("source_uuid", "target_uuid").alias("_b"))
     return greedy_keep(pair, block=["_a", "_b"], ident="uuid", ts="created_at", vector="fact_embedding",
                        threshold=threshold, chunk_rows=chunk_rows)
 
 
+def edge_ends(edges: DataFrame) -> DataFrame:
+    """What pruning decides by, without texts, lists and vectors."""
+    return edges.select("uuid", "source_uuid", "target_uuid", "expired_at", F.coalesce(F.size("fact_embedding") > 0, F.lit(False)).alias("has_vector"))
+
+
 def compact_redundant_edges(edges: DataFrame, *, threshold: float = 0.95, user_id: str | None = None,
                             entities: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Merge near-duplicate facts into the earliest: mentions add up, episode lists unite."""
     scope = _of_user(edges, entities, user_id) if user_id else edges
-    merged = redundant_edges(scope, threshold=threshold, chunk_rows=chunk_rows).filter("id <> keeper")
+    return _united(edges, redundant_edges(scope, threshold=threshold, chunk_rows=chunk_rows).filter("id <> keeper"))
+
+
+def _united(edges: DataFrame, merged: DataFrame) -> DataFrame:
+    """``edges`` with those in ``merged`` (``id, keeper``) put into their keepers."""
     into = edges.select(F.col("uuid").alias("id"), "mentions", "episodes").join(merged, "id").groupBy(
         F.col("keeper").alias("uuid")).agg(
         F.sum("mentions").alias("_m"), F.array_distinct(F.flatten(F.collect_set("episodes"))).alias("_e"))
@@ -87,20 +103,27 @@ def prune_all(entities: DataFrame, edges: DataFrame, mentions: DataFrame, *, ref
               expired_cutoff_days: int = 90, min_mentions: int = 2, min_age_days: int = 30,
               compact_redundant: bool = True, threshold: float = 0.95) -> tuple[dict[str, DataFrame], DataFrame]:
     """Expired facts, then weak entities, then redundant facts; new tables and one row of counts."""
-    # Each step is written once: the next one and its count read it from there.
-    e1 = stage(prune_expired_edges(edges, reference_time=reference_time, cutoff_days=expired_cutoff_days, user_id=user_id, entities=entities))
+    # Which edges stay is decided by their ends; each step's are written once, for the next one and its count.
+    ends = stage(edge_ends(edges))
+    e1 = stage(prune_expired_edges(ends, reference_time=reference_time, cutoff_days=expired_cutoff_days, user_id=user_id, entities=entities))
     n2, e2, m2 = prune_low_mention_entities(entities, e1, mentions, reference_time=reference_time,
                                             min_mentions=min_mentions, min_age_days=min_age_days, user_id=user_id)
     n2, e2 = stage(n2), stage(e2)
-    e3 = stage(compact_redundant_edges(e2, threshold=threshold, user_id=user_id, entities=n2)) if compact_redundant else e2
+    left = edges.join(e2.select("uuid"), "uuid", "left_semi")
+    merged_count = F.lit(0).cast("long")
 
     def n(df: DataFrame) -> Column:
         return df.agg(F.count("*").alias("n")).scalar()
 
-    counts = edges.agg(F.count("*").alias("before")).select(
+    if compact_redundant:
+        scope = _of_user(e2, n2, user_id) if user_id else e2
+        merged = stage(redundant_edges(edges, threshold=threshold, among=scope).filter("id <> keeper"))
+        left = _united(left, merged)
+        merged_count = n(e2.join(merged.select(F.col("id").alias("uuid")), "uuid", "left_semi"))
+    counts = ends.agg(F.count("*").alias("before")).select(
         (F.col("before") - n(e1)).alias("expired_edges_deleted"), (n(entities) - n(n2)).alias("entities_deleted"),
-        (n(e2) - n(e3)).alias("edges_merged"))
-    return {"entities": n2, "edges": e3, "mentions": m2}, counts
+        merged_count.alias("edges_merged"))
+    return {"entities": n2, "edges": left, "mentions": m2}, counts
 
 
 def delete_user(episodes: DataFrame, entities: DataFrame, edges: DataFrame, mentions: DataFrame, user_id: str
