@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import privacy, scoring, text, values
 from palimpsest.operators import aggregates, filters, joins, sets, windows
+from palimpsest.operators.skew import broadcast_if_small
 from palimpsest.plans.registry import register
 from palimpsest.sources import tables
 from palimpsest.sources.standins import EDGE_REFERENCE_TIME as ERT, REFERENCE_TIME as RT, Standins
@@ -284,7 +285,9 @@ def _(s):
 def _(s):
     ents = s.entities().filter(F.col("name_embedding").isNotNull()).select(F.col("uuid").alias("target_uuid"), "name_embedding")
     sim = scoring.cosine_similarity(F.col("fact_embedding"), F.col("name_embedding"))
-    return s.edges().join(ents, "target_uuid").select("uuid", scoring.as_score(sim).alias("sim"))
+    # Facts whose target has a vector are found by their ids; only they get their own, and only they move with it.
+    facts = s.plain_edges().select("uuid", "target_uuid", "vec_id").join(broadcast_if_small(ents.select("target_uuid")), "target_uuid", "left_semi")
+    return s.fact_vectors(facts).join(broadcast_if_small(ents), "target_uuid").select("uuid", scoring.as_score(sim).alias("sim"))
 
 
 @register("temporal_decay", f"""
