@@ -30,6 +30,8 @@ class Graph:
     mentions: DataFrame
     #: Kept keyword indexes by kind (as of ``keyword_stores``); kinds without one are indexed for the search.
     keywords: dict[str, KeywordStore] = field(default_factory=dict)
+    #: Facts with their vectors (and all else that a search by vector needs), where these are kept apart from the facts.
+    fact_vectors: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -64,8 +66,8 @@ def allowed_episodes(g: Graph, cfg: SearchConfig) -> DataFrame:
     return filters.by_kind(filters.by_tags(g.episodes, cfg.tags, cfg.tag_match_mode), cfg.kinds)
 
 
-def live_edges(g: Graph, cfg: SearchConfig) -> DataFrame:
-    return g.edges if cfg.include_expired else filters.active_edges(g.edges, cfg.reference_time)
+def live_edges(edges: DataFrame, cfg: SearchConfig) -> DataFrame:
+    return edges if cfg.include_expired else filters.active_edges(edges, cfg.reference_time)
 
 
 def edges_with_owner(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -99,7 +101,8 @@ def semantic_episodes(g: Graph, queries: DataFrame, cfg: SearchConfig, after=Non
 
 
 def semantic_edges(g: Graph, queries: DataFrame, cfg: SearchConfig) -> DataFrame:
-    live = live_edges(g, cfg).filter(F.size("fact_embedding") > 0)
+    apart = getattr(g, "fact_vectors", None)
+    live = live_edges(g.edges if apart is None else apart, cfg).filter(F.size("fact_embedding") > 0)
     owned = edges_with_owner(live, g.entities)
     return _kind(similarity_topk(owned, queries, vector="fact_embedding", threshold=cfg.threshold,
                                  limit=cfg.limit), "edge")
