@@ -120,7 +120,8 @@ def _(s):
 @register("similar_queries_semantic", "SELECT query_id, uuid, score, rank FROM k", extra="k AS (" + sim_sql("SELECT * FROM fx_query_episodes", "content_embedding", 5, 0.3) + ")")
 def _(s):
     """Through the search that answers all strategies."""
-    g = search.Graph(stage(s.query_episodes()), s.entities(), stage(s.edges()), s.mentions())
+    edges = stage(s.plain_edges().drop("episodes", "mentions"))
+    g = search.Graph(stage(s.query_episodes()), s.entities(), edges, s.mentions(), fact_vectors=s.fact_vectors(edges))
     return augment.similar_by_search(g, s.queries(), strategy="semantic").select("query_id", "uuid", "score", "rank")
 
 
