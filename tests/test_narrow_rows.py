@@ -1,9 +1,11 @@
 """Vectors of facts stay where they lie: they are neither written again nor joined with owners or ends."""
 
 import datetime as dt
+import json
 
-from palimpsest.operators import maintain
+from palimpsest.operators import ingest, maintain
 from palimpsest.plans import retrieval
+from palimpsest.sources import tables
 from palimpsest.sources.standins import Standins
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +42,25 @@ def test_pruning_writes_no_vectors(spark, monkeypatch):
     assert sorted((r.uuid, r.mentions, r.episodes) for r in tables["edges"].collect()) == [("a", 5, ["o1", "o2"]), ("c", 1, ["o3"]), ("e", 1, ["o5"])]
     assert [r.uuid for r in tables["mentions"].collect()] == ["m2"]
     assert not any("fact_embedding" in c for c in written)
+
+
+def test_export_adds_vectors_after_names(spark):
+    s = Standins(spark, SF)
+    late = tables.export_documents({"entities": s.entities(), "edges": s.plain_edges().drop("user_id")}, wide={"edges": s.with_vectors})
+    once = tables.export_documents({"entities": s.entities(), "edges": s.edges()})
+    rows = lambda docs: sorted((json.loads(r.value) for r in docs["edges"].collect()), key=lambda d: d["uuid"])
+    assert rows(late) == rows(once) and any("fact_embedding" in d for d in rows(late))
+
+
+def test_relations_get_vectors_when_ends_are_known(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "vec_id long, vec array<double>")
+    found = spark.createDataFrame([("u", "a", "b", "knows", "f1", 1), ("u", "a", "c", "knows", "f2", 3), ("u", "a", "?", "knows", "f3", 1), ("u", "b", "a", "knows", "f4", None)],
+                                  "user_id string, source string, target string, relation string, fact string, vec_id long")
+    entities = spark.createDataFrame([("u", n, f"i{n}") for n in "abc"], "user_id string, name string, uuid string")
+    edges = spark.createDataFrame([("e1", "ia", "ib", 2, None), ("e2", "ia", "ic", 1, None), ("e3", "ib", "ia", 1, None)],
+                                  "uuid string, source_uuid string, target_uuid string, vec_id long, expired_at timestamp")
+    wide = lambda df, name: df.join(vectors.withColumnRenamed("vec", name), "vec_id", "left").drop("vec_id")
+    rows = lambda df: sorted((r.fact, r.uuid, r.source_uuid, r.target_uuid, r.mentions, r.is_new) for r in df.collect())
+    apart = rows(ingest.resolve_relations(found, entities, edges, vectors=vectors))
+    assert apart == rows(ingest.resolve_relations(wide(found, "embedding"), entities, wide(edges, "fact_embedding")))
+    assert [(r[0], r[1], r[5]) for r in apart if not r[5]] == [("f1", "e1", False)] and [r[0] for r in apart] == ["f1", "f2", "f4"]
