@@ -6,12 +6,14 @@ dropped row never makes another row a duplicate, so the result depends on order:
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from palimpsest.functions.text import content_key
 from palimpsest.operators import bm25, filters
 from palimpsest.operators.skew import HOT_ROWS, broadcast_if_small
-from palimpsest.operators.vectors import CHUNK_ROWS, greedy_keep, nearest_kept
+from palimpsest.operators.vectors import CHUNK_ROWS, greedy_keep, grid, nearest_kept
 from palimpsest.session import stage
 
 
@@ -179,78 +181,137 @@ def dedup_bm25_batch(new: DataFrame, index: bm25.Bm25Index, *, threshold: float
     (new rows) or a BM25 score of at least ``threshold`` for the row's text; of several the newest wins, then the
     smallest id.  Statistics are those of the index with the batch in it, as it stands afterwards.
 
-    Tokens that together cannot reach the threshold are not looked up, which leaves out what nearly every text holds;
-    pairs meet by (user, token, window).  Rows without an undecided earlier match are kept at once and their
-    matches dropped, until all are decided.
+    Documents of a user and window meet in chunks of bounded size, where a matrix product gives their scores, so that no
+    row for a pair and token exists.  Windows are then decided in order, many in one step (``_dropped_in_order``).
     """
     width = int(window_hours * 3_600_000_000)
-    fresh = bm25.documents(new, F.col("content"))
-    fresh = stage(fresh.withColumn("ck", F.sha2(F.array_join("tokens", " "), 256)))
-    # equal texts in upper and lower case are equal token lists, but texts are compared as they are
-    exact = new.select("uuid", content_key(F.col("content")).alias("text_key"))
+    fresh = stage(bm25.documents(new, F.col("content"), content_key(F.col("content")).alias("text_key")))
     both = index.add(bm25.build(fresh.select(*bm25.DOC_COLUMNS, "tokens")))
-    matches = stage(_bm25_matches(fresh, both, threshold, width).unionByName(_equal_before(fresh.join(exact, "uuid"), width)).groupBy("id", "kid", "kt").agg(
-        F.max("stored").alias("stored")))
-    decided = _keep_in_order(fresh.select(F.col("uuid").alias("id")), matches)
-    return decided.select(F.col("id").alias("input_id"), F.coalesce("kid", "id").alias("canonical_uuid"), F.col("kid").isNull().alias("is_new"))
+    matches = _bm25_matches(fresh, index.docs, both, threshold, width)
+    user, t = F.coalesce("user_id", F.lit("")).alias("user_id"), F.unix_micros("created_at").alias("t")
+    rows = fresh.select(F.col("uuid").alias("id"), user, t)
+    matches = stage(matches.withColumn("b", F.floor(F.col("t") / width)))
+    dropped = _dropped_in_order(matches, MATCHES)
+    anchors = matches.join(dropped.select(F.col("id").alias("kid"), F.lit(True).alias("off")), "kid", "left").filter("stored OR off IS NULL")
+    best = anchors.groupBy("id").agg(F.min_by("kid", F.struct((-F.col("kt")).alias("k"), "kid")).alias("kid"))
+    return rows.select("id").join(best, "id", "left").select(F.col("id").alias("input_id"), F.coalesce("kid", "id").alias("canonical_uuid"), F.col("kid").isNull().alias("is_new"))
+
+
+#: Documents of a user and window that meet in one task at once, on each side, and words that a product takes at once.
+SIDE, WORDS = 1024, 4096
+#: Matches of one user that are decided in one step, in one task.
+MATCHES = 1_000_000
 
 
-def _bm25_matches(fresh: DataFrame, both: bm25.Bm25Index, threshold: float, width: int) -> DataFrame:
-    """``id, kid, kt, stored``: earlier documents of the window that score enough for a new row's text."""
-    weights = bm25.term_weights(both)
+def _bm25_matches(fresh: DataFrame, old: DataFrame, both: bm25.Bm25Index, threshold: float, width: int) -> DataFrame:
+    """``id, user_id, t, kid, kt, stored``: earlier documents of the window that score enough for a new row's text, or new ones with the same text."""
+    weights = broadcast_if_small(bm25.term_weights(both))
     average = both.totals.select(F.try_divide("total_len", "n").alias("a")).scalar()
-    mine = fresh.select("uuid")
-    user, t = F.coalesce("user_id", F.lit("")).alias("user_id"), F.unix_micros("created_at").alias("t")
-    q = fresh.select(F.col("uuid").alias("id"), user, t, F.explode("tokens").alias("tok")).groupBy("id", "user_id", "t", "tok").agg(F.count("*").alias("qtf"))
-    q = q.join(weights, "tok").withColumn("top", F.greatest(F.lit(0.0), F.col("qtf") * F.col("idf") * (bm25.K1 + 1)))
-    # lightest first: as long as the sum stays below the threshold, these tokens alone make no match
-    lightest = W.partitionBy("id").orderBy("top", "tok").rowsBetween(W.unboundedPreceding, W.currentRow)
-    q = stage(q.withColumn("probe", F.sum("top").over(lightest) >= threshold))
     span = fresh.agg((F.min(F.unix_micros("created_at")) - width).alias("a"), F.max(F.unix_micros("created_at")).alias("b"))
-    docs = both.docs.select("uuid", user, t, "tokens").crossJoin(F.broadcast(span)).filter("t > a AND t <= b").drop("a", "b")
-    d = docs.select(F.col("uuid").alias("kid"), "user_id", F.col("t").alias("kt"), F.size("tokens").alias("dl"), F.explode("tokens").alias("tok"))
-    d = stage(d.groupBy("kid", "user_id", "kt", "dl", "tok").agg(F.count("*").alias("tf")))
-    bucket = F.floor(F.col("kt") / width)
-    placed = d.select("kid", "user_id", "kt", "tok", F.explode(F.array(bucket, bucket + 1)).alias("b"))
-    near = q.filter("probe").select("id", "user_id", "t", "tok", F.floor(F.col("t") / width).alias("b")).join(placed, ["user_id", "tok", "b"])
-    earlier = ((F.col("kt") < F.col("t")) | ((F.col("kt") == F.col("t")) & (F.col("kid") < F.col("id")))) & (F.col("t") - F.col("kt") < width)
-    pairs = near.filter(earlier).select("id", "kid").distinct()
+    again = fresh.select("uuid", F.lit(True).alias("again"))
+    stored = old.select(*bm25.DOC_COLUMNS, "tokens", F.lit(None).cast("string").alias("text_key")).join(again, "uuid", "left")
+    docs = fresh.select(*bm25.DOC_COLUMNS, "tokens", "text_key", F.lit(True).alias("again")).unionByName(stored)
+    docs = docs.select("uuid", F.coalesce("user_id", F.lit("")).alias("user_id"), F.unix_micros("created_at").alias("t"), "text_key",
+                       F.coalesce("again", F.lit(False)).alias("new"), "tokens").crossJoin(F.broadcast(span)).filter("t > a AND t <= b").drop("a", "b")
+    key = ["uuid", "user_id", "t", "text_key", "new", "dl"]
+    # placed by document once, for both counts
+    posted = docs.repartition("uuid").select(*key[:-1], F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("tok"))
+    posted = posted.groupBy(*key, "tok").agg(F.count("*").alias("tf")).join(weights, "tok", "left")
     norm = F.col("tf") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / average)
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (bm25.K1 + 1) / norm
-    scored = pairs.join(q.select("id", "tok", "qtf", "idf"), "id").join(d.select("kid", "kt", "dl", "tok", "tf"), ["kid", "tok"])
-    hits = scored.groupBy("id", "kid", "kt").agg(F.round(F.sum(part), 6).alias("score")).filter(F.col("score") >= threshold)
-    known = mine.select(F.col("uuid").alias("kid"), F.lit(False).alias("_new"))
-    return hits.join(known, "kid", "left").select("id", "kid", "kt", F.coalesce("_new", F.lit(True)).alias("stored"))
-
-
-def _equal_before(fresh: DataFrame, width: int) -> DataFrame:
-    """``id, kid, kt, stored``: earlier new rows of the window with the same text."""
-    rows = fresh.select("uuid", F.coalesce("user_id", F.lit("")).alias("user_id"), "text_key", F.unix_micros("created_at").alias("t"))
-    bucket = F.floor(F.col("t") / width)
-    a = rows.select(F.col("uuid").alias("id"), "user_id", "text_key", "t", bucket.alias("b"))
-    k = rows.select(F.col("uuid").alias("kid"), "user_id", "text_key", F.col("t").alias("kt"), F.explode(F.array(bucket, bucket + 1)).alias("b"))
-    both = a.join(k, ["user_id", "text_key", "b"])
-    earlier = ((F.col("kt") < F.col("t")) | ((F.col("kt") == F.col("t")) & (F.col("kid") < F.col("id")))) & (F.col("t") - F.col("kt") < width)
-    return both.filter(earlier).select("id", "kid", "kt", F.lit(False).alias("stored"))
-
-
-def _keep_in_order(rows: DataFrame, matches: DataFrame) -> DataFrame:
-    """``id, kid``: the newest kept match of every row, null for kept rows.  ``matches``: earlier rows, ``stored`` ones are kept already."""
-    open_rows = stage(rows)
-    kept: DataFrame | None = None
-    while True:
-        sure = matches.filter("stored").select("kid").distinct() if kept is None else kept.select(F.col("id").alias("kid"))
-        gone = matches.join(sure, "kid").select("id").distinct()
-        open_rows = stage(open_rows.join(gone, "id", "left_anti"))
-        waits = matches.join(open_rows.select(F.col("id").alias("kid")), "kid", "left_semi").select("id").distinct()
+    word = F.when(F.col("tok").isNotNull(), F.struct(F.xxhash64("tok").alias("tok"), (F.col("tf") * F.col("idf")).alias("asked"), (F.col("tf") * (bm25.K1 + 1) / norm).alias("held")))
+    held = posted.groupBy(*key).agg(F.collect_list(word).alias("ws"))
+    held = stage(held.select(F.col("uuid").alias("id"), "user_id", "t", "text_key", "new", F.col("ws.tok").alias("toks"), F.col("ws.asked").alias("asked"),
+                             F.col("ws.held").alias("held"), F.floor(F.col("t") / width).alias("b")))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "user_id": [], "t": [], "kid": [], "kt": [], "stored": []})
+        ia, ib, ta, tb = a["id"].to_numpy(str), b["id"].to_numpy(str), a["t"].to_numpy(), b["t"].to_numpy()
+        same = pd.factorize(pd.concat([a["text_key"], b["text_key"]]))[0]  # -1: stored rows
+        equal = same[: len(a), None] == same[None, len(a):]
+        ok = (_shared_weight(a, b, threshold) | equal) & (ta[:, None] - tb[None, :] < width)
+        ok &= (tb[None, :] < ta[:, None]) | ((tb[None, :] == ta[:, None]) & (ib[None, :] < ia[:, None]))
+        i, j = np.nonzero(ok)
+        return pd.DataFrame({"id": ia[i].astype(object), "user_id": a["user_id"].to_numpy()[i], "t": ta[i], "kid": ib[j].astype(object), "kt": tb[j],
+                             "stored": ~b["new"].to_numpy(bool)[j]})
+
+    left = held.filter("new AND text_key IS NOT NULL").select("id", "user_id", "t", "text_key", "toks", F.col("asked").alias("w"), "b")
+    right = held.select("id", "user_id", "t", "text_key", "new", "toks", F.col("held").alias("w"), F.explode(F.array("b", F.col("b") + 1)).alias("b"))
+    return grid(left, right, ["user_id", "b"], meet, "id string, user_id string, t long, kid string, kt long, stored boolean", SIDE)
+
+
+def _shared_weight(a: pd.DataFrame, b: pd.DataFrame, threshold: float) -> np.ndarray:
+    """Whether the products of the weights ``w`` of the words that rows of ``a`` and ``b`` share add up to the threshold."""
+    def flat(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = [len(x) for x in df["toks"]]
+        return np.repeat(np.arange(len(df)), n), np.concatenate([np.asarray(x, np.int64) for x in df["toks"]]), np.concatenate([np.asarray(x, np.float64) for x in df["w"]])
+
+    sides = flat(a), flat(b)
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    total, share = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool)
+    for lo in range(0, len(common), WORDS):
+        some, parts = common[lo:lo + WORDS], []
+        for (row, tok, w), df in zip(sides, (a, b)):
+            at = np.minimum(np.searchsorted(some, tok), len(some) - 1)
+            hit = some[at] == tok
+            m = np.zeros((len(df), len(some)))
+            m[row[hit], at[hit]] = w[hit]
+            parts.append(m)
+        total += parts[0] @ parts[1].T
+        if threshold <= 0:  # then rows that share no word must be told from those whose words weigh nothing
+            share |= (parts[0] != 0).astype(np.float32) @ (parts[1] != 0).astype(np.float32).T > 0
+    return (np.round(total, 6) >= threshold) & (share if threshold <= 0 else True)
+
+
+def _dropped_in_order(matches: DataFrame, limit: int) -> DataFrame:
+    """``id`` of the rows that a kept row matches, of ``matches(id, user_id, t, kid, kt, stored, b)`` with earlier rows; ``stored`` ones are kept already.
+
+    Windows ``b`` of a user are packed in order into steps of about ``limit`` matches.  A step knows what became of all earlier ones
+    and is walked row by row in one task for each user; a step with a window that has more goes by rounds.
+    """
+    sizes = matches.groupBy("user_id", "b").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("user_id").orderBy("b"))
+    steps = stage(sizes.withColumn("step", F.floor((upto - F.col("n")) / limit)).select("user_id", "b", "n", "step"))
+    most = {r.step: r.n for r in steps.groupBy("user_id", "step").agg(F.sum("n").alias("n")).groupBy("step").agg(F.max("n").alias("n")).collect()}
+    work = stage(matches.join(broadcast_if_small(steps.select("user_id", "b", "step")), ["user_id", "b"]).drop("b"), "step")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "id"], ignore_index=True)
+        rows, start = np.unique(pdf["id"].to_numpy(str), return_index=True)
+        rows, start = rows[np.argsort(start)], np.append(np.sort(start), len(pdf))
+        kid = pd.Index(rows).get_indexer(pdf["kid"].to_numpy(str))
+        held = np.where(kid < 0, pdf["held"].to_numpy(bool), False)  # rows before the step
+        kept = np.ones(len(rows), bool)
+        for i in range(len(rows)):
+            part = slice(start[i], start[i + 1])
+            near = kid[part]
+            kept[i] = not (held[part].any() or kept[near[near >= 0]].any())
+        return pd.DataFrame({"id": rows[~kept].astype(object)})
+
+    dropped = matches.select("id").limit(0)
+    for step in sorted(most):
+        now = work.filter(F.col("step") == step).join(dropped.select(F.col("id").alias("kid"), F.lit(True).alias("off")), "kid", "left")
+        now = now.withColumn("held", F.col("stored") | F.col("off").isNull())
+        gone = (now.groupBy("user_id").applyInPandas(walk, "id string") if most[step] <= 4 * limit else _dropped_by_rounds(now))
+        dropped = dropped.unionByName(stage(gone))
+    return dropped
+
+
+def _dropped_by_rounds(matches: DataFrame) -> DataFrame:
+    """``id`` as of ``_dropped_in_order`` for one step: rows without an undecided earlier match are kept at once and their matches dropped."""
+    rows = stage(matches.select("id").distinct())
+    inner = stage(matches.select("id", "kid").join(rows.select(F.col("id").alias("kid")), "kid", "left_semi"))
+    outer = matches.join(rows.select(F.col("id").alias("kid")), "kid", "left_anti")
+    gone = stage(outer.filter("held").select("id").distinct())
+    open_rows = stage(rows.join(gone, "id", "left_anti"))
+    while not open_rows.isEmpty():
+        waits = inner.join(open_rows.select(F.col("id").alias("kid")), "kid", "left_semi").select("id").distinct()
         lead = stage(open_rows.join(waits, "id", "left_anti"))
-        kept = lead if kept is None else kept.unionByName(lead)
-        open_rows = stage(open_rows.join(lead, "id", "left_anti"))
-        if open_rows.isEmpty():
-            break
-    anchors = matches.filter("stored").select("id", "kid", "kt").unionByName(matches.join(kept.select(F.col("id").alias("kid")), "kid", "left_semi").select("id", "kid", "kt"))
-    best = anchors.groupBy("id").agg(F.min_by("kid", F.struct((-F.col("kt")).alias("k"), "kid")).alias("kid"))
-    return rows.join(best, "id", "left").select("id", "kid")
+        more = inner.join(lead.select(F.col("id").alias("kid")), "kid", "left_semi").select("id").distinct()
+        more = stage(more.join(open_rows, "id", "left_semi"))
+        gone = gone.unionByName(more)
+        open_rows = stage(open_rows.join(lead, "id", "left_anti").join(more, "id", "left_anti"))
+    return gone
 
 
 def resolve_duplicates_report(resolved: DataFrame) -> DataFrame:

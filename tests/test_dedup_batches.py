@@ -99,6 +99,20 @@ def test_keywords_inside_a_batch(spark, threshold):
     assert got["x2"] == "x1" and got["x3"] == "x3" and got["x4"] == "x4" and got["x5"] == "x5"
 
 
+@pytest.mark.parametrize("matches", [1, 40])
+def test_keywords_in_small_steps(spark, monkeypatch, matches):
+    """Chunks of a few documents and words, steps of a few matches, and windows with more than a step holds."""
+    rng = random.Random(7)
+    rows, stored = ([(f"{x}{k:02d}", rng.choice(("ann", "bob")), T0 + dt.timedelta(hours=rng.randrange(96)), " ".join(rng.choices("abcdefghijklmnopqrst", k=3)))
+                     for k in range(n)] for x, n in (("r", 70), ("s", 10)))
+    for name, value in (("MATCHES", matches), ("SIDE", 6), ("WORDS", 4)):
+        monkeypatch.setattr(dedup, name, value)
+    schema = "uuid string, user_id string, created_at timestamp, content string"
+    index = bm25.build(bm25.documents(spark.createDataFrame(stored, schema), F.col("content")))
+    got = {r.input_id: r.canonical_uuid for r in dedup.dedup_bm25_batch(spark.createDataFrame(rows, schema), index, threshold=2.0).collect()}
+    assert got == brute_keywords(rows, stored, 2.0)
+
+
 def test_keywords_of_an_empty_batch(spark):
     schema = "uuid string, user_id string, created_at timestamp, content string"
     none = spark.createDataFrame([], schema)
