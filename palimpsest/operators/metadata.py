@@ -20,8 +20,12 @@ def replace_key(metadata: Column, key: str, value: Column) -> Column:
     doc = F.coalesce(F.from_json(metadata, "map<string,variant>"), F.map_from_arrays(
         F.array().cast("array<string>"), F.array().cast("array<variant>")))
     rest = F.map_filter(doc, lambda k, v: k != key)
-    changed = F.to_json(F.map_concat(rest, F.create_map(F.lit(key), F.parse_json(F.to_json(value)))))
-    return F.when(value.isNull(), metadata).otherwise(changed)
+
+    def changed(v: Column) -> Column:
+        return F.to_json(F.map_concat(rest, F.create_map(F.lit(key), F.parse_json(F.to_json(v)))))
+
+    # a lambda over one element binds the value, which is costly and would be made once more to see whether it is null
+    return F.element_at(F.transform(F.array(value), lambda v: F.when(v.isNull(), metadata).otherwise(changed(v))), 1)
 
 
 def sessions_of(metadata: Column) -> Column:

@@ -225,7 +225,7 @@ def _(s):
     SELECT DISTINCT episode_uuid, 'fresh', 'fresh_run', 0 FROM fx_runs""")
 def _(s):
     eps = stage(s.query_episodes())
-    have = runs.explode_runs(eps)
+    have = stage(runs.explode_runs(eps).select("episode_uuid", "session_id", "run_id"))
     last = have.groupBy("episode_uuid", "session_id").agg(F.max("run_id").alias("run_id"))
     again = have.select("episode_uuid", "session_id", F.concat(F.lit("again_"), "session_id").alias("run_id")).distinct()
     fresh = have.select("episode_uuid", F.lit("fresh").alias("session_id"), F.lit("fresh_run").alias("run_id")).distinct()

@@ -3,7 +3,7 @@
 import datetime as dt
 import json
 
-from palimpsest.operators import ingest, maintain
+from palimpsest.operators import ingest, joins, maintain
 from palimpsest.plans import retrieval
 from palimpsest.sources import tables
 from palimpsest.sources.standins import Standins
@@ -64,3 +64,15 @@ def test_relations_get_vectors_when_ends_are_known(spark):
     apart = rows(ingest.resolve_relations(found, entities, edges, vectors=vectors))
     assert apart == rows(ingest.resolve_relations(wide(found, "embedding"), entities, wide(edges, "fact_embedding")))
     assert [(r[0], r[1], r[5]) for r in apart if not r[5]] == [("f1", "e1", False)] and [r[0] for r in apart] == ["f1", "f2", "f4"]
+
+
+def test_calls_of_an_episode_are_placed_once(spark):
+    plan = Standins(spark, SF).query_episodes()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_documents_are_parsed_once(spark):
+    rows = spark.createDataFrame([("a", '{"integration":"adk"}'), ("b", "{broken"), ("c", None)], "uuid string, metadata string")
+    parsed = joins.metadata_struct(rows).select("uuid", "meta.integration")
+    assert [tuple(r) for r in parsed.collect()] == [("a", "adk")]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
