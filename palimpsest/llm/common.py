@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one numpy step looks at; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
@@ -109,3 +110,28 @@ def words(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[data]
     starts, ends = spans(inside[data], offsets)
     return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def parities(items: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """For each set a power of two of bits, twice its size or more; each element turns the bit of its low digits.
+
+    Two sets differ in at least as many elements as their bits do.
+    """
+    out, at = [], [0]
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        n = 1 << max(6, int(2 * (b - a) - 1).bit_length())
+        odd = np.bincount((items[a:b] & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+        at.append(at[-1] + n // 64)
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+
+
+def bits_apart(a: Column, b: Column) -> Column:
+    """Bits in which two lists of ``parities`` differ; the longer one is folded until both have the length of the shorter."""
+    def folded(bits: Column, to: Column) -> Column:
+        half = F.size(bits) / 2
+        return F.when(F.size(bits) > F.size(to), F.zip_with(F.slice(bits, F.lit(1), half.cast("int")), F.slice(bits, (half + 1).cast("int"), half.cast("int")),
+                                                            lambda x, y: x.bitwiseXOR(y))).otherwise(bits)
+
+    odd = F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(odd, F.lit(0), lambda s, x: s + x)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ALNUM, bound_batches, mix, span_hashes, steps, table, utf8, words
+from palimpsest.llm.common import ALNUM, bits_apart, bound_batches, mix, parities, span_hashes, steps, table, utf8, words
 from palimpsest.llm.registry import query
 from palimpsest.session import stage
 
@@ -143,7 +143,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """node (a document's id) and its weighted shingles as an array of 32-bit hashes."""
+    """doc_id, the keys of its words, and its weighted shingles as an array of 32-bit hashes and as parity bits."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +152,9 @@ def features(docs: DataFrame) -> DataFrame:
             short = (columns >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(short))], ["doc_id", "k1", "k2", "items"])
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(short)), parities(columns, offsets)], ["doc_id", "k1", "k2", "items", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, items array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, items array<int>, bits array<long>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -167,6 +167,11 @@ def _alike(a: Column, b: Column) -> Column:
     return F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
+def _near(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column) -> Column:
+    """Whether sizes and parity bits allow the similarity: two sets differ in at least as many shingles as their bits do."""
+    return _alike(n_a, n_b) & ((1 + SIMILAR) * bits_apart(bits_a, bits_b) <= (1 - SIMILAR) * (n_a + n_b) + 1e-6)
+
+
 def checked(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose weighted shingles are alike to SIMILAR or more."""
     a = items.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
@@ -200,27 +205,37 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _open_members(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (bucket, node, n, class) of the buckets in which documents of several classes are left."""
-    member = shared.join(classes, "node", "left").select("bucket", "node", "n", F.coalesce("class", "node").alias("class"))
+def _open_members(shared: DataFrame, classes: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (bucket, node, n, met, class, bits) of the buckets in which documents of several classes are left."""
+    member = shared.join(classes, "node", "left").select("bucket", "node", "n", "met", F.coalesce("class", "node").alias("class"))
     open_ = member.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("bucket")
-    return stage(member.join(open_, "bucket"))
+    return stage(member.join(open_, "bucket").join(items.select("node", "bits"), "node"))
 
 
-def _chance_pairs(member: DataFrame, items: DataFrame) -> DataFrame:
-    """In each open bucket, all documents of other classes with one that chance picks, another one in every bucket."""
-    pick = F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "n", "class")).alias("pick")
+def _pairs_with(member: DataFrame, order: Column) -> DataFrame:
+    """In each open bucket, all documents of other classes with the one that is first in ``order``, as far as they can be alike with it."""
+    pick = F.min(F.struct(order.alias("h"), "node", "n", "class", "bits")).alias("pick")
     both = member.join(member.groupBy("bucket").agg(pick), "bucket")
-    both = both.filter((F.col("class") != F.col("pick.class")) & _alike(F.col("n"), F.col("pick.n")))
+    both = both.filter((F.col("class") != F.col("pick.class")) & _near(F.col("n"), F.col("pick.n"), F.col("bits"), F.col("pick.bits")))
     return both.select(F.least("node", "pick.node").alias("a"), F.greatest("node", "pick.node").alias("b")).distinct()
 
 
+def _head_pairs(member: DataFrame, items: DataFrame) -> DataFrame:
+    """With the best-met document of each bucket."""
+    return _pairs_with(member, -F.col("met"))
+
+
+def _chance_pairs(member: DataFrame, items: DataFrame) -> DataFrame:
+    """With one that chance picks, another one in every bucket."""
+    return _pairs_with(member, F.xxhash64("node", "bucket"))
+
+
 def _last_pairs(member: DataFrame, items: DataFrame) -> DataFrame:
     """All pairs of different classes in open buckets that can be alike at all, each once.
 
     Shingles that no other class has are in no such pair's common part. A document with too many of them
     is alike to none and goes, by which more shingles become one class's own; so this is done PRUNINGS times. Of others,
-    each pair must leave room for the likeness. Near copies of one text that are not alike to each other differ by
+    each pair must leave room for the likeness, and its parity bits must allow it. Near copies of one text that are not alike to each other differ by
     just such shingles, and so are not compared.
     """
     node = member.select("node", "class").distinct()
@@ -234,13 +249,14 @@ def _last_pairs(member: DataFrame, items: DataFrame) -> DataFrame:
         each = each.join(sizes.select("node"), "node", "left_semi")
     left = member.join(sizes.select("node", "room"), "node")
     buckets = left.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # one for each band at most
-    left = stage(left.join(buckets, "node").select("bucket", "node", "n", "class", "room", "buckets"))
+    left = stage(left.join(buckets, "node").select("bucket", "node", "n", "class", "room", "buckets", "bits"))
     a, b = (left.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in left.columns[1:]]) for x in "ab")
     most = F.least("room_a", "room_b")
     possible = (F.col("class_a") < F.col("class_b")) & (most >= SIMILAR * (F.col("n_a") + F.col("n_b") - most))
     first = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("buckets.bucket")
+    near = _near(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"))
     a, b = a.alias("buckets"), b.alias("others")
-    return a.join(b, (F.col("buckets.bucket") == F.col("others.bucket")) & possible & first).select(
+    return a.join(b, (F.col("buckets.bucket") == F.col("others.bucket")) & possible & first & near).select(
         F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
@@ -254,8 +270,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that share an id share a class. Other columns of ``docs`` are not looked at.
 
     Documents of the same words are one from the start, so that a group of copies of any size costs a grouped
-    minimum. In each bucket of a band, all are first checked against its smallest document, then, where several classes
-    are left, against one picked by chance, then all of different classes that can still be alike with each other.
+    minimum. A document is first checked against one only, of the heads of its buckets the one that meets most others in all
+    of its own; a head is the document of a bucket that does so, by which the text that near copies were made of comes first,
+    whatever its id. Where several classes are left in a bucket, all are then checked against its head, then against one
+    picked by chance, then all of different classes that can still be alike with each other.
     So a group of near copies takes a few checks for each of its documents, not one for each pair.
     """
     sketch = stage(sketches(docs))
@@ -268,20 +286,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nameless = sketch.filter("n > 0 and doc_id is null").join(texts.filter("doc_id is null").select(*same, "node"), same)
     rows = bucketed.select("node", "n", "bands").unionByName(nameless.select("node", "n", "bands"))
     rows = rows.select(F.explode("bands").alias("bucket"), "node", "n")
-    heads = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).filter("last != head.node")
-    shared = stage(rows.join(heads.select("bucket", "head"), "bucket"))
-    pairs = (shared.filter((F.col("node") != F.col("head.node")) & _alike(F.col("n"), F.col("head.n")))
-             .select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
+    rows = stage(rows.join(sizes.select("bucket", "size"), "bucket"))
+    shared = stage(rows.join(rows.groupBy("node").agg(F.sum("size").alias("met")), "node").select("bucket", "node", "n", "met"))
+    heads = shared.groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("h"), "node", "n")).alias("head"))
+    nearest = shared.join(heads, "bucket").filter((F.col("node") != F.col("head.node")) & _alike(F.col("n"), F.col("head.n")))
+    nearest = nearest.groupBy("node").agg(F.min("head")["node"].alias("head"))
+    pairs = nearest.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     wanted = stage(shared.select("node").distinct().join(texts.select(*same, "node", "doc_id"), "node"))
     ids = _small(stage(wanted.filter("doc_id is not null").select("doc_id").distinct()))
     texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = features(texts_of.join(ids, "doc_id", "left_semi"))
     unnamed = features(texts_of.filter("doc_id is null"))
-    items = stage(named.unionByName(unnamed).join(wanted.select(*same, "node"), same).select("node", "items"))
+    items = stage(named.unionByName(unnamed).join(wanted.select(*same, "node"), same).select("node", "items", "bits"))
     links = stage(checked(pairs, items))
     classes = components(links)
-    for pairs_of in (_chance_pairs, _last_pairs):
-        more = stage(checked(pairs_of(_open_members(shared, classes), items), items))
+    for pairs_of in (_head_pairs, _chance_pairs, _last_pairs):
+        more = stage(checked(pairs_of(_open_members(shared, classes, items), items), items))
         if not more.isEmpty():
             links = links.union(more)
             classes = components(links)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import NONSPACE, bound_batches, mix, steps, table, words
+from palimpsest.llm.common import NONSPACE, bits_apart, bound_batches, mix, parities, steps, table, words
 from palimpsest.llm.dart_minhash import components, shingles
 from palimpsest.llm.registry import query
 from palimpsest.operators.skew import broadcast_if_small, split_hot_join
@@ -141,20 +141,6 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, own array<long>, low array<long>, thin boolean")
 
 
-def _parities(items: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """For each set a power of two of bits, twice its size or more; each element turns the bit of its low digits.
-
-    Two sets differ in at least as many elements as their bits do.
-    """
-    out, at = [], [0]
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        n = 1 << max(6, int(2 * (b - a) - 1).bit_length())
-        odd = np.bincount((items[a:b] & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
-        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-        at.append(at[-1] + n // 64)
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
-
-
 def features(docs: DataFrame) -> DataFrame:
     """node, n, the set's items and parity bits, and the segments that may still go unused in either scheme."""
     bound_batches(docs.sparkSession)
@@ -164,7 +150,7 @@ def features(docs: DataFrame) -> DataFrame:
             items, offsets = shingle_sets(batch.column(0))
             spare = [segments(items, offsets, lower)[2] for lower in (False, True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_node(items, offsets)), pa.array(np.diff(offsets)), _lists(items, offsets), _parities(items, offsets), pa.array(spare[0]), pa.array(spare[1])],
+                [pa.array(_node(items, offsets)), pa.array(np.diff(offsets)), _lists(items, offsets), parities(items, offsets), pa.array(spare[0]), pa.array(spare[1])],
                 ["node", "n", "items", "bits", "spare_own", "spare_low"])
 
     return docs.select("text").mapInArrow(run, "node long, n long, items array<long>, bits array<long>, spare_own long, spare_low long")
@@ -213,14 +199,8 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    def folded(bits: Column, to: Column) -> Column:
-        half = F.size(bits) / 2
-        return F.when(F.size(bits) > F.size(to), F.zip_with(F.slice(bits, F.lit(1), half.cast("int")), F.slice(bits, (half + 1).cast("int"), half.cast("int")),
-                                                            lambda x, y: x.bitwiseXOR(y))).otherwise(bits)
-
     both = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").filter(_alike("n_a", "n_b"))
-    odd = F.zip_with(folded(F.col("bits_a"), F.col("bits_b")), folded(F.col("bits_b"), F.col("bits_a")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(odd, F.lit(0), lambda s, x: s + x)
+    apart = bits_apart(F.col("bits_a"), F.col("bits_b"))
     left = both.filter((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     left = left.join(side("a", "items"), "a").join(side("b", "items"), "b")
     common = F.size(F.array_intersect("items_a", "items_b"))

@@ -105,3 +105,20 @@ def test_no_ids_and_no_rows(spark):
     got = [(r.doc_id, r.class_id) for r in dm.near_duplicates(df).collect()]
     assert len({c for d, c in got}) == 3 and all(c >= 2**62 for d, c in got if d is None)
     assert dm.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_near_copies_take_few_checks(spark, monkeypatch):
+    rng, checked, seen = random.Random(5), dm.checked, []
+    base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    docs = [base]
+    for _ in range(150):  # alike to the base, seldom to each other
+        copy = list(base)
+        for at in rng.sample(range(200), 4):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        docs.append(copy)
+    ids = rng.sample(range(10**6), len(docs))
+    monkeypatch.setattr(dm, "checked", lambda pairs, items: (seen.append(pairs.count()), checked(pairs, items))[1])
+    rows = [(i, " ".join(w)) for i, w in zip(ids, docs)]
+    got = sorted((r.doc_id, r.class_id) for r in dm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(classes(rows)) and len({c for _, c in got}) < len(docs)
+    assert sum(seen) < 3 * len(docs)
