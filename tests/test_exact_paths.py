@@ -280,3 +280,11 @@ def test_upsert_routes(spark, bound, monkeypatch):
                                  ("c", "C", "u", 1, T0, [2.0])], schema)
     got = {r.uuid: (r.name, r.summary, r.mentions, r.name_embedding) for r in upserts.upsert_entities(old, new).collect()}
     assert got == {"a": ("A", "t2", 4, [1.0]), "b": ("B", "s", 1, None), "c": ("C", "u", 1, [2.0])}
+
+
+def test_bounded_workflows_move_no_texts(spark):
+    said = spark.createDataFrame([(1, "red fox den"), (2, None), (3, "blue")], "id long, text string")
+    known = spark.createDataFrame([(7, "red fox"), (5, "fox red"), (9, "den")], "id long, text string")
+    got = matching.workflow_match(said, known, threshold=0.3)
+    assert [tuple(r) for r in got.collect()] == [(1, 5, 0.666667)]
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
