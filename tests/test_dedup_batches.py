@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from palimpsest.operators import bm25, dedup
+from palimpsest.operators import bm25, dedup, vectors
 from pyspark.sql import functions as F
 
 T0 = dt.datetime(2024, 1, 1)
@@ -130,3 +130,19 @@ def test_following_times(spark):
     rows = [(k, t) for k, ts in times.items() for t in ts]
     got = {(r.k, r.t): r.nxt for r in dedup._following(spark.createDataFrame(rows, "k string, t long"), ["k"], width).collect()}
     assert got == {(k, t): min((x for x in ts if x >= t + width), default=None) for k, ts in times.items() for t in ts}
+
+
+@pytest.mark.parametrize("best", [True, False])
+def test_sparse_windows_are_walked_in_chunks(spark, monkeypatch, best):
+    monkeypatch.setattr(vectors, "_greedy_rounds", None)  # would be one small group for every window
+    rng = np.random.default_rng(8)
+    rows = [(f"r{i:03d}", "ann" if i % 3 else "bob", T0 + dt.timedelta(minutes=int(rng.integers(0, 24 * 60 * 30))), rng.normal(size=4).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, user_id string, t timestamp, vec array<double>")
+    got = {r.id: (r.keeper, r.score) for r in vectors.greedy_keep(df, block=["user_id"], ident="id", ts="t", vector="vec", threshold=0.6, window_hours=24, best=best, chunk_rows=30).collect()}
+    kept, want = [], {}
+    for i, u, t, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        near = [(-cos(v, w) if best else 0, -s.timestamp() if best else n, j) for n, (j, o, s, w) in enumerate(kept) if o == u and t - s < DAY and cos(v, w) >= 0.6]
+        want[i] = (min(near)[2] if near else i)
+        if not near:
+            kept.append((i, u, t, v))
+    assert {i: k for i, (k, _) in got.items()} == want and 30 < len(kept) < 290
