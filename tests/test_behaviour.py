@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import privacy, scoring, text, values
-from palimpsest.operators import augment, filters, fusion, ingest, joins, maintain, metadata, runs, search
+from palimpsest.operators import augment, community, filters, fusion, ingest, joins, maintain, metadata, runs, search
 from palimpsest.sources import tables
 from palimpsest.streaming import incremental as inc
 
@@ -266,3 +266,12 @@ def test_malformed_metadata_is_dropped_and_names_have_words(spark):
     assert joins.metadata_struct(bad).count() == 0 and joins.metadata_struct(eps).count() == 1
     words = spark.createDataFrame([("Alice Smith", "person"), ("google", "org")], "name string, entity_type string")
     assert sorted((r.name, r.position) for r in ingest.extract_entities(eps, words).collect()) == [("alice_smith", 0), ("google", 4)]
+
+
+def test_components_read_the_edges_in_one_round_only(spark, monkeypatch):
+    path = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40) if i != 20] + [("n05", "n05"), ("n03", "n02")]
+    sizes, stage = [], community.stage
+    monkeypatch.setattr(community, "stage", lambda df: (lambda out: (sizes.append(out.count()) if out.columns == ["a", "b"] else None, out)[1])(stage(df)))
+    got = {r.uuid: r.component for r in community.connected_components(spark.createDataFrame(path, "source_uuid string, target_uuid string")).collect()}
+    assert got == {f"n{i:02d}": "n00" if i <= 20 else "n21" for i in range(41)}
+    assert sizes[0] == 39 and sizes[-1] == 0 and all(2 * b <= a for a, b in zip(sizes, sizes[1:]))
