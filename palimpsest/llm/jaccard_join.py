@@ -12,7 +12,7 @@ pair is lost, whatever is costly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,10 @@ from palimpsest.session import stage
 
 #: Sets are linked when PERCENT * size of the union <= 100 * size of the intersection.
 SHINGLE, PERCENT = 5, 80
-#: Pairs of different classes above which a bucket is costly; any number gives the same links.
-COSTLY = 2000
-#: Sets in a bucket from which it is crowded: the elements of its sets are then counted. Any number gives the same links.
+#: Pairs of different classes above which a bucket is costly; any number gives the same links. They are compared by parity bits where they
+#: meet and only few become rows, so that many cost less than a second index.
+COSTLY = 1_000_000
+#: Sets in a bucket from which it is crowded: one drawn by chance is then checked before pairs are compared. Any number gives the same links.
 CROWDED = 16
 #: Tables of ids up to so many rows may be sent to all tasks, after they are counted and measured.
 BROADCAST_ROWS = 2_000_000
@@ -194,15 +195,25 @@ def _alike(a: Column | str, b: Column | str) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _near(n_a: str, n_b: str, bits_a: str, bits_b: str) -> Column:
+    """False where the parity bits rule a link out: linked sets differ in at most (n_a + n_b) (100 - PERCENT) / (100 + PERCENT) elements."""
+    return (100 + PERCENT) * bits_apart(F.col(bits_a), F.col(bits_b)) <= (100 - PERCENT) * (F.col(n_a) + F.col(n_b))
+
+
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those that are linked: first by the parity bits, which rule out most of the others, then by the items."""
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     both = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").filter(_alike("n_a", "n_b"))
-    apart = bits_apart(F.col("bits_a"), F.col("bits_b"))
-    left = both.filter((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-    left = left.join(side("a", "items"), "a").join(side("b", "items"), "b")
+    left = both.filter(_near("n_a", "n_b", "bits_a", "bits_b")).select("a", "b")
+    return compared(left, sets)
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose items make a link."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+    left = pairs.join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("items_a", "items_b"))
     return left.filter(100 * common >= PERCENT * (F.size("items_a") + F.size("items_b") - common)).select("a", "b")
 
@@ -224,11 +235,11 @@ def _open(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return stage(member.join(ends.filter("low != high").select("bucket"), "bucket"))
 
 
-def _with_one(member: DataFrame, order: Column) -> DataFrame:
-    """In each bucket, nodes of other classes with the node that is first in ``order``."""
-    pick = F.min(F.struct(order.alias("h"), "node", "n", "class", "own")).alias("pick")
-    both = member.join(member.groupBy("bucket").agg(pick), "bucket")
-    return both.filter((F.col("class") != F.col("pick.class")) & _alike("n", "pick.n") & _room("own", "pick.own", "n", "pick.n")).select(*_ordered("node", "pick.node")).distinct()
+def _with_one(member: DataFrame, order: Column, least: int = 0) -> DataFrame:
+    """In each bucket of at least so many sets, nodes of other classes with the node that is first in ``order``."""
+    pick = F.min(F.struct(order.alias("h"), "node", "n", "class")).alias("pick")
+    both = member.join(member.groupBy("bucket").agg(pick, F.count("*").alias("size")).filter(F.col("size") >= least), "bucket")
+    return both.filter((F.col("class") != F.col("pick.class")) & _alike("n", "pick.n")).select(*_ordered("node", "pick.node")).distinct()
 
 
 def _costs(member: DataFrame) -> DataFrame:
@@ -237,42 +248,19 @@ def _costs(member: DataFrame) -> DataFrame:
     return of_class.groupBy("bucket").agg(((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
 
 
-def _own(member: DataFrame, sets: DataFrame) -> DataFrame:
-    """node and own, for the sets that stand in a crowded bucket: the elements that none of the others of these holds."""
-    crowded = member.groupBy("bucket").agg(F.count("*").alias("m")).filter(F.col("m") >= CROWDED).select("bucket")
-    nodes = stage(member.join(crowded, "bucket", "left_semi").select("node").distinct())
-    held = sets.join(nodes, "node", "left_semi").select("node", F.explode("items").alias("item"))
-    once = held.groupBy("item").agg(F.count("*").alias("times"), F.min("node").alias("node")).filter("times = 1")
-    own = nodes.join(once.groupBy("node").agg(F.count("*").alias("own")), "node", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
-    return broadcast_if_small(stage(own), BROADCAST_ROWS)
-
-
-def _with_own(member: DataFrame, own: DataFrame) -> DataFrame:
-    """Adds ``own`` (null for sets in no crowded bucket) and ``light``.
-
-    Two linked sets differ in at most (n_a + n_b) (100 - PERCENT) / (100 + PERCENT) elements, and both sets' own ones are among
-    these. So one of the two is light: its own elements alone are few enough. Near copies of one text that are not linked
-    with each other differ by just such elements and are not compared, however many they are.
-    """
-    light = (100 + PERCENT) * F.col("own") <= (100 - PERCENT) * F.col("n")
-    return member.join(own, "node", "left").withColumn("light", F.coalesce(light, F.lit(True)))
-
-
-def _room(own_a: str, own_b: str, n_a: str, n_b: str) -> Column:
-    """False where both sets' own elements are too many; where one has no own ones counted, nothing is known."""
-    return F.coalesce((100 + PERCENT) * (F.col(own_a) + F.col(own_b)) <= (100 - PERCENT) * (F.col(n_a) + F.col(n_b)), F.lit(True))
-
-
 def _pairs_of(used: DataFrame, member: DataFrame, twice: Column) -> DataFrame:
-    """Pairs of different classes that meet in a bucket which the first of them uses, and that can be linked by their sizes and own elements.
+    """Pairs of different classes that meet in a bucket which the first of them uses, and that can be linked by their sizes and parity bits.
 
-    Two sets of which both look for partners meet once, the smaller node looks; ``twice`` says which partners (columns of ``b``) do not look.
+    The bits are compared inside the join, so that pairs they rule out make no rows: near copies of one text that are not linked with each
+    other meet in many buckets, however many they are. Two sets of which both look for partners meet once, the smaller node
+    looks; ``twice`` says which partners (columns of ``b``) do not look.
     """
-    a = used.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "class", "own")])
-    b = member.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "class", "own", "light", "needy")])
-    room = _alike("n_a", "n_b") & _room("own_a", "own_b", "n_a", "n_b")
-    both = a.join(b, "bucket").filter((F.col("class_a") != F.col("class_b")) & room & (twice | (F.col("node_a") < F.col("node_b"))))
-    return both.select(*_ordered("node_a", "node_b")).distinct()
+    a = used.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "class", "bits")])
+    b = member.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "class", "bits", "needy")])
+    once = twice | (F.col("node_a") < F.col("node_b"))
+    met = (F.col("class_a") != F.col("class_b")) & once & _alike("n_a", "n_b") & _near("n_a", "n_b", "bits_a", "bits_b")
+    a, b = a.alias("looking"), b.alias("others")
+    return a.join(b, (F.col("looking.bucket") == F.col("others.bucket")) & met).select(*_ordered("node_a", "node_b")).distinct()
 
 
 class _Links:
@@ -281,8 +269,8 @@ class _Links:
     def __init__(self, sets: DataFrame) -> None:
         self.sets, self.links, self.classes = sets, None, sets.select("node", F.col("node").alias("class")).limit(0)
 
-    def add(self, pairs: DataFrame) -> None:
-        found = stage(checked(pairs, self.sets))
+    def add(self, pairs: DataFrame, by: Callable[[DataFrame, DataFrame], DataFrame] = checked) -> None:
+        found = stage(by(pairs, self.sets))
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.union(found)
             self.classes = stage(components(self.links))
@@ -296,12 +284,9 @@ def _merge_heads(shared: DataFrame, links: _Links) -> DataFrame:
     its nodes, not one for each pair.
     """
     links.add(shared.groupBy("node").agg(F.min("head").alias("head")).filter("node != head").select(*_ordered("node", "head")).distinct())
-    member = _open(shared, links.classes)
-    own = _own(member, links.sets)
-    links.add(_with_one(_with_own(member, own), F.col("node")))
-    member = _open(member.drop("class"), links.classes)
-    links.add(_with_one(_with_own(member, own), F.xxhash64("node", "bucket")))
-    return _with_own(_open(member.drop("class"), links.classes), own)
+    links.add(_with_one(_open(shared, links.classes), F.col("node")))
+    links.add(_with_one(_open(shared, links.classes), F.xxhash64("node", "bucket"), CROWDED))
+    return _open(shared, links.classes)
 
 
 def _compare(shared: DataFrame, links: _Links, costly: int) -> DataFrame:
@@ -316,10 +301,9 @@ def _compare(shared: DataFrame, links: _Links, costly: int) -> DataFrame:
     by_cost = Window.partitionBy("node", "lower").orderBy(F.desc("pairs"), "bucket")  # at most the segments of the set
     whole = Window.partitionBy("node", "lower")
     member = member.withColumn("nth", F.row_number().over(by_cost)).withColumn("needy", F.count_if(F.col("pairs") > costly).over(whole) > F.col("spare"))
-    member = stage(member.select("bucket", "node", "n", "class", "lower", "own", "light", "pairs", "needy", (F.col("nth") > F.col("spare")).alias("used")))
-    looks = member.filter("used AND NOT needy")
-    links.add(_pairs_of(looks.filter("light"), member, F.col("needy_b") | ~F.col("light_b")).union(
-        _pairs_of(looks.filter("NOT light"), member.filter("needy AND light"), F.lit(True))))
+    member = stage(member.select("bucket", "node", "n", "class", "lower", "pairs", "needy", (F.col("nth") > F.col("spare")).alias("used")))
+    with_bits = member.join(links.sets.select("node", "bits"), "node")
+    links.add(_pairs_of(with_bits.filter("used AND NOT needy"), with_bits, F.col("needy_b")), compared)
     return member.filter(F.col("needy") & (F.col("pairs") > costly)).groupBy("node", "lower").agg(F.collect_set("bucket").alias("costly"))
 
 
@@ -371,7 +355,8 @@ def _compare_needy(of_set: DataFrame, links: _Links) -> None:
         return
     entries = stage(second_entries(needy)).withColumn("lower", F.lit(False))
     member = _merge_heads(stage(entries.join(_heads(entries), "bucket")), links).withColumn("needy", F.lit(False))
-    links.add(_pairs_of(member.filter("light"), member, ~F.col("light_b")))
+    member = member.join(links.sets.select("node", "bits"), "node")
+    links.add(_pairs_of(member, member, F.lit(False)), compared)
 
 
 def _answers(sketch: DataFrame, sets: DataFrame, links: _Links) -> DataFrame:

@@ -122,3 +122,24 @@ def test_sizes():
         for m in range(n, n * 5 // 4 + 1):
             apart = max(d for d in range(n + m + 1) if (n + m - d) % 2 == 0 and 100 * (n + m - d) // 2 >= 80 * ((n + m + d) // 2)) if 100 * n >= 80 * m else 0
             assert apart <= jj.most_apart(np.array([n]))[0]
+
+
+def test_copies_that_are_not_linked_make_no_pairs(spark, monkeypatch):
+    """Copies of one text with edits that others share, no two of them alike enough, meet in many buckets; parity bits are compared there."""
+    rng, made = random.Random(4), []
+    base, other = [f"w{i}" for i in range(300)], [f"v{i}" for i in range(300)]
+    texts = []
+    for _ in range(60):
+        edits = set(rng.sample(range(300), 12))
+        texts.append(" ".join(other[i] if i in edits else base[i] for i in range(300)))
+    pairs_of = jj._pairs_of
+
+    def counted(*args):
+        pairs = pairs_of(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jj, "_pairs_of", counted)
+    rows = list(enumerate(texts))
+    assert run(jj.linked_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+    assert sum(made) < 60
