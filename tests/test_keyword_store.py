@@ -120,3 +120,33 @@ def test_empty(spark):
     assert rows(store.score(asked(spark))) == []
     store = store.add(corpus(spark, 5).limit(0))
     assert rows(store.search(asked(spark))) == [] and store.stats()["documents"] == 0
+
+
+def test_postings_move_once(spark, tmp_path, monkeypatch):
+    """One row for each word of a document is shuffled, once; blocks go on where an Arrow batch ends."""
+    from palimpsest.operators import keyword_store
+
+    plans, blocks_of = [], keyword_store._blocks
+
+    def seen(rows, keys):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return blocks_of(rows, keys)
+
+    monkeypatch.setattr(keyword_store, "_blocks", seen)
+    monkeypatch.setattr(keyword_store, "BLOCK_ROWS", 4)
+    rows = [(f"d{i}", None, None, ["x"] * (1 + i % 5) + [f"w{i % 3}"]) for i in range(41)]
+    df = spark.createDataFrame(rows, "uuid string, user_id string, created_at timestamp, tokens array<string>")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        store = KeywordStore.create(spark, f"{tmp_path}/store", buckets=2).add(df)
+        got = store.postings().collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1]
+    for tok in ("x", "w0", "w1", "w2"):
+        mine = sorted((r for r in got if r["tok"] == tok), key=lambda r: r["block"])
+        docs = [(d["uuid"], d["dl"], d["tf"]) for r in mine for d in r["docs"]]
+        assert sorted(docs) == sorted((u, len(t), t.count(tok)) for u, _, _, t in rows if tok in t)
+        assert [r["block"] for r in mine] == list(range(len(mine))) and all(len(r["docs"]) == 4 for r in mine[:-1])
+        assert all(r["max_tf"] == max(d["tf"] for d in r["docs"]) and r["min_dl"] == min(d["dl"] for d in r["docs"]) for r in mine)
