@@ -117,12 +117,13 @@ def dedup_within(df: DataFrame, *, keys: list[str], ts: str, ident: str, window_
 
 def dedup_exact(episodes: DataFrame, *, window_hours: float = 24, existing: DataFrame | None = None,
                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Same user, same whole text.  Texts travel as their hash."""
+    """Same user, same whole text.  Both travel as one hash, in 32 bytes."""
     def keyed(df: DataFrame) -> DataFrame:
-        return df.select("uuid", "created_at", F.coalesce("user_id", F.lit("")).alias("user_id"),
-                         content_key(F.col("content")).alias("ck"))
+        user = F.coalesce("user_id", F.lit(""))
+        key = content_key(F.octet_length(user).cast("string"), user, F.coalesce("content", F.lit("")))
+        return df.select("uuid", "created_at", F.unhex(key).alias("ck"))
 
-    return dedup_within(keyed(episodes), keys=["user_id", "ck"], ts="created_at", ident="uuid",
+    return dedup_within(keyed(episodes), keys=["ck"], ts="created_at", ident="uuid",
                         window_hours=window_hours, hot_rows=hot_rows,
                         existing=None if existing is None else keyed(existing))
 

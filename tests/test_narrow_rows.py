@@ -76,3 +76,16 @@ def test_documents_are_parsed_once(spark):
     parsed = joins.metadata_struct(rows).select("uuid", "meta.integration")
     assert [tuple(r) for r in parsed.collect()] == [("a", "adk")]
     assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_exact_keys_are_narrow(spark, monkeypatch):
+    """User and text travel as one key of 32 bytes; a user's end and a text's beginning are told apart, null and empty are the same."""
+    from palimpsest.operators import dedup
+
+    seen, within = [], dedup.dedup_within
+    monkeypatch.setattr(dedup, "dedup_within", lambda df, **named: seen.append((df.dtypes, named["keys"])) or within(df, **named))
+    rows = [("1", "a", "bc"), ("2", "ab", "c"), ("3", None, ""), ("4", "", None), ("5", "a", "bc")]
+    df = spark.createDataFrame(rows, "uuid string, user_id string, content string").selectExpr("*", "timestamp_seconds(cast(uuid as int)) as created_at")
+    got = {r["input_id"]: r["canonical_uuid"] for r in dedup.dedup_exact(df).collect()}
+    assert got == {"1": "1", "2": "2", "3": "3", "4": "3", "5": "1"}
+    assert seen == [([("uuid", "string"), ("created_at", "timestamp"), ("ck", "binary")], ["ck"])]
