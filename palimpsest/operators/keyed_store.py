@@ -57,13 +57,19 @@ class KeyedStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.state["keys"]), F.lit(self.state["buckets"])).cast("int")
 
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with their ``_bucket``, moved to where it is written; updates reduced there to one for each bucket and key are not moved again."""
+        return rows.withColumn("_bucket", self._bucket()).repartition("_bucket")
+
     def _write(self, rows: DataFrame) -> tuple[str, list[int]]:
         """A new folder with one file for each bucket that ``rows`` touch."""
         name = f"entry-{uuid.uuid4().hex}"
         path = f"{self.root}/data/{name}"
         types = {c: t for c, t in self.spark.createDataFrame([], self.state["ddl"]).dtypes}
-        rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(types[c]).alias(c) for c in self.state["columns"]])
-        rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        if "_bucket" not in rows.columns:
+            rows = self.placed(rows)
+        rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(types[c]).alias(c) for c in self.state["columns"]], "_bucket")
+        rows.write.partitionBy("_bucket").parquet(path)
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         listed = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
         names = [f.getPath().getName() for f in listed]
@@ -77,6 +83,7 @@ class KeyedStore:
     def apply(self, updates: DataFrame, *, batch: tuple[str, int] | None = None, most_entries: int = MOST_ENTRIES) -> "KeyedStore":
         """Adds ``updates``, one row for each key (see ``upserts.latest``).
 
+        Rows that carry their ``_bucket`` must lie as ``placed`` has put them.
         ``batch`` is a source and its batch's number, which only grows: a number that was applied before changes nothing.
         Buckets that then have more than ``most_entries`` entries are compacted.
         """
@@ -99,7 +106,7 @@ class KeyedStore:
         if not buckets:
             return self
         gone = set(buckets)
-        name, touched = self._write(self.read(buckets))
+        name, touched = self._write(self._merged(self.placed(self.log(buckets)), ["_bucket"]))
         rest = [{**e, "buckets": [b for b in e["buckets"] if b not in gone]} for e in self.state["entries"]]
         order = max(e["order"] for e in self.state["entries"])
         return self._next(entries=[e for e in rest if e["buckets"]] + [{"name": name, "order": order, "buckets": touched}])
@@ -118,7 +125,14 @@ class KeyedStore:
         return self.spark.createDataFrame([], self.state["ddl"] + ", _order int") if rows is None else rows
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
-        """The table: every key's rows, few as they are, merged in order by one aggregation (combined before the shuffle)."""
+        """The table: every key's rows, few as they are, merged in order by one aggregation.
+
+        An entry has a key once, so nothing can be combined before the shuffle: plain rows move, which are narrower than half-merged ones.
+        """
+        return self._merged(self.log(buckets).repartition(*self.state["keys"]))
+
+    def _merged(self, rows: DataFrame, place: list[str] | None = None) -> DataFrame:
+        """Rows of the log merged by key, where they lie together by key or by the columns ``place``, which stay."""
         keys, rules = self.state["keys"], self.state["rules"]
         merged = []
         for c in self.state["columns"]:
@@ -135,9 +149,9 @@ class KeyedStore:
                 merged.append(F.when(F.count(value) > 0, F.array_sort(F.array_distinct(F.flatten(F.collect_list(value))))).alias(c))
             else:
                 merged.append(F.min_by(F.struct(value), "_order")[c].alias(c))
-        out = self.log(buckets).groupBy(*keys).agg(*merged)
+        out = rows.groupBy(*(place or []), *keys).agg(*merged)
         types = dict(self.spark.createDataFrame([], self.state["ddl"]).dtypes)
-        return out.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in self.state["columns"]])
+        return out.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in self.state["columns"]], *(place or []))
 
     def changes(self, since: int) -> DataFrame:
         """Rows that versions after ``since`` have added (compacted buckets show as they are now)."""

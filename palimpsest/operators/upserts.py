@@ -16,9 +16,10 @@ def latest(updates: DataFrame, keys: list[str], *, at: str = "created_at", tie:
     """
     rest = [c for c in updates.columns if c not in keys]
     plain = [f.name for f in updates.schema if f.name in rest and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
-    newest = F.max_by(F.struct(*rest), F.struct(at, *[tie] * (tie in rest), F.xxhash64(*plain)))
+    kept = [c for c in rest if c not in extra]  # what is aggregated anyway does not travel twice
+    newest = F.max_by(F.struct(*kept), F.struct(at, *[tie] * (tie in rest), F.xxhash64(*plain)))
     out = updates.groupBy(*keys).agg(newest.alias("_n"), *[v.alias(f"_x_{k}") for k, v in extra.items()])
-    return out.select(*keys, *[F.col(f"_n.{c}").alias(c) for c in rest if c not in extra],
+    return out.select(*keys, *[F.col(f"_n.{c}").alias(c) for c in kept],
                       *[F.col(f"_x_{k}").alias(k) for k in extra])
 
 

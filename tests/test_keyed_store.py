@@ -86,3 +86,17 @@ def test_stream_of_several_batches(spark):
         table = merged(table, spark.read.parquet(f"{folder}/{k}"))
     store = KeyedStore.load(spark, root)
     assert rows(store.read()) == rows(table) and list(store.state["batches"].values()) == [2]
+
+
+def test_placed_updates_move_once(spark, tmp_path):
+    """Updates that are placed and then reduced are written where they lie: one shuffle, and the same table."""
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, n long, uuid string")
+    rows = spark.createDataFrame([("a", 2, "p", 1), ("a", 3, "q", 2), ("c", 5, "r", 1)], "k string, n long, uuid string, created_at int")
+    store = KeyedStore.create(spark, f"{tmp_path}/s", old, ["k"], {"n": "sum", "uuid": "new"}, buckets=4)
+    one = upserts.latest(store.placed(rows), ["_bucket", "k"], n=F.sum("n"))
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    after = store.apply(one)
+    want = [("a", 6, "q"), ("b", 1, "y"), ("c", 5, "r")]
+    assert sorted(tuple(r) for r in after.read().collect()) == want
+    assert sorted(tuple(r) for r in after.compact().read().collect()) == want
+    assert after.read()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
