@@ -6,15 +6,22 @@ all weights counted from both ends of an edge.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.operators.community import both_ways
+from palimpsest.operators import louvain_arrays as arrays
+from palimpsest.operators.community import both_ways, once
 from palimpsest.operators.skew import split_hot_join
 from palimpsest.session import stage
 
 #: A sweep that gains less modularity than this is the last of its level.
 LEAST_GAIN = 1e-6
 SWEEPS, LEVELS, REFINEMENTS = 16, 12, 2
+#: Nodes whose labels may go to every task as arrays (13 bytes a node).
+ARRAY_NODES = 16_000_000
 
 
 def weighted_adjacency(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -95,18 +102,78 @@ def _through(found: DataFrame, labels: DataFrame) -> DataFrame:
     return stage(found.withColumnRenamed("label", "via").join(labels.withColumnRenamed("uuid", "via"), "via").select("uuid", "label"))
 
 
+def _numbered(edges: DataFrame, weight: str | None) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes ``uuid, id`` (from 0, in order of ``uuid``), both directions ``a, b, w`` of their numbers, and how many nodes there are."""
+    if weight is None:
+        pairs = once(edges).withColumn("w", F.lit(1.0))
+    else:
+        pairs = weighted_adjacency(edges, weight).filter("a < b")
+    pairs = stage(pairs)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("uuid")).distinct().orderBy("uuid")
+    nodes = stage(nodes.withColumn("at", F.monotonically_increasing_id()))
+    # the upper bits of such an id are its partition, the lower ones count from 0
+    part = F.shiftright("at", 33)
+    starts, n = [], 0
+    for p, rows in sorted(nodes.groupBy(part.alias("part")).count().collect()):
+        starts.append((p, n - (p << 33)))
+        n += rows
+    shift = edges.sparkSession.createDataFrame(starts, "part long, shift long")
+    nodes = stage(nodes.withColumn("part", part).join(F.broadcast(shift), "part").select("uuid", (F.col("at") + F.col("shift")).alias("id")))
+    a, b = (nodes.select(F.col("uuid").alias(x), F.col("id").alias(f"i{x}")) for x in "ab")
+    ends = pairs.join(a, "a").select("ia", "b", "w").join(b, "b").select("ia", "ib", "w")
+    both = F.explode(F.array(F.struct(F.col("ia").alias("a"), F.col("ib").alias("b"), "w"), F.struct(F.col("ib").alias("a"), F.col("ia").alias("b"), "w"))).alias("e")
+    return nodes, ends.select(both).select("e.*"), n
+
+
 def louvain(edges: DataFrame, *, resolution: float = 1.0, min_community_size: int = 1, weight: str | None = None,
-            sweeps: int = SWEEPS, levels: int = LEVELS, refinements: int = REFINEMENTS) -> DataFrame:
+            sweeps: int = SWEEPS, levels: int = LEVELS, refinements: int = REFINEMENTS, array_nodes: int = ARRAY_NODES) -> DataFrame:
     """``uuid, community`` (its smallest member) of every node in a community of at least ``min_community_size``.
 
-    A higher resolution gives smaller communities.  Every level writes its labels and the contracted graph, in which a
-    community is a node with its inner weight as a loop; the graph shrinks from level to level, and nothing but
-    one number for each sweep comes to the driver.  When no level gains, single nodes may move once more from
-    where they are, and if that gains, communities are contracted again.
+    A higher resolution gives smaller communities.  Up to ``array_nodes`` nodes, a level's labels go to every task as arrays and
+    a sweep is one pass over the links without a shuffle; the links are never on the driver.  In a larger graph labels and links
+    meet by joins, and one number for each sweep comes to the driver.  When no level gains, single nodes may move
+    once more from where they are, and if that gains, communities are contracted again.
     """
-    whole = stage(weighted_adjacency(edges, weight))
+    nodes, adj, n = _numbered(edges, weight)
+    by = _by_arrays if n <= array_nodes else _by_joins
+    found = by(nodes, adj, n, resolution, sweeps, levels, refinements)
+    sizes = found.groupBy("label").agg(F.min("uuid").alias("community"), F.count("*").alias("n")).filter(F.col("n") >= min_community_size)
+    return split_hot_join(found, sizes.select("label", "community"), ["label"]).select("uuid", "community")
+
+
+def _by_arrays(nodes: DataFrame, adj: DataFrame, n: int, resolution: float, sweeps: int, levels: int, refinements: int) -> DataFrame:
+    """``uuid, label``."""
+    whole = arrays.links(adj, n)
+    total = float(whole.degrees.sum())
+    found = np.arange(n, dtype=np.int32)
+    labels, better = arrays.level(whole, total, resolution, sweeps, LEAST_GAIN) if total else (found, False)
+    for _ in range(refinements + 1):
+        if not better:
+            break
+        found, graph = labels, whole
+        for _ in range(levels):
+            graph = arrays.contracted(graph, labels)
+            labels, better = arrays.level(graph, total, resolution, sweeps, LEAST_GAIN)
+            if not better:
+                break
+            found = labels[found]
+        labels, better = arrays.level(whole, total, resolution, sweeps, LEAST_GAIN, found)
+    if better:
+        found = labels
+    sent = nodes.sparkSession.sparkContext.broadcast(found)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value[batch.column(1).to_numpy()])], ["uuid", "label"])
+
+    return stage(nodes.select("uuid", "id").mapInArrow(named, f"uuid {dict(nodes.dtypes)['uuid']}, label int"))
+
+
+def _by_joins(nodes: DataFrame, adj: DataFrame, n: int, resolution: float, sweeps: int, levels: int, refinements: int) -> DataFrame:
+    """``uuid, label``: every level writes its labels and the contracted graph, which shrinks from level to level."""
+    whole = stage(adj)
     total = whole.agg(F.sum("w")).first()[0]
-    found = whole.select(F.col("a").alias("uuid")).distinct().withColumn("label", F.col("uuid"))
+    found = nodes.select(F.col("id").alias("uuid"), F.col("id").alias("label"))
     labels, better = _level(whole, total, resolution, sweeps) if total else (found, False)
     for _ in range(refinements + 1):
         if not better:
@@ -121,5 +188,4 @@ def louvain(edges: DataFrame, *, resolution: float = 1.0, min_community_size: in
         labels, better = _level(whole, total, resolution, sweeps, found)
     if better:
         found = stage(labels)
-    sizes = found.groupBy("label").agg(F.min("uuid").alias("community"), F.count("*").alias("n")).filter(F.col("n") >= min_community_size)
-    return split_hot_join(found, sizes.select("label", "community"), ["label"]).select("uuid", "community")
+    return nodes.join(found.withColumnRenamed("uuid", "id"), "id").select("uuid", "label")
