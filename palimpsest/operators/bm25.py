@@ -13,13 +13,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palimpsest.functions.scoring import as_score
 from palimpsest.functions.text import tokenize
 from palimpsest.operators.aggregates import top_per_group
-from palimpsest.operators.skew import BROADCAST_ROWS, broadcast_if_small, split_hot_join
+from palimpsest.operators.skew import BROADCAST_ROWS, broadcast_if_small, is_small, split_hot_join
 from palimpsest.session import stage
 
 # The customary Okapi constants; a negative idf becomes EPSILON times the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 DOC_COLUMNS = ("uuid", "user_id", "created_at")
+#: Words of queries (within ``BROADCAST_BYTES``) that may go to the documents.
+VOCABULARY = 2_000_000
+#: Pairs of a query and a document that share a word, above which the word is looked up once for queries that share it.
+HOT_PAIRS = 1_000_000
+#: Documents for each different text from which on equal ones are scored once.
+SAME_TEXTS = 4
 
 
 def documents(df: DataFrame, text, *carried: str, user: str = "user_id", created: str = "created_at") -> DataFrame:
@@ -81,14 +87,20 @@ def score(index: Bm25Index, queries: DataFrame, candidates: DataFrame | None = N
     ``candidates`` (same columns as ``index.docs``) limits what is scored.  A query with a user
     scores only that user's documents.
     """
-    q = queries.select("query_id", F.coalesce("user_id", F.lit("")).alias("q_user"),
-                       F.explode(tokenize(F.col("text"))).alias("tok"))
-    q = q.groupBy("query_id", "q_user", "tok").agg(F.count("*").alias("qtf"))
+    q = _query_tokens(queries)
+    small = q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return _paired(_word_weights(index, q, small, candidates), F.broadcast(q) if small else q)
+
+
+def _word_weights(index: Bm25Index, q: DataFrame, small: bool, candidates: DataFrame | None) -> DataFrame:
+    """``DOC_COLUMNS, tok, w``: what the words of the queries ``q`` weigh in the documents that hold them, placed by document."""
     # A bounded query vocabulary goes to the documents, so that only its postings are shuffled.
     # A larger one meets them by token, with tokens of very many documents handled apart.
     vocab = q.select("tok").distinct()
-    small = q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     weights = term_weights(index).join(F.broadcast(vocab) if small else vocab, "tok", "left_semi")
+    if not small:
+        weights = stage(weights)
+        small = is_small(weights, VOCABULARY)
     avgdl = index.totals.select(F.try_divide("total_len", "n").alias("a")).scalar()  # null if empty
     docs = index.docs if candidates is None else candidates
     posted = docs.select(*DOC_COLUMNS, F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("tok"))
@@ -96,20 +108,88 @@ def score(index: Bm25Index, queries: DataFrame, candidates: DataFrame | None = N
     # One placement by document serves both the term count and the sum per (query, document).
     tf = hits.repartition("uuid").groupBy(*DOC_COLUMNS, "dl", "tok", "idf").agg(F.count("*").alias("tf"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
-    tf = tf.select(*DOC_COLUMNS, "tok", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
-    paired = tf.join(F.broadcast(q) if small else q, "tok").filter((F.col("q_user") == "") | (F.col("q_user") == F.col("user_id")))
+    return tf.select(*DOC_COLUMNS, "tok", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
+
+
+def _paired(words: DataFrame, q: DataFrame) -> DataFrame:
+    paired = words.join(q, "tok").filter((F.col("q_user") == "") | (F.col("q_user") == F.col("user_id")))
     return paired.groupBy("query_id", "uuid", "created_at").agg(as_score(F.sum(F.col("qtf") * F.col("w"))).alias("score"))
 
 
+def _listed(hits: DataFrame, limit: int) -> DataFrame:
+    return top_per_group(hits, ["query_id"], [F.desc("score"), F.desc_nulls_last("created_at"), "uuid"], limit)
+
+
 def search(index: Bm25Index, queries: DataFrame, *, candidates: DataFrame | None = None,
-           min_score: float = 0.01, limit: int = 10) -> DataFrame:
+           min_score: float = 0.01, limit: int = 10, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """The best ``limit`` documents of every query: score, then newest, then id.
+
+    If most documents share user and text with others, one of each is scored and the lists are then filled with the others.
+    """
+    docs = index.docs if candidates is None else candidates
+    text = F.md5(F.concat_ws(" ", F.coalesce(F.octet_length("user_id"), F.lit(-1)).cast("string"), "user_id", "tokens"))  # words hold no white space
+    named = docs.select("uuid", "created_at", text.alias("text"))
+    n, texts = named.agg(F.count("*"), F.approx_count_distinct("text")).first()
+    alike = SAME_TEXTS * texts <= n and named.groupBy("uuid").count().filter("count > 1").isEmpty()
+    if alike:
+        members = stage(top_per_group(named, ["text"], [F.desc_nulls_last("created_at"), "uuid"], limit))
+        first = members.filter("rank = 1").select("text", F.col("uuid").alias("first"))
+        docs = docs.join(broadcast_if_small(first.select(F.col("first").alias("uuid"))), "uuid", "left_semi")
+
     def lists(asked: DataFrame) -> DataFrame:
-        hits = score(index, asked, candidates).filter(F.col("score") >= min_score)
-        return top_per_group(hits, ["query_id"], [F.desc("score"), F.desc_nulls_last("created_at"), "uuid"], limit)
+        found = _listed(_scored_lists(index, asked, docs, min_score, limit, hot_pairs), limit)
+        if not alike:
+            return found
+        others = members.join(first, "text").select("first", "uuid", "created_at")
+        found = stage(found.select("query_id", F.col("uuid").alias("first"), "score"))
+        return _listed(found.join(others, "first").select("query_id", "uuid", "created_at", "score"), limit)
 
     return once_per_text(queries, lists)
 
 
+def _scored_lists(index: Bm25Index, asked: DataFrame, docs: DataFrame, min_score: float, limit: int, hot_pairs: int) -> DataFrame:
+    """``query_id, uuid, created_at, score`` with at least each query's best ``limit`` documents.
+
+    Words that many queries share with many documents would give a row for each such pair.  Queries of a user that
+    share all such words share the list of the best documents by these alone; only documents that also hold another
+    word of a query are scored for it.  As no word weighs less than nothing, a document without another word
+    that is not in the shared list has ``limit`` documents before it.
+    """
+    q = _query_tokens(asked)
+    asks = q.groupBy("tok").agg(F.count("*").alias("nq"))
+    hot = asks.filter("nq > 1").join(index.terms, "tok").filter(F.col("nq") * F.col("df") > hot_pairs).select("tok")
+    hot = stage(hot)
+    if hot.isEmpty():
+        return score(index, asked, docs).filter(F.col("score") >= min_score)
+    q = stage(q.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "tok", "left"))
+    shared = F.array_sort(F.collect_list(F.struct("tok", "qtf")))
+    group = F.md5(F.concat_ws(" ", F.octet_length("q_user").cast("string"), "q_user", F.to_json("words")))
+    groups = q.filter("hot").groupBy("query_id", "q_user").agg(shared.alias("words")).withColumn("group", group)
+    groups = stage(groups)
+    n, kinds, least = *groups.agg(F.count("*"), F.count_distinct("group")).first(), term_weights(index).agg(F.min("idf")).first()[0]
+    if 2 * kinds > n or least < 0:
+        return score(index, asked, docs).filter(F.col("score") >= min_score)
+    small = q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    words = stage(_word_weights(index, q, small, docs))
+    together = groups.groupBy("group", "q_user").agg(F.first("words").alias("words")).select(
+        F.col("group").alias("query_id"), "q_user", F.explode("words").alias("x")).select("query_id", "q_user", "x.tok", "x.qtf")
+    common = words.join(F.broadcast(hot), "tok", "left_semi")
+    lists = _listed(_paired(common, broadcast_if_small(together, VOCABULARY)), limit).select(F.col("query_id").alias("group"), "uuid", "created_at", "score")
+    by_group = groups.select("query_id", "group").join(broadcast_if_small(stage(lists)), "group").drop("group")
+    # documents with the hot words they hold beside each other word; queries with their hot words likewise
+    held = words.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "tok", "left").groupBy(*DOC_COLUMNS).agg(
+        F.collect_list(F.when(F.col("hot"), F.struct("tok", "w"))).alias("common"), F.collect_list(F.when(F.col("hot").isNull(), F.struct("tok", "w"))).alias("other"))
+    held = held.select(*DOC_COLUMNS, "common", F.explode("other").alias("x")).select(*DOC_COLUMNS, "common", "x.tok", "x.w")
+    other = q.filter("hot IS NULL").drop("hot").join(groups.select("query_id", F.map_from_entries("words").alias("words")), "query_id", "left")
+    met = held.join(broadcast_if_small(stage(other), VOCABULARY), "tok").filter((F.col("q_user") == "") | (F.col("q_user") == F.col("user_id")))
+    plus = F.aggregate("common", F.lit(0.0), lambda acc, x: acc + F.coalesce(F.try_element_at("words", x["tok"]) * x["w"], F.lit(0.0)))
+    own = met.select("query_id", "uuid", "created_at", (F.col("qtf") * F.col("w")).alias("s"), plus.alias("plus"))
+    own = own.groupBy("query_id", "uuid", "created_at").agg(as_score(F.sum("s") + F.max("plus")).alias("score"))
+    own = _listed(own, limit).drop("rank")
+    best = own.unionByName(by_group).groupBy("query_id", "uuid", "created_at").agg(F.max("score").alias("score"))
+    return best.filter(F.col("score") >= min_score)
+
+
 def once_per_text(queries: DataFrame, lists: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``lists(queries)``, where queries of the same user and text are asked once and share the list they get.
 
