@@ -42,3 +42,13 @@ def test_shared_words(spark, monkeypatch, vocabulary):
     live = index.docs.filter("uuid <> 'd3'")
     monkeypatch.undo()
     assert found(index, queries, 3, hot_pairs=100, candidates=live) == plain(index, queries, 3, live)
+
+
+def test_equal_texts_are_scored_once(spark, monkeypatch):
+    docs = [(f"d{i:03d}", (None, "u0", "u1")[i % 3], when(i), ("red hot iron", "cold  RED sea", "iron sea sea")[i % 5 % 3]) for i in range(90)] + [("own", "u1", None, "a word alone")]
+    index, queries = tables(spark, docs, [(0, None, "red"), (1, "u1", "sea iron"), (2, "", "alone"), (3, "u0", "red sea")])
+    expected = plain(index, queries, 4)
+    sizes, score = [], bm25.score
+    monkeypatch.setattr(bm25, "score", lambda i, q, d: sizes.append(d.count()) or score(i, q, d))
+    assert found(index, queries, 4) == expected
+    assert sizes == [10]
