@@ -59,12 +59,16 @@ class Bm25Index:
 
 
 def build(docs: DataFrame) -> Bm25Index:
-    """Documents are tokenised and written once; one pass over them gives every statistic, written as well.
+    """Documents are tokenised and written once; one pass over them gives every statistic, written as well."""
+    return of_written(stage(docs))
+
+
+def of_written(docs: DataFrame) -> Bm25Index:
+    """The index of documents that are written already.
 
     Each document adds its distinct tokens and one empty token; the empty token's row therefore
     counts documents and sums their lengths.
     """
-    docs = stage(docs)
     posted = docs.select(F.size("tokens").cast("long").alias("dl"),
                          F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("tok"))
     stats = stage(posted.groupBy("tok").agg(F.count("*").alias("df"), F.sum("dl").alias("total_len")))

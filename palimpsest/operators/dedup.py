@@ -6,8 +6,13 @@ dropped row never makes another row a duplicate, so the result depends on order:
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from palimpsest.functions.text import content_key
@@ -187,7 +192,8 @@ def dedup_bm25_batch(new: DataFrame, index: bm25.Bm25Index, *, threshold: float
     """
     width = int(window_hours * 3_600_000_000)
     fresh = stage(bm25.documents(new, F.col("content"), content_key(F.col("content")).alias("text_key")))
-    both = index.add(bm25.build(fresh.select(*bm25.DOC_COLUMNS, "tokens")))
+    both = index.add(bm25.of_written(fresh.select(*bm25.DOC_COLUMNS, "tokens")))
+    both = bm25.Bm25Index(both.docs, stage(both.terms), both.totals)
     matches = _bm25_matches(fresh, index.docs, both, threshold, width)
     user, t = F.coalesce("user_id", F.lit("")).alias("user_id"), F.unix_micros("created_at").alias("t")
     rows = fresh.select(F.col("uuid").alias("id"), user, t)
@@ -202,27 +208,27 @@ def dedup_bm25_batch(new: DataFrame, index: bm25.Bm25Index, *, threshold: float
 SIDE, WORDS = 1024, 4096
 #: Matches of one user that are decided in one step, in one task.
 MATCHES = 1_000_000
+#: Words of at least two documents that may go to every task (16 bytes each).
+WORDS_SENT = 4_000_000
 
 
 def _bm25_matches(fresh: DataFrame, old: DataFrame, both: bm25.Bm25Index, threshold: float, width: int) -> DataFrame:
     """``id, user_id, t, kid, kt, stored``: earlier documents of the window that score enough for a new row's text, or new ones with the same text."""
-    weights = broadcast_if_small(bm25.term_weights(both))
-    average = both.totals.select(F.try_divide("total_len", "n").alias("a")).scalar()
+    average = both.totals.select(F.try_divide("total_len", "n")).first()[0]
     span = fresh.agg((F.min(F.unix_micros("created_at")) - width).alias("a"), F.max(F.unix_micros("created_at")).alias("b"))
     again = fresh.select("uuid", F.lit(True).alias("again"))
     stored = old.select(*bm25.DOC_COLUMNS, "tokens", F.lit(None).cast("string").alias("text_key")).join(again, "uuid", "left")
     docs = fresh.select(*bm25.DOC_COLUMNS, "tokens", "text_key", F.lit(True).alias("again")).unionByName(stored)
     docs = docs.select("uuid", F.coalesce("user_id", F.lit("")).alias("user_id"), F.unix_micros("created_at").alias("t"), "text_key",
                        F.coalesce("again", F.lit(False)).alias("new"), "tokens").crossJoin(F.broadcast(span)).filter("t > a AND t <= b").drop("a", "b")
-    key = ["uuid", "user_id", "t", "text_key", "new", "dl"]
-    # placed by document once, for both counts
-    posted = docs.repartition("uuid").select(*key[:-1], F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("tok"))
-    posted = posted.groupBy(*key, "tok").agg(F.count("*").alias("tf")).join(weights, "tok", "left")
-    norm = F.col("tf") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / average)
-    word = F.when(F.col("tok").isNotNull(), F.struct(F.xxhash64("tok").alias("tok"), (F.col("tf") * F.col("idf")).alias("asked"), (F.col("tf") * (bm25.K1 + 1) / norm).alias("held")))
-    held = posted.groupBy(*key).agg(F.collect_list(word).alias("ws"))
-    held = stage(held.select(F.col("uuid").alias("id"), "user_id", "t", "text_key", "new", F.col("ws.tok").alias("toks"), F.col("ws.asked").alias("asked"),
-                             F.col("ws.held").alias("held"), F.floor(F.col("t") / width).alias("b")))
+    words = _words_sent(both)
+    if words is None or not docs.groupBy("uuid").count().filter("count > 1").isEmpty():
+        held, flat = _weighed_by_joins(docs, both, average), _flat_weights
+        asking, answering = ["toks", F.col("asked").alias("w")], ["toks", F.col("held").alias("w")]
+    else:
+        held, flat = _weighed(docs, words), _unpacked(words, average)
+        asking, answering = ["dl", "vec", F.lit(True).alias("asks")], ["dl", "vec", F.lit(False).alias("asks")]
+    held = stage(held.withColumn("b", F.floor(F.col("t") / width)))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -230,34 +236,104 @@ def _bm25_matches(fresh: DataFrame, old: DataFrame, both: bm25.Bm25Index, thresh
         ia, ib, ta, tb = a["id"].to_numpy(str), b["id"].to_numpy(str), a["t"].to_numpy(), b["t"].to_numpy()
         same = pd.factorize(pd.concat([a["text_key"], b["text_key"]]))[0]  # -1: stored rows
         equal = same[: len(a), None] == same[None, len(a):]
-        ok = (_shared_weight(a, b, threshold) | equal) & (ta[:, None] - tb[None, :] < width)
+        ok = (_shared_weight(flat(a), flat(b), len(a), len(b), threshold) | equal) & (ta[:, None] - tb[None, :] < width)
         ok &= (tb[None, :] < ta[:, None]) | ((tb[None, :] == ta[:, None]) & (ib[None, :] < ia[:, None]))
         i, j = np.nonzero(ok)
         return pd.DataFrame({"id": ia[i].astype(object), "user_id": a["user_id"].to_numpy()[i], "t": ta[i], "kid": ib[j].astype(object), "kt": tb[j],
                              "stored": ~b["new"].to_numpy(bool)[j]})
 
-    left = held.filter("new AND text_key IS NOT NULL").select("id", "user_id", "t", "text_key", "toks", F.col("asked").alias("w"), "b")
-    right = held.select("id", "user_id", "t", "text_key", "new", "toks", F.col("held").alias("w"), F.explode(F.array("b", F.col("b") + 1)).alias("b"))
+    left = held.filter("new AND text_key IS NOT NULL").select("id", "user_id", "t", "text_key", *asking, "b")
+    right = held.select("id", "user_id", "t", "text_key", "new", *answering, F.explode(F.array("b", F.col("b") + 1)).alias("b"))
     return grid(left, right, ["user_id", "b"], meet, "id string, user_id string, t long, kid string, kt long, stored boolean", SIDE)
 
 
-def _shared_weight(a: pd.DataFrame, b: pd.DataFrame, threshold: float) -> np.ndarray:
-    """Whether the products of the weights ``w`` of the words that rows of ``a`` and ``b`` share add up to the threshold."""
+def _weighed_by_joins(docs: DataFrame, both: bm25.Bm25Index, average: float | None) -> DataFrame:
+    """``id, user_id, t, text_key, new, toks, asked, held``: the words of each document, what they weigh as the query's and as the document's."""
+    weights = broadcast_if_small(bm25.term_weights(both))
+    key = ["uuid", "user_id", "t", "text_key", "new", "dl"]
+    # placed by document once, for both counts
+    posted = docs.repartition("uuid").select(*key[:-1], F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("tok"))
+    posted = posted.groupBy(*key, "tok").agg(F.count("*").alias("tf")).join(weights, "tok", "left")
+    norm = F.col("tf") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / F.lit(average))
+    word = F.when(F.col("tok").isNotNull(), F.struct(F.xxhash64("tok").alias("tok"), (F.col("tf") * F.col("idf")).alias("asked"), (F.col("tf") * (bm25.K1 + 1) / norm).alias("held")))
+    held = posted.groupBy(*key).agg(F.collect_list(word).alias("ws"))
+    return held.select(F.col("uuid").alias("id"), "user_id", "t", F.unhex("text_key").alias("text_key"), "new", F.col("ws.tok").alias("toks"),
+                       F.col("ws.asked").alias("asked"), F.col("ws.held").alias("held"))
+
+
+def _words_sent(both: bm25.Bm25Index) -> Broadcast | None:
+    """Hashes of the words of at least two documents, in order; their numbers, frequent words first; the weights by number.  None if they are too many.
+
+    A word of one document is shared by no pair.
+    """
+    shared = bm25.term_weights(both).join(both.terms.filter("df > 1"), "tok").select(F.xxhash64("tok").alias("h"), "df", "idf")
+    if both.terms.filter("df > 1").limit(WORDS_SENT + 1).count() > WORDS_SENT:
+        return None
+    found = shared.toArrow()
+    h, df, idf = (found.column(c).to_numpy() for c in ("h", "df", "idf"))
+    order = np.lexsort((h, -df))
+    by_hash = np.argsort(h[order], kind="stable")
+    return both.terms.sparkSession.sparkContext.broadcast((h[order][by_hash], by_hash.astype(np.int32), idf[order]))
+
+
+def _weighed(docs: DataFrame, words: Broadcast) -> DataFrame:
+    """``id, user_id, t, text_key, new, dl, vec``: words are counted in their document; ``vec`` packs their numbers and counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, number, _ = words.value
+        for batch in batches:
+            lists = batch.column(5)
+            toks = lists.flatten().to_numpy(zero_copy_only=False)
+            dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), dl)
+            at = np.minimum(np.searchsorted(hashes, toks), max(len(hashes) - 1, 0))
+            known = hashes[at] == toks if len(hashes) else np.zeros(len(toks), bool)
+            pairs, tf = np.unique((owner[known] << 32) | number[at[known]], return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(batch.num_rows + 1) << 32)
+            vec = [_packed(pairs[i:j] & 0xFFFFFFFF, tf[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(dl.astype(np.int32)), pa.array(vec, pa.binary())], names)
+
+    names = ["id", "user_id", "t", "text_key", "new", "dl", "vec"]
+    hashed = docs.select("uuid", "user_id", "t", F.unhex("text_key").alias("text_key"), "new", F.transform("tokens", lambda x: F.xxhash64(x)).alias("toks"))
+    return hashed.mapInArrow(run, "id string, user_id string, t long, text_key binary, new boolean, dl int, vec binary")
+
+
+def _packed(ids: np.ndarray, tf: np.ndarray) -> bytes:
+    """Steps between ascending numbers, and counts; bytes of the same place stand together, so that what is small is compressed well."""
+    return np.concatenate([np.diff(ids, prepend=0), tf]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(words: Broadcast, average: float) -> Callable:
     def flat(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = [len(x) for x in df["toks"]]
-        return np.repeat(np.arange(len(df)), n), np.concatenate([np.asarray(x, np.int64) for x in df["toks"]]), np.concatenate([np.asarray(x, np.float64) for x in df["w"]])
+        rows = [np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").astype(np.int64).reshape(2, -1) for x in df["vec"]]
+        n = [x.shape[1] for x in rows]
+        toks, tf = np.concatenate([np.cumsum(x[0]) for x in rows]), np.concatenate([x[1] for x in rows])
+        row = np.repeat(np.arange(len(df)), n)
+        if df["asks"].iloc[0]:
+            return row, toks, tf * words.value[2][toks]
+        return row, toks, tf * (bm25.K1 + 1) / (tf + (bm25.K1 * (1 - bm25.B + bm25.B * df["dl"].to_numpy() / average))[row])
+
+    return flat
+
+
+def _flat_weights(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word and weight of every word of ``toks, w``."""
+    n = [len(x) for x in df["toks"]]
+    return np.repeat(np.arange(len(df)), n), np.concatenate([np.asarray(x, np.int64) for x in df["toks"]]), np.concatenate([np.asarray(x, np.float64) for x in df["w"]])
+
 
-    sides = flat(a), flat(b)
+def _shared_weight(asked: tuple, held: tuple, n: int, m: int, threshold: float) -> np.ndarray:
+    """Whether the products of the weights of the words that ``n`` and ``m`` rows share add up to the threshold; a side: row, word, weight."""
+    sides = asked, held
     common = np.intersect1d(sides[0][1], sides[1][1])
-    total, share = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool)
+    total, share = np.zeros((n, m)), np.zeros((n, m), bool)
     for lo in range(0, len(common), WORDS):
         some, parts = common[lo:lo + WORDS], []
-        for (row, tok, w), df in zip(sides, (a, b)):
+        for (row, tok, w), rows in zip(sides, (n, m)):
             at = np.minimum(np.searchsorted(some, tok), len(some) - 1)
             hit = some[at] == tok
-            m = np.zeros((len(df), len(some)))
-            m[row[hit], at[hit]] = w[hit]
-            parts.append(m)
+            part = np.zeros((rows, len(some)))
+            part[row[hit], at[hit]] = w[hit]
+            parts.append(part)
         total += parts[0] @ parts[1].T
         if threshold <= 0:  # then rows that share no word must be told from those whose words weigh nothing
             share |= (parts[0] != 0).astype(np.float32) @ (parts[1] != 0).astype(np.float32).T > 0
