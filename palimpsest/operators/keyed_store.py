@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from palimpsest.sources.manifest import Manifest
 
 BUCKETS = 64
+#: Tasks of a shuffle, for each bucket, up to which a bucket's rows go to one task.
+BUCKET_TASKS = 4
 #: Entries of a bucket from which ``apply`` compacts it.
 MOST_ENTRIES = 8
 #: What a key's later rows do to a column: the first row stays, the last replaces it (also by null), the last that is
@@ -57,19 +59,27 @@ class KeyedStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.state["keys"]), F.lit(self.state["buckets"])).cast("int")
 
+    def _by_bucket(self) -> bool:
+        """Whether there are buckets enough to be the tasks; a task for each of a few buckets would hold too many rows."""
+        return BUCKET_TASKS * self.state["buckets"] >= int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     def placed(self, rows: DataFrame) -> DataFrame:
-        """Rows with their ``_bucket``, moved to where it is written; updates reduced there to one for each bucket and key are not moved again."""
-        return rows.withColumn("_bucket", self._bucket()).repartition("_bucket")
+        """Rows with their ``_bucket``, moved to where it is written; updates reduced there to one for each bucket and key are not moved again.
+
+        If there are few buckets, a bucket's rows are dealt by key to many tasks, each of which writes a file of it.
+        """
+        rows = rows.withColumn("_bucket", self._bucket())
+        return rows.repartition("_bucket") if self._by_bucket() else rows.repartition(*self.state["keys"])
 
     def _write(self, rows: DataFrame) -> tuple[str, list[int]]:
-        """A new folder with one file for each bucket that ``rows`` touch."""
+        """A new folder with a file for each bucket that ``rows`` touch, or, if buckets are few, one from each task."""
         name = f"entry-{uuid.uuid4().hex}"
         path = f"{self.root}/data/{name}"
         types = {c: t for c, t in self.spark.createDataFrame([], self.state["ddl"]).dtypes}
         if "_bucket" not in rows.columns:
-            rows = self.placed(rows)
+            rows = self.placed(rows) if self._by_bucket() else rows.withColumn("_bucket", self._bucket())
         rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(types[c]).alias(c) for c in self.state["columns"]], "_bucket")
-        rows.write.partitionBy("_bucket").parquet(path)
+        rows.write.option("compression", "zstd").partitionBy("_bucket").parquet(path)
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         listed = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
         names = [f.getPath().getName() for f in listed]
