@@ -217,7 +217,7 @@ class KeywordStore:
 
     def _write(self, docs: DataFrame) -> tuple[str, int, int]:
         name = self._folder()
-        docs.select(*DOC_COLUMNS, "tokens", *self.state["carried"]).write.parquet(f"{self.root}/docs/{name}")
+        docs.select(*DOC_COLUMNS, "tokens", *self.state["carried"]).write.option("compression", "zstd").parquet(f"{self.root}/docs/{name}")
         docs = self._read("docs", [name], f"uuid string, user_id string, created_at timestamp, tokens array<string>{self._carried}")
         posted = docs.select(F.size("tokens").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("tok"))
         counts = stage(posted.groupBy("tok").agg(F.count("*").alias("df"), F.sum("dl").alias("total_len")))
@@ -244,7 +244,7 @@ class KeywordStore:
         rows = words.repartition("bucket", *chain).withColumn("hash", F.xxhash64("tok")).withColumn("impact", impact)
         rows = rows.sortWithinPartitions("hash", *chain, "tok", F.desc("impact"), "uuid").select(*chain, "tok", *kept, "tf")
         blocks = _blocks(rows, [*chain, "tok"]).withColumn("bucket", F.pmod(F.xxhash64("tok"), F.lit(self.state["buckets"])).cast("int"))
-        blocks.sortWithinPartitions("bucket", "tok", "block").write.partitionBy("bucket").parquet(f"{self.root}/postings/{name}")
+        blocks.sortWithinPartitions("bucket", "tok", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/postings/{name}")
 
     def remove(self, uuids: DataFrame) -> "KeywordStore":
         """Removes all live documents whose ``uuid`` is in ``uuids``; statistics are as if they had never been added."""
@@ -285,20 +285,38 @@ class KeywordStore:
         weighted = stage(weighted)
         blocks = self._blocks_of(weights, small)
 
-        def partial(blocks: DataFrame) -> DataFrame:
-            """Sums over the given (query, block) rows."""
-            rows = self._alive(blocks.select("query_id", "q_user", "w", "segment", F.explode("docs").alias("d")).select("query_id", "q_user", "w", "segment", "d.*"))
-            rows = rows.filter((F.col("q_user") == "") | (F.col("q_user") == F.col("user_id")))
+        def opened(blocks: DataFrame, *kept: str) -> DataFrame:
+            """The postings in the given rows that pass the filters."""
+            rows = self._alive(blocks.select(*kept, "segment", F.explode("docs").alias("d")).select(*kept, "segment", "d.*"))
             rows = rows if where is None else where(rows)
-            if candidates is not None:
-                rows = rows.join(candidates.select("uuid").distinct(), "uuid", "left_semi")
+            return rows if candidates is None else rows.join(candidates.select("uuid").distinct(), "uuid", "left_semi")
+
+        def summed(rows: DataFrame) -> DataFrame:
+            rows = rows.filter((F.col("q_user") == "") | (F.col("q_user") == F.col("user_id")))
             return rows.groupBy("query_id", "uuid", "created_at").agg(F.sum(F.col("w") * _impact(F.col("tf"), F.col("dl"), self._average)).alias("score"))
 
+        def partial(blocks: DataFrame) -> DataFrame:
+            """Sums over the given (query, block) rows."""
+            return summed(opened(blocks, "query_id", "q_user", "w"))
+
         met_by = F.broadcast(weighted) if small else weighted
         join = blocks.join(met_by, ["bucket", "tok"]) if small else split_hot_join(blocks, met_by, ["bucket", "tok"])
-        if limit is not None and low >= 0 and met > skip_from:
+        skipped = limit is not None and low >= 0 and met > skip_from
+        if skipped:
             join = self._without_skipped(join, weighted, partial, limit, min_score)
-        return partial(join).withColumn("score", as_score(F.col("score")))
+        if not small:
+            return partial(join).withColumn("score", as_score(F.col("score")))
+        # A posting moves once, to its document, and meets there the queries that ask for its word.
+        tokens = weights.select("tok", "bucket", F.monotonically_increasing_id().alias("number"))
+        tokens = stage(tokens)
+        named = weighted.join(F.broadcast(tokens), ["tok", "bucket"]).select("query_id", "q_user", "w", "number")
+        blocks = blocks.join(F.broadcast(tokens), ["bucket", "tok"])
+        if skipped:  # a word's blocks from its best to the last that any query needs
+            last = join.groupBy("bucket", "tok", "segment").agg(F.max("block").alias("last"))
+            blocks = blocks.join(broadcast_if_small(stage(last)), ["bucket", "tok", "segment"]).filter(F.col("block") <= F.col("last"))
+        owner = F.when(F.lit(not weighted.filter("q_user <> ''").isEmpty()), F.col("user_id")).alias("user_id")
+        rows = opened(blocks, "number").select("number", "uuid", owner, "created_at", "dl", "tf").repartition("uuid")
+        return summed(rows.join(F.broadcast(named), "number")).withColumn("score", as_score(F.col("score")))
 
     @property
     def _average(self) -> float | None:
