@@ -27,3 +27,10 @@ def test_postings_go_to_their_document(spark, tmp_path, monkeypatch, users, skip
         return sorted(tuple(r) for r in df.select("query_id", "uuid", "score", "rank").collect())
 
     assert best(store.search(asked, limit=3, skip_from=skip_from)) == best(bm25.search(bm25.build(docs), asked, limit=3))
+
+
+def test_segments_are_packed(spark, tmp_path):
+    docs = bm25.documents(spark.createDataFrame([("a", "u", dt.datetime(2024, 1, 1), "one text")], "uuid string, user_id string, created_at timestamp, text string"), F.col("text"))
+    KeywordStore.create(spark, f"{tmp_path}/k", buckets=4).add(docs)
+    files = [str(f) for kind in ("docs", "postings") for f in (tmp_path / "k" / kind).rglob("*.parquet")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
